@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docweave.llm import packing
+from docweave.llm import packing, simhash
 
 QUERIES = {
     "op8_power_of_two_packing": packing.op8_pack,
+    "op9_golay_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
