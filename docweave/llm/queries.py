@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docweave.llm import langid, packing, simhash
+from docweave.llm import fertility, langid, packing, simhash
 
 QUERIES = {
     "op2_language_mixture": langid.op2_language,
+    "op4_tokenizer_fertility": fertility.op4_fertility,
     "op8_power_of_two_packing": packing.op8_pack,
     "op9_golay_simhash": simhash.op9_simhash,
 }
