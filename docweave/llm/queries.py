@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docweave.llm import fertility, langid, packing, simhash
+from docweave.llm import fertility, jpeg, langid, packing, simhash
 
 QUERIES = {
     "op2_language_mixture": langid.op2_language,
     "op4_tokenizer_fertility": fertility.op4_fertility,
     "op8_power_of_two_packing": packing.op8_pack,
     "op9_golay_simhash": simhash.op9_simhash,
+    "op10_baseline_jpeg": jpeg.op10_jpeg,
 }
 
 ORACLE_SQL: dict[str, str] = {}
