@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docweave.llm import fertility, jpeg, langid, packing, simhash
+from docweave.llm import fertility, jpeg, langid, packing, quality, simhash
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality,
     "op2_language_mixture": langid.op2_language,
     "op4_tokenizer_fertility": fertility.op4_fertility,
     "op8_power_of_two_packing": packing.op8_pack,
