@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.common import rows_of, slices, table
-from docweave.llm.wordcodes import WordCodes
+from docweave.llm.wordcodes import WordCodes, from_lists
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
@@ -106,7 +106,7 @@ class Meter:
     def __init__(self, vocabulary: str | None = None, bands: dict[str, tuple[float, float, float, float]] | None = None):
         self.sp = processor(vocabulary or default_vocabulary())
         self.bands = BANDS if bands is None else bands
-        self.cache = WordCodes(lambda words: self.sp.encode(words, num_threads=1))
+        self.cache = WordCodes(from_lists(lambda words: self.sp.encode(words, num_threads=1)))
         self.is_byte = np.array([self.sp.is_byte(i) or self.sp.is_unknown(i) for i in range(self.sp.get_piece_size())])
 
     def __call__(self, texts: list[str]) -> dict[str, list]:

@@ -13,7 +13,9 @@ gives an empty table. Other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,37 @@ ROWS_PER_SALT = 50_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 
 
+#: Words of letters that stay single letters under the tokenizer's normalisation: one token run each.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Byte-level vocabularies write printable Latin-1 bytes as themselves and the others from 256 on, in order.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_AS_WRITTEN = {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+
+
 def word_encoder(path: str):
+    """An encoder for WordCodes: plain words go to the model at once, others through the whole tokenizer."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    merge = tokenizer.model.tokenize
+
+    def ids_of(word: bytes) -> list[int]:
+        if word.isalpha():  # ASCII letters alone
+            return [t.id for t in merge(word.lower().decode())]
+        text = word.decode()
+        low = text.lower()
+        if not _LETTERS.fullmatch(low):
+            return tokenizer.encode(text, add_special_tokens=False).ids
+        return [t.id for t in merge(low.encode().decode("latin-1").translate(_AS_WRITTEN))]
+
+    def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [ids_of(w) for w in words]
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        return np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=int(sizes.sum())), sizes
+
+    return run
 
 
 def default_vocabulary() -> str:
@@ -61,9 +87,9 @@ def cut_documents(docs: DataFrame, vocabulary: str | None = None, max_length: in
         raise ValueError("max_length must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCodes(word_encoder(vocabulary or default_vocabulary()))
+        cache = WordCodes(word_encoder(vocabulary or default_vocabulary()), split_endings=True)
         for piece, texts in slices(batches):
-            words = [t.encode().split() for t in texts]
+            words = [t.encode().lower().split() for t in texts]  # the tokenizer lower-cases anyway
             counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             ids, sizes = cache.ids(cache.codes([w for ws in words for w in ws]))
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
