@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docweave.llm import chat, fertility, jpeg, langid, mixing, packing, quality, simhash
+from docweave.llm import chat, fertility, jpeg, langid, mainhtml, mixing, packing, quality, simhash
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality,
     "op2_language_mixture": langid.op2_language,
     "op3_pfair_mixing": mixing.op3_mixing,
     "op4_tokenizer_fertility": fertility.op4_fertility,
+    "op5_main_text": mainhtml.op5_html,
     "op6_reply_trees": chat.op6_chat,
     "op8_power_of_two_packing": packing.op8_pack,
     "op9_golay_simhash": simhash.op9_simhash,
