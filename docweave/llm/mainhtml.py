@@ -163,10 +163,9 @@ class Weights:
     """Learnt counts: words and tags of each kind inside and outside of marked content."""
 
     def __init__(self, inside: np.ndarray, outside: np.ndarray):
-        share = (inside + 1.2) / (inside + outside + 2)  # what was never seen is slightly more likely content
+        share = (inside + 1.6) / (inside + outside + 2)  # what was never seen is more likely content
         self.word = np.clip(2 * share - 1, -1, 1)
-        self.tag = np.minimum(share - 1, -0.02)
-        self.seen = inside + outside
+        self.tag = np.minimum(0.15 * (share - 1), -0.02)
 
     @staticmethod
     def count(pages: list[Page], inside: np.ndarray, outside: np.ndarray) -> None:
@@ -192,15 +191,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(source: str, weights: Weights) -> str:
     page = Page(source)
     scores = []
-    for kind, words, odd in zip(page.kind, page.words, page.furniture):
-        if odd:
-            scores.append(-0.2 * min(words, 10) if words else -0.02)
+    for kind, words, odd, marked in zip(page.kind, page.words, page.furniture, page.marked):
+        if odd:  # left out of the region in any case: a small price for reaching across it
+            scores.append(-0.05 * min(words, 10) if words else -0.02)
         else:
-            scores.append(weights.word[kind] * words if words else (weights.tag[kind] if weights.seen[kind] else -0.1))
+            scores.append(max(weights.word[kind], 0.6 if marked else -1) * words if words else weights.tag[kind])
     begin, end = best_region(scores)
     blocks: dict[int, list[str]] = {}
     for i in range(begin, end):
-        if page.text[i] and not page.furniture[i] and (weights.word[page.kind[i]] > -0.8 or not page.words[i]):
+        if page.text[i] and not page.furniture[i] and (page.marked[i] or weights.word[page.kind[i]] > -0.8 or not page.words[i]):
             blocks.setdefault(page.block[i], []).append(page.text[i])
     return " ".join(t for b in blocks.values() if (t := " ".join("".join(b).split())))
 
