@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import chat, fertility, jpeg, langid, mainhtml, mixing, packing, quality, simhash
+from docweave.llm import chat, fertility, jpeg, langid, mainhtml, mixing, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality,
@@ -11,9 +11,12 @@ QUERIES = {
     "op4_tokenizer_fertility": fertility.op4_fertility,
     "op5_main_text": mainhtml.op5_html,
     "op6_reply_trees": chat.op6_chat,
+    "op7_merkle_fixity": warc.op7_fixity,
     "op8_power_of_two_packing": packing.op8_pack,
     "op9_golay_simhash": simhash.op9_simhash,
     "op10_baseline_jpeg": jpeg.op10_jpeg,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_merkle_fixity": warc.OP7_SQL,
+}
