@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.llm import golay
 from docweave.llm.common import cut_lineage, rows_of, slices, table
@@ -172,13 +173,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def components(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """fp, component_id for every distinct fingerprint: the smallest doc_id it can reach."""
+    """fp, root, component_id for every distinct fingerprint: the smallest fingerprint and the smallest doc_id it can reach."""
     nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(fingerprint_links(nodes, most)).withColumnRenamed("node", "fp")
     joined = cut_lineage(nodes.join(linked, "fp", "left"))
     named = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    alone = joined.where("root is null").select("fp", F.col("least").alias("component_id"))
-    return alone.unionByName(joined.where("root is not null").join(named, "root").select("fp", "component_id"))
+    alone = joined.where("root is null").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return alone.unionByName(joined.where("root is not null").join(named, "root").select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
@@ -187,6 +188,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     return fps.join(components(fps, most), "fp").select("doc_id", "fp", "component_id")
 
 
+_FP = "__simhash_fp"
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (null last), one of equal rows."""
+    fps = cut_lineage(fingerprints(docs, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")
+    best = fps.join(components(fps, most), "fp").groupBy("root").agg(first).select("k.doc_id", "k.fp")
+    many = fps.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    pair = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.fp") == F.col(f"{b}.fp"))
+    keepers = cut_lineage(best.alias("a").join(many.alias("b"), pair("a", "b")).select("a.doc_id", "a.fp", "b.n"))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in slices(batches):
+            fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(fps)], names=[*piece.schema.names, _FP])
+
+    marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(_FP, T.LongType())]))
+    mine = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{_FP}") == F.col("k.fp"))
+    once = marked.alias("d").join(keepers.where("n = 1").alias("k"), mine, "left_semi")
+    repeated = marked.alias("d").join(keepers.where("n > 1").alias("k"), mine, "left_semi").dropDuplicates(["doc_id", _FP])
+    return once.unionByName(repeated).drop(_FP)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
