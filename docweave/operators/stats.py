@@ -269,7 +269,6 @@ def compress_history(messages: DataFrame, recent_turns: int = 2, cap: int = 600)
     keep = max(2, 2 * recent_turns)
     order = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("message_id"))
     ranked = messages.select("conversation_id", "role", "content", F.row_number().over(order).alias("rn"), F.count(F.lit(1)).over(Window.partitionBy("conversation_id")).alias("n"))
-    width = F.when(F.col("n") - keep > 8, 50).otherwise(80)
     older = F.col("rn") > keep
     short = F.concat("role", F.lit(": "), F.expr("substring(regexp_replace(content, '\\\\n', ' '), 1, case when n - {0} > 8 then 50 else 80 end)".format(keep)))
     rows = ranked.groupBy("conversation_id").agg(
@@ -279,7 +278,6 @@ def compress_history(messages: DataFrame, recent_turns: int = 2, cap: int = 600)
     )
     line = F.array_join(F.transform("old", lambda x: x["t"]), "\n")
     capped = F.when(F.length(line) > cap, F.concat(F.substring(line, 1, cap), F.lit("…"))).otherwise(line)
-    del width
     out = rows.select("conversation_id", F.size("old").cast("long").alias("n_older"), capped.alias("summary"), F.array_join(F.transform("new", lambda x: x["t"]), "\n").alias("recent"), "before")
     after = F.length("summary") + F.length("recent")
     return out.withColumn("savings_ratio", F.round(F.greatest(F.lit(0.0), 1 - after / F.greatest("before", F.lit(1))), 4)).drop("before")
