@@ -57,9 +57,9 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples; relation_id orders them. It hashes the whole row, so that no global order is needed to number them."""
+    """Triples with names of one length, so that no name is part of another."""
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "l_linenumber as kb_id", "l_orderkey as chunk_id", "concat('P', cast(l_partkey as string)) as subject", "l_returnflag as predicate", "concat('S', cast(l_suppkey as string)) as object_entity"
+        "l_linenumber as kb_id", "l_orderkey as chunk_id", "concat('P', lpad(cast(l_partkey as string), 7, '0')) as subject", "l_returnflag as predicate", "concat('S', lpad(cast(l_suppkey as string), 7, '0')) as object_entity"
     )
 
 
@@ -92,7 +92,7 @@ SQL = {
     "fx_messages": "SELECT conv_id * 100 + turn AS message_id, conv_id AS conversation_id, concat('src', CAST(conv_id % 20 AS VARCHAR)) AS kb_id, role, text AS content, CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 <> 0 THEN concat('[{\"chunk_id\":', CAST((conv_id * 7 + turn) % 200 AS VARCHAR), ',\"score\":0.5},{\"chunk_id\":', CAST((conv_id * 3 + turn) % 200 AS VARCHAR), ',\"score\":0.25}]') END AS sources, (TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(conv_id * 60 + turn AS BIGINT))) AS created_at FROM conversations",
     "fx_sources": "SELECT conv_id * 100 + turn AS message_id, conv_id AS conversation_id, concat('src', CAST(conv_id % 20 AS VARCHAR)) AS kb_id, p.pos AS pos, CASE p.pos WHEN 0 THEN (conv_id * 7 + turn) % 200 ELSE (conv_id * 3 + turn) % 200 END AS chunk_id, CASE p.pos WHEN 0 THEN 0.5 ELSE 0.25 END AS score FROM conversations, (SELECT 0 AS pos UNION ALL SELECT 1) p WHERE role = 'assistant' AND (conv_id + turn) % 5 <> 0",
     "fx_feedback": "SELECT event_id AS feedback_id, user_id AS chunk_id, CASE event_type WHEN 'purchase' THEN 'like' WHEN 'error' THEN 'dislike' ELSE 'correction' END AS feedback_type, ts AS created_at FROM events WHERE event_type IN ('purchase','error','signup')",
-    "fx_relations": "SELECT l_linenumber AS kb_id, l_orderkey AS chunk_id, concat('P', CAST(l_partkey AS VARCHAR)) AS subject, l_returnflag AS predicate, concat('S', CAST(l_suppkey AS VARCHAR)) AS object_entity FROM lineitem",
+    "fx_relations": "SELECT l_linenumber AS kb_id, l_orderkey AS chunk_id, concat('P', lpad(CAST(l_partkey AS VARCHAR), 7, '0')) AS subject, l_returnflag AS predicate, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 7, '0')) AS object_entity FROM lineitem",
     "fx_suggestions": "SELECT o_orderkey AS suggestion_id, o_custkey % 20 AS kb_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'duplicate' WHEN '2' THEN 'cold_stale' WHEN '3' THEN 'high_quality_zero_hit' WHEN '4' THEN 'low_quality' ELSE 'archive_candidate' END AS suggestion_type, CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'dismissed' WHEN 3 THEN 'executed' WHEN 4 THEN 'verified' ELSE 'pending' END AS status, o_orderdate AS created_at FROM orders",
     "fx_questions": "SELECT item_id AS query_id, concat('src', CAST(item_id % 20 AS VARCHAR)) AS kb_id, substr(text, 1, 120) AS question FROM benchmark",
     "fx_samples": "SELECT q.vec_id AS sample_id, CASE WHEN q.label = 9 THEN 'negative' WHEN q.label % 3 = 0 THEN 'fact' WHEN q.label % 3 = 1 THEN 'concept' ELSE 'multi_hop' END AS q_type, r.vec_id AS relevant_id, CASE WHEN r.vec_id % 3 = 0 THEN 'primary' WHEN r.vec_id % 3 = 1 THEN 'supporting' ELSE 'tangential' END AS grade FROM embeddings q LEFT JOIN embeddings r ON r.label = q.label AND q.label <> 9 AND r.vec_id >= 40 AND r.vec_id < 100 WHERE q.vec_id < 40",
