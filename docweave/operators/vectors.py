@@ -93,7 +93,7 @@ def ingest_gate(new_chunks: DataFrame, vectors: DataFrame, duplicate: float = 0.
     near = vector_topk(asked, vectors, 3).where("rank = 1").select(F.col("query_id").alias("chunk_id"), F.col("chunk_id").alias("nearest_id"), "distance")
     joined = new_chunks.select("chunk_id", "kb_id").join(near, "chunk_id", "left")
     status = F.when(F.col("distance") < _threshold(duplicate, metric), "duplicate").when(F.col("distance") < _threshold(conflict, metric), "conflict").otherwise("allow")
-    similarity = F.round(F.greatest(F.lit(0.0), 1 - F.col("distance") * F.col("distance") / 2), 4)
+    similarity = F.when(F.col("distance").isNotNull(), F.round(F.greatest(F.lit(0.0), 1 - F.col("distance") * F.col("distance") / 2), 4))
     return joined.select("chunk_id", "kb_id", status.alias("status"), "nearest_id", similarity.alias("similarity"))
 
 

@@ -161,7 +161,7 @@ SQL = {
     "sr03_vector_topk": with_views("SELECT query_id, chunk_id, rank, round(0.7 * (1 - d), 4) AS score FROM nn WHERE rank <= 30 AND 0.7 * (1 - d) > 0.15", _NEAR),
     "sr03b_vector_only": with_views("SELECT query_id, chunk_id, rank, round(CAST(1 AS DOUBLE) / rank, 6) AS score FROM nn WHERE rank <= 5 AND 0.7 * (1 - d) > 0.15", _NEAR),
     "fl04_vector_threshold": with_views("SELECT query_id, count(*) AS n_kept FROM nn WHERE rank <= 50 AND 0.7 * (1 - d) > 0.15 GROUP BY 1", _NEAR),
-    "sr16_ingest_gate": with_views("SELECT c.chunk_id, c.kb_id, CASE WHEN d < 0.6 THEN 'duplicate' WHEN d < 0.75 THEN 'conflict' ELSE 'allow' END AS status, n.other AS nearest_id, round(round(greatest(0.0, 1 - d * d / 2), 4), 3) AS similarity FROM v c LEFT JOIN g n ON n.chunk_id = c.chunk_id AND n.rank = 1 WHERE c.chunk_id % 10 = 3",
+    "sr16_ingest_gate": with_views("SELECT c.chunk_id, c.kb_id, CASE WHEN d < 0.6 THEN 'duplicate' WHEN d < 0.75 THEN 'conflict' ELSE 'allow' END AS status, n.other AS nearest_id, CASE WHEN d IS NOT NULL THEN round(round(greatest(0.0, 1 - d * d / 2), 4), 3) END AS similarity FROM v c LEFT JOIN g n ON n.chunk_id = c.chunk_id AND n.rank = 1 WHERE c.chunk_id % 10 = 3",
         _VEC, f"g AS (SELECT a.chunk_id, b.chunk_id AS other, {_DIST} AS d, row_number() OVER (PARTITION BY a.chunk_id ORDER BY {_DIST}, b.chunk_id) AS rank FROM v a JOIN v b ON a.kb_id = b.kb_id WHERE a.chunk_id % 20 = 3 AND b.chunk_id % 10 <> 3)"),
     "sr17_near_duplicate_pairs": with_views("SELECT kb_id, least(q, o) AS a, greatest(q, o) AS b, round(round(greatest(0.0, 1 - min(d)), 4), 3) AS similarity FROM g WHERE rank = 1 AND d <= 0.8 GROUP BY 1, 2, 3",
         _VEC, "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY created_at DESC, chunk_id) AS rn FROM v) x WHERE rn <= 40)", f"g AS (SELECT a.kb_id, a.chunk_id AS q, b.chunk_id AS o, {_DIST} AS d, row_number() OVER (PARTITION BY a.chunk_id ORDER BY {_DIST}, b.chunk_id) AS rank FROM s a JOIN v b ON a.kb_id = b.kb_id AND a.chunk_id <> b.chunk_id)"),
