@@ -66,7 +66,7 @@ def filter_queue(rows: DataFrame, status: str | None = None, kind: str | None =
     own = own if kind is None else own.where(F.col(type_column) == kind)
     total = own.agg(F.count(F.lit(1)).alias("total"))
     page = own.orderBy(F.desc("created_at"), F.desc(key)).offset(offset).limit(limit)
-    return page.crossJoin(F.broadcast(total))  # one row beside a page
+    return page.withColumn("__one", F.lit(1)).join(total.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 def scan_suggestions(chunks: DataFrame, documents: DataFrame, quality: DataFrame, duplicates: DataFrame, as_of: str, most_cold: int = 50) -> DataFrame:

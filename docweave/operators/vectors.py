@@ -1,8 +1,8 @@
 """Nearest neighbours of many vectors at once, and the gates built on them.
 
 Distances are 1 - cosine; ``metric='l2'`` reads a threshold as the distance of unit vectors instead.
-Vectors of a kb are dealt out in salted blocks, so no kb is one task; the queries' block meets
-every salt of its kb, each block keeps the best k per query, and only those are merged.
+Vectors and queries of a kb are dealt out in blocks, so no kb is one task; each pair of blocks keeps
+the best k per query, and only those are merged.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block: some ten megabytes of vectors.
+BLOCK_ROWS = 20_000
 _OUT = "query_id long, chunk_id long, distance double"
 
 
@@ -28,16 +30,21 @@ def _nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return rows, cols, d[rows, cols]
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, salts: int = 16, skip_self: bool = False) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, block_rows: int = BLOCK_ROWS, skip_self: bool = False) -> DataFrame:
     """query_id, chunk_id, distance (six places), rank of each query's k nearest in its kb.
 
     ``queries``: query_id, kb_id, embedding; ``vectors``: chunk_id, kb_id, embedding. Ties go to the smaller id;
-    ``skip_self`` leaves out a row of the query's own id.
+    ``skip_self`` leaves out a row of the query's own id. A kb's vectors and queries are both dealt into blocks of
+    about ``block_rows``, and every block of the one meets every block of the other.
     """
     per = k + skip_self
     q = queries.where("embedding is not null").select("query_id", "kb_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    v = vectors.where("embedding is not null").select("chunk_id", "kb_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).alias("salt"))
-    qs = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    v = vectors.where("embedding is not null").select("chunk_id", "kb_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    blocks = lambda df, name: df.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(name))
+    sizes = blocks(v, "v_blocks").join(blocks(q, "q_blocks"), "kb_id")
+    others = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    qs = q.join(sizes, "kb_id").select("query_id", "kb_id", "embedding", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).alias("q_block"), others("v_blocks").alias("v_block"))
+    v = v.join(sizes, "kb_id").select("chunk_id", F.col("kb_id").alias("kb"), "embedding", F.pmod(F.xxhash64("chunk_id"), F.col("v_blocks")).alias("vb"), others("q_blocks").alias("qb"))
 
     def block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -50,7 +57,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, salts: int
             out.append(pd.DataFrame({"query_id": part.query_id.to_numpy()[i], "chunk_id": ids[j], "distance": dist}))
         return pd.concat(out)
 
-    found = qs.groupBy("kb_id", "salt").cogroup(v.groupBy("kb_id", "salt")).applyInPandas(block, _OUT)
+    found = qs.groupBy("kb_id", "v_block", "q_block").cogroup(v.groupBy("kb", "vb", "qb")).applyInPandas(block, _OUT)
     if skip_self:
         found = found.where("query_id <> chunk_id")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")

@@ -91,7 +91,7 @@ def test_vector_topk_equals_brute_force(spark):
     m = rng.normal(size=(300, 8))
     df = spark.createDataFrame([(i, i % 3, [float(x) for x in m[i]]) for i in range(300)], "chunk_id long, kb_id int, embedding array<double>")
     q = df.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
-    got = {(r.query_id, r["rank"]): r.chunk_id for r in vectors.vector_topk(q, df, 5).collect()}
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in vectors.vector_topk(q, df, 5, block_rows=7).collect()}
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     for i in range(0, 300, 10):
         d = [(round(1 - float(u[i] @ u[j]), 6), j) for j in range(300) if j % 3 == i % 3]
