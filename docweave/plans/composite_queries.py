@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.operators import chunking as K
 from docweave.operators import composite as C
 from docweave.operators import search, stats
+from docweave.operators.common import materialised
 from docweave.sources import views as V
 from docweave.sources.views import AS_OF
 
@@ -17,6 +18,10 @@ def _chunks(spark, d):
     return V.chunks(spark, d).join(e, "chunk_id", "left")
 
 
+def _postings(spark, d):
+    return materialised(search.build_postings(V.chunks(spark, d)))
+
+
 def _queries(spark, d):
     e = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     return V.questions(spark, d).join(e, "query_id", "left")
@@ -28,7 +33,7 @@ def _quality(spark, d):
 
 
 def _finder(spark, d):
-    chunks, postings, quality = _chunks(spark, d), search.build_postings(V.chunks(spark, d)), _quality(spark, d)
+    chunks, postings, quality = _chunks(spark, d), _postings(spark, d), _quality(spark, d)
     return lambda q, k: C.hybrid_search(q, chunks, postings, quality, k)
 
 
@@ -74,7 +79,7 @@ def sr04_hybrid_search(spark, d):
 
 
 def sr06_multi_hop_search(spark, d):
-    return C.multi_hop_search(_templated(spark, d), _finder(spark, d), search.build_postings(V.chunks(spark, d)), _chunks(spark, d))
+    return C.multi_hop_search(_templated(spark, d), _finder(spark, d), _postings(spark, d), _chunks(spark, d))
 
 
 def sr07_sub_query_search(spark, d):
@@ -102,7 +107,7 @@ def sr20_two_round_search(spark, d):
 
 def sr21_strict_vs_relaxed(spark, d):
     relations = V.documents(spark, d).selectExpr("kb_id", "document_id as chunk_id", "filename as subject", "status as predicate", "kb_id as object_entity")
-    return C.strict_vs_relaxed(_templated(spark, d), _chunks(spark, d), search.build_postings(V.chunks(spark, d)), _quality(spark, d), relations)
+    return C.strict_vs_relaxed(_templated(spark, d), _chunks(spark, d), _postings(spark, d), _quality(spark, d), relations)
 
 
 SQL: dict[str, str] = {}

@@ -8,12 +8,14 @@ from docweave.operators import ranking as R
 from docweave.operators import search as S
 from docweave.operators import stats
 from docweave.operators import vectors as X
+from docweave.operators.common import materialised
 from docweave.sources import views as V
 from docweave.sources.views import AS_OF, with_views
 
 
 def _postings(spark, d):
-    return S.build_postings(V.chunks(spark, d))
+    """The index as a job would find it: written once, read several times."""
+    return materialised(S.build_postings(V.chunks(spark, d)))
 
 
 def _bm25(spark, d, every=False):
@@ -42,7 +44,7 @@ def _candidates(spark, d):
 
 
 def sr01_build_postings(spark, d):
-    return _postings(spark, d).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return S.build_postings(V.chunks(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 def sr02_bm25_search(spark, d):
