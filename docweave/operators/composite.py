@@ -107,7 +107,7 @@ def sufficiency(queries: DataFrame, results: DataFrame, chunks: DataFrame, min_s
 
 def sub_query_search(queries: DataFrame, find, top_k: int = 5) -> DataFrame:
     """Each part of a compound question searched on its own, lists fused. ``find``: (queries, k) -> results; per part min(8, max(3, k // n + 1)) rows."""
-    parts = queries.withColumn("parts", T.sub_queries(F.col("question"))).select("*", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("list_no", "part"))
+    parts = materialised(queries).withColumn("parts", T.sub_queries(F.col("question"))).select("*", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("list_no", "part"))
     sub = materialised(parts.drop("question", "parts").withColumnRenamed("part", "question").withColumns({"parent": F.col("query_id"), "query_id": F.col("query_id") * 100 + F.col("list_no")}))
     found = find(sub, 8).join(sub.select("query_id", "parent", "list_no", "n_parts"), "query_id")
     per = F.least(F.lit(8), F.greatest(F.lit(3), F.floor(F.lit(top_k) / F.col("n_parts")) + 1))
@@ -130,6 +130,7 @@ def multi_hop_search(queries: DataFrame, find, postings: DataFrame, chunks: Data
 
     What the relaxed gate drops altogether falls back to the anchors' full-text hits.
     """
+    queries = materialised(queries)
     q = queries.withColumn("route", T.route_query(F.col("question"))).withColumn("anchors", T.multi_hop_anchors(F.col("question")))
     cue = F.exists(F.array(*[F.lit(c) for c in SPLIT_CUES]), lambda c: F.col("question").contains(c))
     split = materialised(q.where(F.col("route").isin("relational", "comprehensive") & cue & (F.size("anchors") >= 2)))
@@ -152,7 +153,7 @@ def two_round_search(queries: DataFrame, find, chunks: DataFrame, default_k: int
 
     The first sufficient round stays. If neither is, the one of the higher score does (round two on a tie) and refused is true.
     """
-    first = materialised(routed(queries, default_k))
+    first = materialised(routed(materialised(queries), default_k))
     one = materialised(find(first, None))
     judged = sufficiency(first, one, chunks)
     weak = first.join(judged.where("not sufficient").select("query_id"), "query_id", "left_semi")
