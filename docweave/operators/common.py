@@ -12,4 +12,11 @@ def materialised(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint()
+    # a union's claimed partitioning does not survive a checkpoint (its parts are put one after another), so unions claim none here
+    key, conf = "spark.sql.unionOutputPartitioning", spark.conf
+    before = conf.get(key, "true")
+    conf.set(key, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(key, before)

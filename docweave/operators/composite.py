@@ -172,7 +172,7 @@ def strict_vs_relaxed(queries: DataFrame, chunks: DataFrame, postings: DataFrame
     strict = retrieval_abstain(queries, hybrid_search(queries, chunks, postings, quality, top_k, 0.35, False), chunks, model_least=0.35)
     loose = materialised(hybrid_search(queries, chunks, postings, quality, top_k, 0.25, True))
     by_graph = graph.graph_search(queries, relations, chunks, "lite", top_k)
-    lists = loose.select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank", "source").unionByName(by_graph.select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", F.lit("graph").alias("source")))
+    lists = materialised(loose.select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank", "source").unionByName(by_graph.select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", F.lit("graph").alias("source"))))
     relaxed = retrieval_abstain(queries, ranking.merge_source_lists(lists, top_k), chunks, relaxed=True, model_least=0.25)
     a, b = strict.select("query_id", "chunk_id", F.col("rank").alias("strict_rank")), relaxed.select("query_id", "chunk_id", F.col("rank").alias("relaxed_rank"))
-    return a.join(b, ["query_id", "chunk_id"], "full_outer")
+    return materialised(a.join(b, ["query_id", "chunk_id"], "full_outer"))

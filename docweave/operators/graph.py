@@ -191,6 +191,8 @@ def rank_chunks_linear(seeds: DataFrame, relations: DataFrame) -> DataFrame:
         return out
 
     kind = dict(nodes.dtypes)
+    n = int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes, inner = nodes.repartition(n, "query_id"), inner.repartition(n, "pair_query")
     ranked = nodes.groupBy("query_id").cogroup(inner.groupBy("pair_query")).applyInPandas(run, f"query_id {kind['query_id']}, kb_id {kind['kb_id']}, entity string, is_seed boolean, pr double")
     first = seeds.join(index, ["kb_id", "entity"]).select("query_id", "chunk_id", (1 / (1 + F.col("seed_no") * 0.1)).alias("s"))
     second = ranked.where("not is_seed").join(index, ["kb_id", "entity"]).select("query_id", "chunk_id", (0.5 * F.col("pr")).alias("s"))

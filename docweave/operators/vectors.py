@@ -57,6 +57,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, block_rows:
             out.append(pd.DataFrame({"query_id": part.query_id.to_numpy()[i], "chunk_id": ids[j], "distance": dist}))
         return pd.concat(out)
 
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # both sides alike, whatever they were dealt by before
+    qs, v = qs.repartition(n, "kb_id", "v_block", "q_block"), v.repartition(n, "kb", "vb", "qb")
     found = qs.groupBy("kb_id", "v_block", "q_block").cogroup(v.groupBy("kb", "vb", "qb")).applyInPandas(block, _OUT)
     if skip_self:
         found = found.where("query_id <> chunk_id")
