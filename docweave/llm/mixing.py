@@ -1,15 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions alone.
 
-Each source's documents are put in an order of their own and cut into blocks. Target weights become
-whole shares of a frame of ``frame`` slots. In every frame a source has as many blocks as its share,
-or what it has left; block i of c in a frame of L slots is released at floor(i L / c) and due at
-ceil((i + 1) L / c). Earliest deadline first gives each slot to the released block that is due
-soonest, so after any number of slots a source has been given less than one block more or
-less than its weight asks for. Frames in which the same sources run out are alike, so a schedule is
-folded once for each kind of frame (at most two a source and one), and blocks look up their slot.
+Each source's documents are put in an order of their own and cut into blocks. With all sources
+going on by their target weights until they run out, block i of a source would be given between
+two points of time: it is released at the first, rounded down, and due at the second, rounded up.
+Earliest deadline first gives each slot to the released block that is due soonest. One always is,
+and none is late, so after any number of slots a source has been given less than one block more
+or less than its target weight asks for. The points are computed in whole numbers, with weights
+to fifteen places where the number of blocks allows.
 
 Every document is kept, once, where sources run out the others go on by their shares. Null is a
-source like any other. Weights that are missing are taken as 0 and get the least share, one slot. Ties go
+source like any other. Weights that are missing are taken as 0: such a source is due when the others have run out. Ties go
 to the source that comes first. Repeated rows stay repeated. An empty table gives an empty table.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import cut_lineage, table
 
-#: Slots of a frame: weights are met to a thousandth. Sources may not outnumber them.
+#: Slots whose blocks the schedule keeps in one array.
 FRAME = 1000
 #: Documents a block.
 BLOCK_DOCS = 8
@@ -30,10 +30,11 @@ TEMPER = 0.7
 DOCS_PER_SALT = 2_000
 
 
-def source_shares(sizes: DataFrame, weights: DataFrame | None = None, frame: int = FRAME) -> DataFrame:
-    """source, place, n_docs, share: whole shares that add up to ``frame``, by the largest remainder.
+def source_weights(sizes: DataFrame, weights: DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """source, place, blocks, weight, goal: the weight as a whole number, and as a part of one.
 
     ``sizes`` has source and n_docs, one row a source. A table of sources is small: it has one row each.
+    Weights are scaled to the largest power of ten at which a weight times a number of blocks fits a bigint.
     """
     if weights is None:
         weighed = sizes.withColumn("w", F.pow(F.col("n_docs").cast("double"), F.lit(TEMPER)))
@@ -42,59 +43,69 @@ def source_shares(sizes: DataFrame, weights: DataFrame | None = None, frame: int
         pair = F.col("s.source").eqNullSafe(F.col("g.source"))
         weighed = sizes.alias("s").join(given.alias("g"), pair, "left").select("s.source", "s.n_docs", F.greatest(F.coalesce("g.w", F.lit(0.0)), F.lit(0.0)).alias("w"))
     every = Window.partitionBy()
-    spare = F.lit(frame) - F.count(F.lit(1)).over(every)  # one slot each comes first
     total = F.sum("w").over(every)
-    exact = F.when(total > 0, F.col("w") / total * spare).otherwise(spare / F.count(F.lit(1)).over(every))
-    whole = weighed.withColumn("exact", exact).withColumn("down", F.floor("exact"))
-    left = F.lit(frame) - F.sum(F.col("down") + 1).over(every)
-    rank = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.col("exact") - F.col("down")), F.col("source").asc_nulls_first()))
-    shares = whole.withColumn("share", (F.col("down") + 1 + F.when(rank <= left, 1).otherwise(0)).cast("long"))
+    goal = F.when(total > 0, F.col("w") / total).otherwise(1.0 / F.count(F.lit(1)).over(every))
     place = F.row_number().over(Window.partitionBy().orderBy(F.col("source").asc_nulls_first())) - 1
-    checked = F.when(F.count(F.lit(1)).over(every) > frame, F.raise_error(F.lit("more sources than slots of a frame"))).otherwise(F.col("share"))
-    return shares.select("source", place.cast("long").alias("place"), "n_docs", checked.cast("long").alias("share"))
+    rows = weighed.withColumns({"goal": goal, "place": place.cast("long"), "blocks": F.ceil(F.col("n_docs") / block_docs).cast("long")})
+    most = F.sum("blocks").over(every) + F.count(F.lit(1)).over(every)
+    scale = F.pow(F.lit(10.0), F.least(F.lit(15.0), F.floor(F.log10(F.lit(4e18) / most)).cast("double")))
+    whole = F.greatest(F.lit(1).cast("long"), F.round(F.col("goal") * scale).cast("long"))
+    return rows.select("source", "place", "blocks", whole.alias("weight"), "goal")
 
 
-def frame_plan(sources: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """One row: s (place, share, blocks and name of each source) and bounds (the frames at which a kind of frames begins).
+def _line(i: str, weight: str) -> str:
+    """SQL: the slot at which a source of this weight is due its first i blocks, rounded down and up.
 
-    ``sources`` as from ``source_shares``; they number at most ``frame``, so all fit in one row.
+    A source that runs out sooner has given all its blocks by then, the others as their weights ask.
     """
-    rows = sources.withColumn("blocks", F.ceil(F.col("n_docs") / block_docs).cast("long"))
-    # a source's frames are full up to blocks div share, then comes one with the rest
-    ends = F.array(F.lit(0).cast("long"), F.expr("blocks div share"), F.expr("(blocks + share - 1) div share"))
-    return rows.agg(F.array_sort(F.collect_list(F.struct("place", "share", "blocks", "source"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(ends)))).alias("bounds"))
+    return f"""
+    aggregate(s, named_struct('out', 0L, 'on', 0L),
+      (sum, y) -> if(y.blocks * {weight} <= ({i}) * y.weight, named_struct('out', sum.out + y.blocks, 'on', sum.on), named_struct('out', sum.out, 'on', sum.on + y.weight)),
+      sum -> named_struct('down', sum.out + (({i}) * sum.on) div {weight}, 'up', sum.out + (({i}) * sum.on + {weight} - 1L) div {weight}))"""
 
 
-def frame_kinds(plan: DataFrame) -> DataFrame:
-    """kind (its first frame), counts (blocks of each place in such a frame), length, first_slot."""
-    spread = plan.select("s", F.explode("bounds").alias("kind"))
-    counts = F.transform("s", lambda s: F.greatest(F.lit(0).cast("long"), F.least(s["share"], s["blocks"] - F.col("kind") * s["share"])))
-    first = F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + F.least(s["blocks"], F.col("kind") * s["share"]))
-    kinds = spread.select("kind", counts.alias("counts"), first.alias("first_slot"))
-    return kinds.withColumn("length", F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).where("length > 0")
+#: SQL: each source's next block: its number, release, due, and the release of the one after.
+_FIRST = f"transform(s, c -> if(c.blocks = 0L, named_struct('nth', 0L, 'release', 0L, 'due', 0L, 'after', 0L), transform(array({_line('1L', 'c.weight')}), l -> named_struct('nth', 0L, 'release', 0L, 'due', l.up, 'after', l.down))[0]))"
+#: SQL: of the released blocks the one that is due soonest, as due * sources + place.
+_SOONEST = "array_min(transform(a.next, (x, i) -> if(x.nth < s[i].blocks and x.release <= t, x.due * size(s) + i, null))) % size(s)"
+_AFTER = f"transform(array({_line('x.nth + 2L', 's[i].weight')}), l -> named_struct('nth', x.nth + 1L, 'release', x.after, 'due', l.up, 'after', l.down))[0]"
+#: SQL: one slot t more; ``out`` gets number * sources + place.
+_STEP = f"""
+    transform(array({_SOONEST}), p -> named_struct(
+      'next', transform(a.next, (x, i) -> if(i = p, {_AFTER}, x)),
+      'out', concat(a.out, array(a.next[cast(p as int)].nth * size(s) + p))))[0]"""
 
 
 def earliest_deadline_first() -> Column:
-    """Of the columns counts and length: the place that gets each slot of a frame."""
-    step = """
-    aggregate(sequence(0L, length - 1L), named_struct('given', transform(counts, c -> 0L), 'out', cast(array() as array<bigint>)),
-      (s, t) -> transform(array(array_min(filter(transform(counts, (c, i) ->
-            if(s.given[i] < c and (s.given[i] * length) div c <= t, named_struct('due', ((s.given[i] + 1L) * length + c - 1L) div c, 'place', cast(i as bigint)), null)),
-          x -> x is not null)).place),
-        p -> named_struct('given', transform(s.given, (g, i) -> if(i = p, g + 1L, g)), 'out', concat(s.out, array(p))))[0],
-      s -> s.out)
+    """Of the columns counts and length: the place that gets each slot of a frame, by weights that equal the counts."""
+    sources = "transform(counts, c -> named_struct('blocks', c, 'weight', c))"
+    fold = f"aggregate(sequence(0L, length - 1L), named_struct('next', {_FIRST}, 'out', cast(array() as array<bigint>)), (a, t) -> {_STEP}, a -> transform(a.out, o -> o % size(s)))"
+    return F.expr(f"transform(array({sources}), s -> {fold})[0]")
+
+
+def slot_frames(plan: DataFrame, frame: int = FRAME) -> DataFrame:
+    """s, frame_no, out: the blocks in each frame's slots.
+
+    Which block is next depends on all before it, so one task folds over the slots, with one number a block;
+    frames keep its arrays short. All else is done by frames.
     """
-    return F.expr(step)
+    inner = f"aggregate(sequence(k * {frame}L, least(total, (k + 1L) * {frame}L) - 1L), named_struct('next', b.next, 'out', cast(array() as array<bigint>)), (a, t) -> {_STEP})"
+    fold = f"""
+    aggregate(sequence(0L, (total - 1L) div {frame}L), named_struct('next', {_FIRST}, 'frames', cast(array() as array<array<bigint>>)),
+      (b, k) -> transform(array({inner}), r -> named_struct('next', r.next, 'frames', concat(b.frames, array(r.out))))[0],
+      b -> b.frames)"""
+    total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["blocks"])
+    folded = plan.withColumn("total", total).where("total > 0").select("s", F.expr(fold).alias("frames"))
+    return folded.select("s", F.posexplode("frames").alias("frame_no", "out"))
 
 
-def slot_table(kinds: DataFrame) -> DataFrame:
-    """kind, place, nth, slot, release, due, first_slot, length: where the nth block of a place stands in its frame."""
-    slots = kinds.select("kind", "counts", "length", "first_slot", F.posexplode(earliest_deadline_first()).alias("slot", "place"))
-    nth = F.row_number().over(Window.partitionBy("kind", "place").orderBy("slot")) - 1
-    count = F.element_at("counts", (F.col("place") + 1).cast("int"))
-    numbered = slots.withColumn("count", count).withColumn("nth", nth.cast("long"))
-    release, due = F.expr("(nth * length) div count"), F.expr("((nth + 1) * length + count - 1) div count")
-    return numbered.select("kind", "place", "nth", F.col("slot").cast("long").alias("slot"), release.alias("release"), due.alias("due"), "first_slot", "length")
+def slot_table(plan: DataFrame, frame: int = FRAME) -> DataFrame:
+    """place, block (of its source), slot, release, due: where each block stands."""
+    dealt = cut_lineage(slot_frames(plan, frame)).repartition("frame_no")
+    slots = dealt.select("s", "frame_no", F.posexplode("out").alias("at", "o"))
+    named = slots.select("s", F.expr("o % size(s)").alias("place"), F.expr("o div size(s)").alias("block"), (F.col("frame_no").cast("long") * frame + F.col("at")).alias("slot"))
+    own = named.withColumn("w", F.expr("s[cast(place as int)].weight"))
+    return own.select("place", "block", "slot", F.expr(_line("block", "w")).getField("down").alias("release"), F.expr(_line("block + 1L", "w")).getField("up").alias("due"))
 
 
 def numbered_by_source(docs: DataFrame, key: str, salts: int) -> tuple[DataFrame, DataFrame]:
@@ -111,22 +122,19 @@ def numbered_by_source(docs: DataFrame, key: str, salts: int) -> tuple[DataFrame
 
 
 def schedule(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", frame: int = FRAME, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """key, source, block (of its source), slot (of all blocks), in_block, release, due (in slots from the start), share."""
+    """key, source, block (of its source), slot (of all blocks), in_block, release, due (in slots from the start), share (the target weight as a part of one)."""
     rows = cut_lineage(docs.select(F.col(key), "source"))
     salts = max(1, rows.count() // DOCS_PER_SALT)
     ready, sizes = numbered_by_source(rows, key, salts)
-    plan = cut_lineage(frame_plan(source_shares(sizes, weights, frame), block_docs))
-    slots = slot_table(frame_kinds(plan))
-    block = F.floor(F.col("__nth") / block_docs).cast("long")
+    # one row; a source's place is its index in s
+    listed = F.array_sort(F.collect_list(F.struct("place", "blocks", "weight", "goal", "source")))
+    plan = cut_lineage(source_weights(sizes, weights, block_docs).agg(listed.alias("s")))
+    slots = slot_table(plan, frame)
     owner = F.col("d.source").eqNullSafe(F.col("s.source"))
-    # a row for each source (at most ``frame``), with the first frames of all kinds (at most two a source)
-    known = plan.select(F.explode("s").alias("s"), "bounds").select("s.source", "s.place", "s.share", "bounds")
-    placed = ready.withColumn("block", block).alias("d").join(F.broadcast(known).alias("s"), owner).select("d.*", "s.place", "s.share", "s.bounds")
-    placed = placed.withColumns({"__frame": F.expr("block div share"), "nth": F.expr("block % share")})
-    in_kind = placed.withColumn("kind", F.array_max(F.filter("bounds", lambda b: b <= F.col("__frame"))))
-    found = in_kind.join(slots, ["kind", "place", "nth"])
-    start = F.col("first_slot") + (F.col("__frame") - F.col("kind")) * F.col("length")
-    return found.select(key, "source", "block", (start + F.col("slot")).alias("slot"), (F.col("__nth") % block_docs).alias("in_block"), (start + F.col("release")).alias("release"), (start + F.col("due")).alias("due"), "share")
+    known = plan.select(F.explode("s").alias("s")).select("s.source", "s.place", F.col("s.goal").alias("share"))  # a row a source
+    placed = ready.withColumn("block", F.floor(F.col("__nth") / block_docs).cast("long")).alias("d").join(F.broadcast(known).alias("s"), owner).select("d.*", "s.place", "s.share")
+    found = placed.join(slots, ["place", "block"])
+    return found.select(key, "source", "block", "slot", (F.col("__nth") % block_docs).alias("in_block"), "release", "due", "share")
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", **options) -> DataFrame:

@@ -126,6 +126,32 @@ def test_mixing(spark):
     assert mixing.schedule(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
 
 
+def asked(blocks, weights, slots):
+    """Blocks of each source after so many slots, if all go on by their weights until they run out."""
+    done, at = [0.0] * len(blocks), 0.0
+    while at < slots - 1e-9:
+        on = [i for i, b in enumerate(blocks) if done[i] < b - 1e-9]
+        rate = sum(weights[i] for i in on)
+        step = min([slots - at] + [(blocks[i] - done[i]) * rate / weights[i] for i in on])
+        for i in on:
+            done[i] += step * weights[i] / rate
+        at += step
+    return done
+
+
+@pytest.mark.parametrize("blocks, weights", [([2700, 300], [0.9, 0.1]), ([700] + [70] * 19, None), ([900] + [1] * 120, [0.9] + [0.1 / 120] * 120), ([50, 400, 300], [0.6, 0.3, 0.1])])
+def test_schedule_keeps_to_target_weights(spark, blocks, weights):
+    names = [f"s{i:03}" for i in range(len(blocks))]
+    docs = spark.createDataFrame([(k, "t", "en", names[k_], 1) for k, k_ in enumerate(i for i, b in enumerate(blocks) for _ in range(b))], DOCS)
+    given = weights and spark.createDataFrame(list(zip(names, weights)), "source string, weight double")
+    weights = weights or [b**mixing.TEMPER for b in blocks]
+    got = mixing.schedule(docs, given, block_docs=1).toPandas().sort_values("slot")
+    assert list(got.slot) == list(range(sum(blocks)))
+    run = np.cumsum(got.source.to_numpy()[:, None] == np.array(names)[None, :], axis=0)
+    for n in (*range(1, len(run), 7), len(run)):
+        assert np.abs(run[n - 1] - asked(blocks, weights, n)).max() < 1 + 1e-6
+
+
 # ---------------------------------------------------------------- 4 rules
 
 
