@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: every stage works on all that its predecessor kept.
 
 Language identification and the quality rules drop rows, near-duplicate removal keeps one row of
-each group, mixing puts all rows in the mixture's order, packing cuts them into sequences.
+each group, mixing puts all rows in the mixture's order and stores it, packing cuts them into sequences
+and numbers those of each length in that order.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from docweave.llm import fertility, langid, mixing, packing, simhash
 from docweave.llm.common import shared_folder, table
 
+#: The column in which the mixture stage stores its order.
+POSITION = "mixture_position"
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, langid.train(langid.training_rows(docs)))
@@ -27,11 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, position=POSITION)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(docs)
+    return packing.digest(docs, position=POSITION)
 
 
 STAGES = [

@@ -137,14 +137,17 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_
     return found.select(key, "source", "block", "slot", (F.col("__nth") % block_docs).alias("in_block"), "release", "due", "share")
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", position: str | None = None, block_docs: int = BLOCK_DOCS, **options) -> DataFrame:
     """All rows and columns of ``docs``, sorted into the mixture's order.
 
-    Rows of equal keys and sources stand together, each once.
+    Rows of equal keys and sources stand together, each once. ``position`` names a column to add, which keeps the
+    order where rows are stored: slot * block_docs + in_block.
     """
-    order = schedule(docs, weights, key, **options).groupBy(key, "source").agg(F.min(F.struct("slot", "in_block")).alias("__at"))
+    at = F.min(F.col("slot") * block_docs + F.col("in_block")).alias("__at")
+    order = schedule(docs, weights, key, block_docs=block_docs, **options).groupBy(key, "source").agg(at)
     match = F.col(f"d.{key}").eqNullSafe(F.col(f"o.{key}")) & F.col("d.source").eqNullSafe(F.col("o.source"))
-    return docs.alias("d").join(order.alias("o"), match).orderBy("o.__at").select("d.*")
+    kept = [F.col("o.__at").alias(position)] if position else []
+    return docs.alias("d").join(order.alias("o"), match).orderBy("o.__at").select("d.*", *kept)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

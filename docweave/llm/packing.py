@@ -3,7 +3,8 @@
 A document's token ids are cut into pieces of ``max_length`` and then by the binary digits
 of what remains, so every piece has a power of two as length and is a sequence of its own:
 no sequence crosses documents and none needs padding. Pieces of equal length share a
-bucket, and the ids of a bucket's sequences lie together.
+bucket, and the ids of a bucket's sequences lie together. Where the documents have a position (that of a
+mixture), the sequences of every bucket are numbered in its order.
 
 Null text is the empty text (the end id alone). Special-token strings inside a text are
 ordinary text. Repeated rows and repeated ids give sequences of their own. An empty table
@@ -29,6 +30,8 @@ MAX_LENGTH = 4096
 END_ID = 2
 #: Rows that one task numbers at a time, on average.
 ROWS_PER_SALT = 50_000
+#: Positions whose pieces of one length are numbered together.
+POSITIONS_PER_RUN = 4096
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 
 
@@ -77,14 +80,16 @@ def piece_lengths(n: int, max_length: int = MAX_LENGTH) -> list[int]:
     return [max_length] * full + [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
 
 
-def cut_documents(docs: DataFrame, vocabulary: str | None = None, max_length: int = MAX_LENGTH, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens.
+def cut_documents(docs: DataFrame, vocabulary: str | None = None, max_length: int = MAX_LENGTH, end_id: int = END_ID, position: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, and ``position`` if it names a column of whole numbers.
 
     ``max_length`` must be a power of two. ``vocabulary`` is the file's path, the same on every executor;
     by default each executor's own copy of the public file is taken.
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
+    extra = [position] if position else []
+    schema = pa.schema([*PIECES, *[(c, pa.int64()) for c in extra]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCodes(word_encoder(vocabulary or default_vocabulary()), split_endings=True)
@@ -93,9 +98,9 @@ def cut_documents(docs: DataFrame, vocabulary: str | None = None, max_length: in
             counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             ids, sizes = cache.ids(cache.codes([w for ws in words for w in ws]))
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-            out: dict[str, list] = {k: [] for k in PIECES.names}
+            out: dict[str, list] = {k: [] for k in schema.names}
             begin = 0
-            for doc_id, end in zip(piece.column("doc_id").to_pylist(), ends.tolist()):
+            for doc_id, end, *at in zip(piece.column("doc_id").to_pylist(), ends.tolist(), *[piece.column(c).to_pylist() for c in extra]):
                 own = np.append(ids[begin:end], end_id).astype("<u4").tobytes()
                 begin, start, total = end, 0, len(own) // 4
                 for length in piece_lengths(total, max_length):
@@ -104,36 +109,40 @@ def cut_documents(docs: DataFrame, vocabulary: str | None = None, max_length: in
                     out["length"].append(length)
                     out["ids"].append(own[4 * start : 4 * (start + length)])
                     out["doc_tokens"].append(total)
+                    for c, x in zip(extra, at):
+                        out[c].append(x)
                     start += length
-            yield rows_of(PIECES, **out)
+            yield rows_of(schema, **out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).cast("long").alias(c) for c in extra])
+    return read.mapInArrow(cut, ", ".join(["doc_id long, start long, length long, ids binary, doc_tokens long", *[f"`{c}` long" for c in extra]]))
 
 
-def bucket_sequences(pieces: DataFrame, salts: int = 4096) -> DataFrame:
+def bucket_sequences(pieces: DataFrame, salts: int = 4096, position: str | None = None) -> DataFrame:
     """Give every piece a sequence of its own, numbered inside its length bucket.
 
     ``sequence_id`` = log2(length) * 2^58 + salt * 2^38 + number. The salt is a hash of the document,
     so a length that a third of all pieces have is numbered by many tasks. Every piece fills its
-    sequence from offset 0.
+    sequence from offset 0. With ``position`` (0 to 2^32 - 1; the column is left out of the result) the
+    salt is the run of positions instead, so ids of a bucket rise with the position.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))
+    salt = F.expr(f"`{position}` div {POSITIONS_PER_RUN}") if position else F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))
     bucket = F.round(F.log2("length")).cast("long")
-    order = Window.partitionBy("__bucket", "__salt").orderBy("doc_id", "start", "doc_tokens", *[c for c in ("ids_crc32",) if c in pieces.columns])
+    order = Window.partitionBy("__bucket", "__salt").orderBy(*[position] if position else [], "doc_id", "start", "doc_tokens", *[c for c in ("ids_crc32",) if c in pieces.columns])
     marked = pieces.withColumns({"__bucket": bucket, "__salt": salt}).withColumn("__n", F.row_number().over(order))
     number = F.shiftleft(F.col("__bucket"), 58) + F.shiftleft(F.col("__salt").cast("long"), 38) + F.col("__n")
-    return marked.withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")}).drop("__bucket", "__salt", "__n")
+    return marked.withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")}).drop("__bucket", "__salt", "__n", *[position] if position else [])
 
 
-def pack(docs: DataFrame, **options) -> DataFrame:
+def pack(docs: DataFrame, position: str | None = None, **options) -> DataFrame:
     """Pieces of all documents with their ids and sequences."""
-    return bucket_sequences(cut_documents(docs, **options).withColumn("ids_crc32", F.crc32("ids")))
+    return bucket_sequences(cut_documents(docs, position=position, **options).withColumn("ids_crc32", F.crc32("ids")), position=position)
 
 
-def digest(docs: DataFrame, **options) -> DataFrame:
+def digest(docs: DataFrame, position: str | None = None, **options) -> DataFrame:
     """As ``pack``, with the checksum of each piece's ids in place of the ids."""
-    pieces = cut_documents(docs, **options).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return bucket_sequences(pieces)
+    pieces = cut_documents(docs, position=position, **options).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", *[position] if position else [])
+    return bucket_sequences(pieces, position=position)
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -486,3 +486,23 @@ def test_pipeline_equals_the_stages(spark, small):
     got = corpus_pipeline.run(spark, small).toPandas()
     assert set(got.doc_id) == kept
     assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_pipeline_sequences_follow_the_mixture(spark, small, tmp_path):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, small).toPandas()
+    docs = spark.read.parquet(f"{small}/documents.parquet").where(F.col("doc_id").isin([int(k) for k in got.doc_id.unique()]))
+    order = {r.doc_id: (r.slot, r.in_block) for r in mixing.schedule(docs).collect()}
+    for _, bucket in got.sort_values("sequence_id").groupby("length"):
+        seen = [order[k] for k in bucket.doc_id]
+        assert seen == sorted(seen)
+    # documents of one length: each bucket takes the sources by their target weights, to less than one block
+    rows = [(i, "house tree water", "en", "b" if i % 10 == 9 else "a", 1) for i in range(6000)]
+    corpus_pipeline.mixture(spark, spark.createDataFrame(rows, DOCS), small).write.parquet(f"{tmp_path}/mixture")
+    got = corpus_pipeline.packed(spark, spark.read.parquet(f"{tmp_path}/mixture"), small).toPandas().sort_values("sequence_id")
+    weight = 1 / (1 + (600 / 5400) ** mixing.TEMPER)
+    for _, bucket in got.groupby("length"):
+        run = np.cumsum(bucket.doc_id.to_numpy() % 10 != 9)
+        n = np.arange(1, len(run) + 1)
+        assert len(n) == 6000 and np.abs(run - n * weight)[: int(600 / (1 - weight)) - 8].max() < 2 * mixing.BLOCK_DOCS
