@@ -17,6 +17,8 @@ from docweave.operators.common import materialised
 MIN_SCORE, MIN_OVERLAP, MIN_SUBSTANTIVE, MIN_ANCHOR, MIN_ANCHOR_MATCHES = 0.06, 0.12, 0.05, 0.20, 2
 RRF_SCALE, NEAR_DOMAIN_MAX, MODEL_SURE, LOW_QUALITY = 0.15, 0.45, 0.50, 0.30
 SPLIT_CUES = ["关联", "两段", "多跳", "之间", "关系", "联系"]
+GRAPH_CUES = ["关联", "两段", "多跳", "之间"]
+ANCHOR_HITS = 3
 
 
 def routed(queries: DataFrame, default_k: int = 5) -> DataFrame:
@@ -31,9 +33,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, qu
     ``queries``: query_id, kb_id, question, embedding (may be null) and, for ``top_k`` None, top_k.
     """
     asked = materialised(queries)
-    full = search.bm25_search(asked, postings).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank")
-    near = vectors.vector_search(asked, chunks).select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank")
-    fused = ranking.rrf_fuse(near.unionByName(full)).select("query_id", "chunk_id", "rrf_score")
+    fused = ranking.rrf_fuse_two(vectors.vector_search(asked, chunks), search.bm25_search(asked, postings)).select("query_id", "chunk_id", "rrf_score")
     alive = chunks.where("is_active").select("chunk_id", "document_id", "content", *[c for c in ("model_score",) if c in chunks.columns])
     rows = fused.join(alive, "chunk_id").join(asked.select("query_id", "question", *(["top_k"] if top_k is None else [])), "query_id")
     if "model_score" not in rows.columns:
@@ -42,7 +42,8 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, qu
     gated = ranking.quality_gate(kept, quality)
     blended = gated.withColumn("score", ranking.blend_quality(F.col("score"), F.col("quality_score"))).drop("rank")
     out = ranking.ranked(blended)
-    return out.where(F.col("rank") <= (F.col("top_k") if top_k is None else F.lit(top_k))).select("query_id", "chunk_id", "score", "rank", "quality_score", "model_score", F.lit("hybrid").alias("source"))
+    head = out.where(F.col("rank") <= (F.col("top_k") if top_k is None else F.lit(top_k)))
+    return materialised(head.select("query_id", "chunk_id", "score", "rank", "quality_score", "model_score", F.lit("hybrid").alias("source")))
 
 
 def _evidence(queries: DataFrame, results: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -111,7 +112,7 @@ def sub_query_search(queries: DataFrame, find, top_k: int = 5) -> DataFrame:
     sub = materialised(parts.drop("question", "parts").withColumnRenamed("part", "question").withColumns({"parent": F.col("query_id"), "query_id": F.col("query_id") * 100 + F.col("list_no")}))
     found = find(sub, 8).join(sub.select("query_id", "parent", "list_no", "n_parts"), "query_id")
     per = F.least(F.lit(8), F.greatest(F.lit(3), F.floor(F.lit(top_k) / F.col("n_parts")) + 1))
-    lists = found.where(F.col("rank") <= per).select(F.col("parent").alias("query_id"), "list_no", "chunk_id", "rank", "source", "n_parts")
+    lists = materialised(found.where(F.col("rank") <= per).select(F.col("parent").alias("query_id"), "list_no", "chunk_id", "rank", "source", "n_parts"))
     merged = ranking.merge_source_lists(lists.drop("n_parts"), 15)
     size = lists.groupBy("query_id").agg(F.first("n_parts").alias("n"))
     return merged.join(size, "query_id").where(F.col("rank") <= F.least(F.lit(15), F.lit(top_k) + F.col("n"))).select("query_id", "chunk_id", "score", "rank", "source")
@@ -125,12 +126,13 @@ def coverage(queries: DataFrame, results: DataFrame, chunks: DataFrame, least: f
     return best.groupBy("query_id").agg(F.round(F.avg((F.col("o") >= least).cast("double")), 4).alias("coverage"))
 
 
-def multi_hop_search(queries: DataFrame, find, postings: DataFrame, chunks: DataFrame, top_k: int = 5) -> DataFrame:
-    """Relational and comprehensive questions with two anchors or more: a list for each anchor, its full-text hits beside, with a quota each.
+def multi_hop_search(queries: DataFrame, find, postings: DataFrame, chunks: DataFrame, top_k: int = 5, per_anchor: int = 5) -> DataFrame:
+    """Relational and comprehensive questions with two anchors or more, searched by anchor.
 
-    What the relaxed gate drops altogether falls back to the anchors' full-text hits.
+    Each anchor's list is its own search fused with its own full-text hits, ``per_anchor`` at most; the quotes of the
+    question are one list more. Every anchor's list has a quota in the merged one. Questions that the relaxed gate drops
+    altogether fall back to full-text hits alone: of the quotes and of each anchor, the anchors with a quota again.
     """
-    queries = materialised(queries)
     q = queries.withColumn("route", T.route_query(F.col("question"))).withColumn("anchors", T.multi_hop_anchors(F.col("question")))
     cue = F.exists(F.array(*[F.lit(c) for c in SPLIT_CUES]), lambda c: F.col("question").contains(c))
     split = materialised(q.where(F.col("route").isin("relational", "comprehensive") & cue & (F.size("anchors") >= 2)))
@@ -138,14 +140,40 @@ def multi_hop_search(queries: DataFrame, find, postings: DataFrame, chunks: Data
     short = F.length("anchor") < 12
     sub = spread.drop("question", "anchors").withColumn("question", F.when(short, F.concat("anchor", F.lit(" 相关内容"))).otherwise(F.col("anchor")))
     sub = materialised(sub.withColumns({"parent": F.col("query_id"), "query_id": F.col("query_id") * 100 + F.col("list_no")}))
-    own = find(sub.drop("anchor"), top_k).join(sub.select("query_id", "parent", "list_no"), "query_id").select(F.col("parent").alias("query_id"), "list_no", "chunk_id", "rank", "source")
-    quoted = search.anchor_search(split, postings).select("query_id", F.lit(99).alias("list_no"), "chunk_id", "rank", F.lit("anchor").alias("source"))
-    lists = materialised(own.unionByName(quoted))
-    merged = ranking.merge_with_quota(lists, top_k)
-    scored = merged.withColumn("score", F.round(1.0 / (60 + F.col("rank")), 6)).select("query_id", "chunk_id", "score", "rank", F.lit("multi_hop").alias("source"))
-    kept = materialised(retrieval_abstain(split, scored, chunks, relaxed=True))
-    back = quoted.where(F.col("rank") <= top_k).join(kept.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "chunk_id", F.round(1 - 0.04 * (F.col("rank") - 1), 6).alias("score"), "rank", "source")
-    return kept.unionByName(back)
+    found = find(sub.drop("anchor"), per_anchor).select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank", "source")
+    texts = materialised(search.variant_search(sub.select("query_id", "kb_id", F.lit(0).alias("a"), "anchor"), postings, ANCHOR_HITS, ANCHOR_HITS).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", F.lit("anchor-fts").alias("source")))
+    fused = ranking.merge_source_lists(materialised(found).unionByName(texts), per_anchor).select("query_id", "chunk_id", "rank", "source")
+    parents = sub.select("query_id", "parent", "list_no")
+    named = lambda df: df.join(parents, "query_id").select(F.col("parent").alias("query_id"), "list_no", "chunk_id", "rank", "source")
+    own = materialised(named(fused))
+    quoted = materialised(search.anchor_search(split, postings).select("query_id", F.lit(-1).alias("list_no"), "chunk_id", "rank", F.lit("quote-fts").alias("source")))
+    pool = F.least(F.lit(top_k) + 2 * F.size("anchors"), F.lit(15))
+    merged = ranking.merge_with_quota(quoted.unionByName(own), 15, quota_lists=own).join(split.select("query_id", pool.alias("pool")), "query_id").where((F.col("rank") <= F.col("pool")) & (F.col("rank") <= top_k))
+    scored = merged.select("query_id", "chunk_id", F.round(1.0 / (60 + F.col("rank")), 6).alias("score"), "rank", F.lit("multi_hop").alias("source"))
+    kept = materialised(retrieval_abstain(split, scored, chunks, relaxed=True, model_least=0.25))
+    dropped = split.select("query_id").join(kept.select("query_id").distinct(), "query_id", "left_anti")
+    by_text = named(texts.select("query_id", "chunk_id", "rank", "source"))
+    lists = materialised(quoted.unionByName(by_text).join(dropped, "query_id", "left_semi"))
+    back = ranking.merge_with_quota(lists, top_k, quota_lists=lists.where("list_no >= 0"))
+    return kept.unionByName(materialised(back.select("query_id", "chunk_id", F.round(1.0 / (60 + F.col("rank")), 6).alias("score"), "rank", F.lit("fts").alias("source"))))
+
+
+def routed_search(queries: DataFrame, find, relations: DataFrame, chunks: DataFrame, top_k: int = 5, gated: bool = True) -> DataFrame:
+    """One round of search by route: questions about relations get the entity graph's list beside the hybrid one, fused before the gate.
+
+    Where the graph finds nothing the hybrid list stays as it is. A question whose results the graph is part of passes the
+    gate as one with graph evidence.
+    """
+    q = materialised(queries.withColumn("route", T.route_query(F.col("question"))))
+    cue = F.exists(F.array(*[F.lit(c) for c in GRAPH_CUES]), lambda c: F.col("question").contains(c))
+    hybrid = materialised(find(q, top_k).select("query_id", F.lit(1).alias("list_no"), "chunk_id", "score", "rank", "source"))
+    by_graph = graph.graph_search(q.where((F.col("route") == "relational") | cue), relations, chunks, "lite", top_k)
+    near = materialised(by_graph.select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank", F.lit("graph").alias("source")))
+    both = near.unionByName(hybrid.drop("score").join(near.select("query_id").distinct(), "query_id", "left_semi"))
+    fused = ranking.merge_source_lists(both, top_k).select("query_id", "chunk_id", "score", "rank", "source")
+    alone = hybrid.join(near.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "chunk_id", "score", "rank", "source")
+    rows = materialised(fused).unionByName(materialised(alone))
+    return retrieval_abstain(q, rows, chunks) if gated else rows
 
 
 def two_round_search(queries: DataFrame, find, chunks: DataFrame, default_k: int = 5) -> DataFrame:
@@ -153,7 +181,7 @@ def two_round_search(queries: DataFrame, find, chunks: DataFrame, default_k: int
 
     The first sufficient round stays. If neither is, the one of the higher score does (round two on a tie) and refused is true.
     """
-    first = materialised(routed(materialised(queries), default_k))
+    first = materialised(routed(queries, default_k))
     one = materialised(find(first, None))
     judged = sufficiency(first, one, chunks)
     weak = first.join(judged.where("not sufficient").select("query_id"), "query_id", "left_semi")
@@ -170,9 +198,10 @@ def two_round_search(queries: DataFrame, find, chunks: DataFrame, default_k: int
 def strict_vs_relaxed(queries: DataFrame, chunks: DataFrame, postings: DataFrame, quality: DataFrame, relations: DataFrame, top_k: int = 5) -> DataFrame:
     """Both answers to a question side by side: without fallback at 0.35, and with fallback and the graph at 0.25."""
     strict = retrieval_abstain(queries, hybrid_search(queries, chunks, postings, quality, top_k, 0.35, False), chunks, model_least=0.35)
-    loose = materialised(hybrid_search(queries, chunks, postings, quality, top_k, 0.25, True))
+    loose = hybrid_search(queries, chunks, postings, quality, top_k, 0.25, True)
     by_graph = graph.graph_search(queries, relations, chunks, "lite", top_k)
-    lists = materialised(loose.select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank", "source").unionByName(by_graph.select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", F.lit("graph").alias("source"))))
-    relaxed = retrieval_abstain(queries, ranking.merge_source_lists(lists, top_k), chunks, relaxed=True, model_least=0.25)
+    near = materialised(by_graph.select("query_id", F.lit(1).alias("list_no"), "chunk_id", "rank", F.lit("graph").alias("source")))
+    lists = loose.select("query_id", F.lit(0).alias("list_no"), "chunk_id", "rank", "source").unionByName(near)
+    relaxed = retrieval_abstain(queries, materialised(ranking.merge_source_lists(lists, top_k)), chunks, relaxed=True, model_least=0.25)
     a, b = strict.select("query_id", "chunk_id", F.col("rank").alias("strict_rank")), relaxed.select("query_id", "chunk_id", F.col("rank").alias("relaxed_rank"))
-    return materialised(a.join(b, ["query_id", "chunk_id"], "full_outer"))
+    return a.join(b, ["query_id", "chunk_id"], "full_outer")

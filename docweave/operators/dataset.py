@@ -34,16 +34,19 @@ def kb_selection(chunks: DataFrame, least: int = 30, kbs: int = 5, per_kb: int =
 
 
 def supporting_chunk(chunks: DataFrame) -> DataFrame:
-    """chunk_id, supporting_id: of the same document the first chunk by index at most two places away, else the first other."""
-    w = Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
-    near = lambda c, n: F.lag(F.struct("chunk_index", "chunk_id"), n).over(w) if c == "lag" else F.lead(F.struct("chunk_index", "chunk_id"), n).over(w)
-    first, second = (F.nth_value("chunk_id", i).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for i in (1, 2))
-    # a chunk of index within two stands among those just before and after, as ties of an index are few
-    around = F.array(*[near("lag", n) for n in range(6, 0, -1)], *[near("lead", n) for n in range(1, 7)])
-    rows = chunks.select("chunk_id", "document_id", "chunk_index", around.alias("around"), first.alias("first"), second.alias("second"))
-    close = F.filter("around", lambda x: x.isNotNull() & (F.abs(x["chunk_index"] - F.col("chunk_index")) <= 2))
-    other = F.when(F.col("first") != F.col("chunk_id"), F.col("first")).otherwise(F.col("second"))
-    return rows.select("chunk_id", F.when(F.size(close) > 0, F.element_at(close, 1)["chunk_id"]).otherwise(other).alias("supporting_id"))
+    """chunk_id, supporting_id: of the same document the first chunk by index at most two places away, else the first other.
+
+    The smaller indices within reach come first, then those of the chunk's own index, then the larger ones.
+    """
+    by_index = Window.partitionBy("document_id").orderBy("chunk_index")
+    reach = lambda lo, hi: F.min(F.struct("chunk_index", "chunk_id")).over(by_index.rangeBetween(lo, hi))["chunk_id"]
+    tied, whole = Window.partitionBy("document_id", "chunk_index").orderBy("chunk_id"), Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
+
+    def other(w) -> Column:
+        first, second = (F.nth_value("chunk_id", i).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for i in (1, 2))
+        return F.when(first != F.col("chunk_id"), first).otherwise(second)
+
+    return chunks.select("chunk_id", F.coalesce(reach(-2, -1), other(tied), reach(1, 2), other(whole)).alias("supporting_id"))
 
 
 def build_eval_samples(chunks: DataFrame, relations: DataFrame, facts: int = 16, concepts: int = 6, hops: int = 10, negatives: int = 8) -> DataFrame:

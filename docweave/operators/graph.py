@@ -124,26 +124,36 @@ def graph_expand(seeds: DataFrame, relations: DataFrame, max_hops: int = 2, anch
 
     ``seeds``: query_id, kb_id, entity. A chunk scores 1 / hop, 1.2 times that where the way from the seed covers two seeds. With
     two seeds or more, ``anchor_filter`` keeps only chunks on such a way. Of several first ways to a node the one with
-    more seeds, then the smaller, counts. Frontier and edges meet on (kb, entity); visited nodes are left out by an anti join.
+    more seeds, then the one with the smaller list of them, counts. Frontier and edges meet on (kb, entity), which the engine
+    splits where an entity is hot; visited nodes are left out by an anti join. A way is carried as the seeds on it, and
+    every hop's steps are reduced to one row a query and chunk before hops are put together.
     """
-    e = materialised(edges(relations))
-    both = e.select("kb_id", F.col("subject").alias("node"), F.col("object_entity").alias("next"), "chunk_id").unionByName(e.select("kb_id", F.col("object_entity").alias("node"), F.col("subject").alias("next"), "chunk_id"))
+    e = edges(relations)
+    ends = F.explode(F.array(F.struct(F.col("subject").alias("node"), F.col("object_entity").alias("next")), F.struct(F.col("object_entity").alias("node"), F.col("subject").alias("next")))).alias("x")
+    both = materialised(e.select("kb_id", "chunk_id", ends).select("kb_id", "x.node", "x.next", "chunk_id"))
     own = seeds.select("query_id", "kb_id", "entity").distinct()
     all_seeds = own.groupBy("query_id").agg(F.collect_set("entity").alias("seed_set"))
-    frontier = own.join(all_seeds, "query_id").select("query_id", "kb_id", F.col("entity").alias("seed"), F.col("entity").alias("node"), F.array("entity").alias("path"), "seed_set")
+    frontier = own.select("query_id", "kb_id", F.col("entity").alias("seed"), F.col("entity").alias("node"), F.array("entity").alias("on_way"))
     visited = frontier.select("query_id", "seed", "node")
-    scored = []
+    rows = None
     for hop in range(1, max_hops + 1):
-        steps = frontier.join(both, ["kb_id", "node"]).withColumn("path", F.concat("path", F.array("next")))
-        hits = F.size(F.array_intersect("path", "seed_set"))
-        steps = steps.withColumn("hits", hits)
-        scored.append(steps.select("query_id", "chunk_id", "hits", F.when(F.col("hits") >= 2, 1.2 / hop).otherwise(1.0 / hop).alias("score")))
+        asked = frontier.join(all_seeds, "query_id")
+        fresh = F.array_contains("seed_set", F.col("next")) & ~F.array_contains("on_way", F.col("next"))
+        steps = asked.join(both, ["kb_id", "node"]).select("query_id", "kb_id", "seed", "next", "chunk_id", F.when(fresh, F.concat("on_way", F.array("next"))).otherwise(F.col("on_way")).alias("on_way"))
+        hits = F.max(F.size("on_way")).cast("long").alias("anchor_hits")
+        scored = steps.groupBy("query_id", "chunk_id").agg(hits).withColumn("score", F.when(F.col("anchor_hits") >= 2, 1.2 / hop).otherwise(1.0 / hop))
+        if rows is None:
+            rows = scored
+        else:
+            more = scored.select("query_id", "chunk_id", F.col("anchor_hits").alias("h"), F.col("score").alias("s"))
+            rows = rows.join(more, ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", F.greatest("anchor_hits", "h").alias("anchor_hits"), F.greatest("score", "s").alias("score"))
         if hop < max_hops:
             new = steps.join(visited.withColumnRenamed("node", "next"), ["query_id", "seed", "next"], "left_anti")
-            best = new.groupBy("query_id", "kb_id", "seed", "next").agg(F.min(F.struct((-F.col("hits")).alias("h"), "path")).alias("p"), F.first("seed_set").alias("seed_set"))
-            frontier = best.select("query_id", "kb_id", "seed", F.col("next").alias("node"), F.col("p.path").alias("path"), "seed_set")
-            visited = visited.unionByName(frontier.select("query_id", "seed", "node"))
-    rows = reduce(DataFrame.unionByName, scored).groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), 6).alias("score"), F.max("hits").cast("long").alias("anchor_hits"))
+            best = new.groupBy("query_id", "kb_id", "seed", "next").agg(F.min(F.struct((-F.size("on_way")).alias("h"), "on_way")).alias("p"))
+            frontier = materialised(best.select("query_id", "kb_id", "seed", F.col("next").alias("node"), F.col("p.on_way").alias("on_way")))
+            if hop < max_hops - 1:
+                visited = materialised(visited).unionByName(frontier.select("query_id", "seed", "node"))
+    rows = rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "anchor_hits")
     if not anchor_filter:
         return rows
     sized = all_seeds.select("query_id", F.size("seed_set").alias("n_seeds"))
@@ -205,11 +215,11 @@ def graph_search(queries: DataFrame, relations: DataFrame, chunks: DataFrame, mo
     """query_id, chunk_id, score, rank of linked entities' chunks. lite and linear try multi-hop anchors where nothing links; legacy does not filter by anchors."""
     names = entity_chunks(relations).select("kb_id", "entity").distinct()
     asked = queries.select("query_id", "kb_id", "question")
-    seeds = link_entities(asked, names)
+    seeds = materialised(link_entities(asked, names))
     if mode != "legacy":
         rest = asked.join(seeds.select("query_id").distinct(), "query_id", "left_anti")
         again = rest.withColumn("question", F.array_join(multi_hop_anchors(F.col("question")), " "))
-        seeds = seeds.unionByName(link_entities(again, names))
+        seeds = seeds.unionByName(materialised(link_entities(again, names)))
     seeds = materialised(seeds.join(asked.select("query_id", "kb_id"), "query_id"))
     scores = rank_chunks_linear(seeds, relations) if mode == "linear" else graph_expand(seeds, relations, max_hops, mode == "lite")
     size = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
@@ -231,12 +241,18 @@ def graph_snapshot(relations: DataFrame, limit_nodes: int = 200) -> DataFrame:
 
 
 def multi_hop_pairs(relations: DataFrame, limit: int = 50) -> DataFrame:
-    """kb_id, a, b, object_entity: pairs of chunks of a kb that share an object, ``limit`` a kb, each pair once by its smallest object.
+    """kb_id, a, b, object_entity: the first ``limit`` pairs a < b, in order, of chunks of a kb that share an object, with their smallest object.
 
-    A hub's chunks are not all paired: each meets the next one in order, which links as many chunks.
+    Nothing is paired that cannot be among them: the pairs come from the first ``limit`` chunks of a kb that have a later
+    partner, such a chunk stands among the first ``limit`` of each of its objects, and of an object it takes the next ``limit``.
     """
     own = relations.select("kb_id", "chunk_id", "object_entity").distinct()
-    following = F.lead("chunk_id").over(Window.partitionBy("kb_id", "object_entity").orderBy("chunk_id"))
-    pairs = own.withColumn("b", following).where("b is not null").groupBy("kb_id", F.col("chunk_id").alias("a"), "b").agg(F.min("object_entity").alias("object_entity"))
+    group = Window.partitionBy("kb_id", "object_entity").orderBy("chunk_id")
+    heads = materialised(own.withColumn("at", F.row_number().over(group)).where(F.col("at") <= 2 * limit))
+    paired = heads.withColumn("later", F.lead("chunk_id").over(group)).where("later is not null")
+    first = paired.groupBy("kb_id", F.col("chunk_id").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    few = first.withColumn("rn", F.row_number().over(Window.partitionBy("kb_id").orderBy("a"))).where(F.col("rn") <= limit).select("kb_id", "a")
+    left = heads.withColumnRenamed("chunk_id", "a").join(few, ["kb_id", "a"], "left_semi").select("kb_id", "a", "object_entity", F.explode(F.sequence(F.col("at") + 1, F.col("at") + limit)).alias("at"))
+    pairs = left.join(heads.withColumnRenamed("chunk_id", "b"), ["kb_id", "object_entity", "at"]).groupBy("kb_id", "a", "b").agg(F.min("object_entity").alias("object_entity"))
     rank = F.row_number().over(Window.partitionBy("kb_id").orderBy("a", "b"))
     return pairs.withColumn("rn", rank).where(F.col("rn") <= limit).drop("rn")

@@ -25,6 +25,13 @@ def rrf_fuse(lists: DataFrame, k: int = RRF_K, pool: int = POOL) -> DataFrame:
     return ranked(fused, "rrf_score", most=pool)
 
 
+def rrf_fuse_two(first: DataFrame, second: DataFrame, k: int = RRF_K, pool: int = POOL) -> DataFrame:
+    """As ``rrf_fuse``, of two lists (query_id, chunk_id, rank) with each chunk once a query: they meet in one join."""
+    a, b = first.select("query_id", "chunk_id", F.col("rank").alias("a")), second.select("query_id", "chunk_id", F.col("rank").alias("b"))
+    part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
+    return ranked(a.join(b, ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", F.round(part("a") + part("b"), 12).alias("rrf_score")), "rrf_score", most=pool)
+
+
 def merge_source_lists(lists: DataFrame, top_k: int) -> DataFrame:
     """Lists with source, fused: source labels of a chunk sorted and joined by +, scores to six places.
 

@@ -16,45 +16,52 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 def index_terms(text: Column) -> Column:
     """Lower-cased words and single CJK characters, with repeats."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.concat(F.regexp_extract_all(low, F.lit("[0-9a-z_]{2,}"), F.lit(0)), F.regexp_extract_all(low, F.lit("[一-鿿]"), F.lit(0)))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[0-9a-z_]{2,}|[一-鿿]"), F.lit(0))
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
-    """kb_id, term, chunk_id, tf, doc_len of all active chunks: a term's count in a chunk is made before any shuffle."""
-    terms = chunks.where("is_active").select("kb_id", "chunk_id", index_terms(F.col("content")).alias("t"))
-    spread = terms.select("kb_id", "chunk_id", F.size("t").cast("long").alias("doc_len"), F.explode("t").alias("term"))
-    return spread.groupBy("kb_id", "chunk_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """kb_id, term, chunk_id, tf, doc_len, head of all active chunks; one posting a chunk is its head.
+
+    A chunk's terms lie in one row, so they are sorted and counted there and nothing is shuffled.
+    """
+    terms = chunks.where("is_active").select("kb_id", "chunk_id", F.sort_array(index_terms(F.col("content"))).alias("t"))
+    firsts = terms.withColumn("at", F.expr("filter(sequence(0, greatest(size(t) - 1, 0)), i -> size(t) > 0 and (i = 0 or t[i] <> t[i - 1]))"))
+    runs = F.expr("transform(at, (i, n) -> struct(t[i] as term, cast(coalesce(get(at, n + 1), size(t)) - i as bigint) as tf))")
+    spread = firsts.select("kb_id", "chunk_id", F.size("t").cast("long").alias("doc_len"), F.posexplode(runs).alias("n", "p"))
+    return spread.select("kb_id", "p.term", "chunk_id", "p.tf", "doc_len", (F.col("n") == 0).alias("head"))
 
 
 def index_stats(postings: DataFrame) -> DataFrame:
-    """One row: number of chunks and their mean length."""
-    lengths = postings.select("chunk_id", "doc_len").distinct()
-    return lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
+    """One row: number of chunks and their mean length, from the chunks' heads."""
+    return postings.where("head").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, kb_id, term of questions, each term once."""
-    return queries.select("query_id", "kb_id", F.explode(fts_query_terms(F.col("question"))).alias("term")).withColumn("term", F.lower("term")).distinct()
+    return queries.select("query_id", "kb_id", F.explode(F.array_distinct(F.transform(fts_query_terms(F.col("question")), F.lower))).alias("term"))
 
 
 def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 30) -> DataFrame:
     """query_id, chunk_id, score, rank: the best chunks of each query's kb (of all for a null kb).
 
     Only terms that queries have are taken from the index before anything is shuffled; each query's terms
-    are OR-combined. Scores to six places.
+    are OR-combined. Postings and queries meet on (term, kb), so a term's postings of other kbs make no pairs;
+    a query without a kb asks the scope null, in which each posting stands once more where any query asks it.
+    Scores to six places.
     """
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
-    stats = index_stats(postings)
     hits = postings.join(wanted, "term", "left_semi")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = df.join(F.broadcast(stats.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select("term", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
-    own = asked.withColumnRenamed("kb_id", "query_kb").join(weighed, "term")
-    pairs = hits.join(own, "term").where(F.col("query_kb").isNull() | (F.col("query_kb") == F.col("kb_id")))
+    stats = index_stats(postings).withColumn("one", F.lit(1))
+    weighed = df.join(F.broadcast(stats), F.lit(1) == F.col("one")).select("term", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
+    scopes = F.when(F.col("kb_id").isNull(), F.array("kb_id")).otherwise(F.array("kb_id", F.lit(None)))
+    scoped = hits.select("term", "chunk_id", "tf", "doc_len", F.explode(scopes).alias("kb_id")).alias("p")
+    pair = (F.col("p.term") == F.col("q.term")) & F.col("p.kb_id").eqNullSafe(F.col("q.kb_id"))
+    own = asked.join(weighed, "term").alias("q")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl"))
-    scored = pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
-    return ranked(scored, most=limit)
+    parts = scoped.join(own, pair).select("q.query_id", "p.chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
+    return ranked(parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")), most=limit)
 
 
 def fts_sync_diff(chunks: DataFrame, index: DataFrame) -> DataFrame:
@@ -67,9 +74,8 @@ def fts_sync_diff(chunks: DataFrame, index: DataFrame) -> DataFrame:
     return both.select("chunk_id", action.alias("action")).where("action is not null")
 
 
-def anchor_search(queries: DataFrame, postings: DataFrame, per_variant: int = 3, limit: int = 10) -> DataFrame:
-    """Full-text hits of the variants of each question's quoted anchors, in the order first seen; score 1 - 0.04 i."""
-    anchors = queries.select("query_id", "kb_id", F.posexplode(quote_anchors(F.col("question"))).alias("a", "anchor"))
+def variant_search(anchors: DataFrame, postings: DataFrame, per_variant: int = 3, limit: int = 10) -> DataFrame:
+    """query_id, chunk_id, rank, score: full-text hits of the variants of anchors (query_id, kb_id, a, anchor), in the order first seen; score 1 - 0.04 i."""
     parts = anchors.select("query_id", "kb_id", "a", F.posexplode(search_variants(F.col("anchor"))).alias("v", "question"))
     sub = parts.withColumn("sub_id", F.struct("query_id", "a", "v"))
     found = bm25_search(sub.select(F.col("sub_id").alias("query_id"), "kb_id", "question"), postings, per_variant)
@@ -79,6 +85,11 @@ def anchor_search(queries: DataFrame, postings: DataFrame, per_variant: int = 3,
     return seen.select("query_id", "chunk_id", (F.col("i") + 1).alias("rank"), F.round(1 - 0.04 * F.col("i"), 6).alias("score"))
 
 
+def anchor_search(queries: DataFrame, postings: DataFrame, per_variant: int = 3, limit: int = 10) -> DataFrame:
+    """``variant_search`` of each question's quoted anchors."""
+    return variant_search(queries.select("query_id", "kb_id", F.posexplode(quote_anchors(F.col("question"))).alias("a", "anchor")), postings, per_variant, limit)
+
+
 def best_chunks_for_question(questions: DataFrame, chunks: DataFrame, n: int = 2, terms: int = 8) -> DataFrame:
     """Chunks of the question's kb that contain one of its first CJK n-grams, by the share of its CJK characters that they have."""
     grams = F.expr("flatten(transform(array(4, 3, 2), w -> flatten(transform(regexp_extract_all(question, '[一-鿿]{2,}', 0), r -> if(length(r) >= w, transform(sequence(1, length(r) - w + 1), i -> substring(r, i, w)), array())))))")

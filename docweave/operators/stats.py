@@ -236,9 +236,9 @@ def top_chunks(chunks: DataFrame, n: int = 10) -> DataFrame:
 def cite_vs_hit(chunks: DataFrame, cites: DataFrame, limit: int = 10) -> DataFrame:
     """The chunks with most hits (the newest first of equal ones) and how often they are cited; without hits anywhere, those cited most."""
     joined = chunks.join(cites, "chunk_id", "left").fillna(0, ["n_cites"])
-    any_hit = F.max(F.col("hit_count")).over(Window.partitionBy()) > 0
-    key = F.when(any_hit, F.col("hit_count")).otherwise(F.col("n_cites"))
-    rows = joined.select("chunk_id", F.substring("content", 1, 24).alias("label"), "hit_count", "n_cites", "created_at", key.alias("k"))
+    any_hit = chunks.agg((F.max("hit_count") > 0).alias("any_hit"))  # one row
+    key = F.when(F.col("any_hit"), F.col("hit_count")).otherwise(F.col("n_cites"))
+    rows = joined.crossJoin(F.broadcast(any_hit)).select("chunk_id", F.substring("content", 1, 24).alias("label"), "hit_count", "n_cites", "created_at", key.alias("k"))
     return rows.where("k > 0").orderBy(F.desc("k"), F.desc("created_at"), "chunk_id").limit(limit).select("chunk_id", "label", "hit_count", "n_cites")
 
 

@@ -13,20 +13,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.operators.common import materialised
+
 #: Rows of a block: some ten megabytes of vectors.
 BLOCK_ROWS = 20_000
 _OUT = "query_id long, chunk_id long, distance double"
 
 
 def _nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of q, row of v and distance of the k nearest (all that tie with the last) of every query."""
+    """Row of q, row of v and distance of the k nearest of every query, of equally near ones the first."""
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
     d = np.round(1 - unit(q) @ unit(v).T, 6)
-    if d.shape[1] > k:
-        last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(d <= last)
-    else:
+    if d.shape[1] <= k:
         rows, cols = np.nonzero(np.ones_like(d, dtype=bool))
+        return rows, cols, d[rows, cols]
+    # distances have six places, so distance and column make one whole number without ties
+    order = np.rint(d * 1e6).astype(np.int64) * d.shape[1] + np.arange(d.shape[1])
+    cols = np.argpartition(order, k - 1, axis=1)[:, :k].ravel()
+    rows = np.repeat(np.arange(len(q)), k)
     return rows, cols, d[rows, cols]
 
 
@@ -106,15 +110,50 @@ def ingest_gate(new_chunks: DataFrame, vectors: DataFrame, duplicate: float = 0.
     return joined.select("chunk_id", "kb_id", status.alias("status"), "nearest_id", similarity.alias("similarity"))
 
 
-def near_duplicate_pairs(chunks: DataFrame, scan: int | None = 40, k: int = 3, most: float = 0.4, metric: str = "cosine") -> DataFrame:
-    """kb_id, a, b, similarity: of each kb's newest ``scan`` chunks (all for None), each one's nearest other, if at most ``most`` apart; each pair once.
+def pairs_within(vectors: DataFrame, most: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a, b, distance of all pairs a < b of a kb that are at most ``most`` apart. ``vectors``: chunk_id, kb_id, embedding.
 
-    ``k`` neighbours are looked at, the chunk itself among them. ``chunks``: chunk_id, kb_id, created_at, embedding.
+    A kb's rows are dealt into blocks of about ``block_rows``; two blocks meet once.
+    """
+    rows = vectors.where("embedding is not null").select("chunk_id", "kb_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    dealt = rows.join(rows.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n")), "kb_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("n")))
+    left = dealt.select("chunk_id", "kb_id", "embedding", F.col("block").alias("lo"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("hi"))
+    right = dealt.select(F.col("chunk_id").alias("other"), F.col("kb_id").alias("kb"), F.col("embedding").alias("vector"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("l"), F.col("block").alias("h"))
+
+    def block(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda s: (m := np.stack(s.to_numpy())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+        ids, others, out = x.chunk_id.to_numpy(), y.other.to_numpy(), [np.zeros((3, 0))]
+        target = unit(y.vector).T if len(y) else None
+        for at in range(0, len(x) if len(y) else 0, 512):
+            d = np.round(1 - unit(x.embedding.iloc[at : at + 512]) @ target, 6)
+            i, j = np.nonzero(d <= most)
+            found = np.stack([ids[at + i], others[j], d[i, j]]) if len(i) else out[0]
+            out.append(found[:, found[0] < found[1]] if len(key) and key[1] == key[2] else found)
+        a, b, d = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": np.minimum(a, b).astype("int64"), "b": np.maximum(a, b).astype("int64"), "distance": d})
+
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(n, "kb_id", "lo", "hi"), right.repartition(n, "kb", "l", "h")
+    return left.groupBy("kb_id", "lo", "hi").cogroup(right.groupBy("kb", "l", "h")).applyInPandas(block, "a long, b long, distance double")
+
+
+def near_duplicate_pairs(chunks: DataFrame, scan: int | None = None, k: int | None = None, most: float = 0.4, metric: str = "cosine") -> DataFrame:
+    """kb_id, a, b, similarity: chunks of a kb at most ``most`` apart, each pair once.
+
+    Chunks of equal vectors are one class: the smallest stands for it in pairs with others, and meets each of its own
+    copies once. With ``scan`` only each kb's newest ``scan`` chunks are looked at, each with the nearest of its ``k``
+    neighbours (itself among them). ``chunks``: chunk_id, kb_id, created_at, embedding.
     """
-    newest = F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("created_at"), "chunk_id"))
-    scanned = chunks if scan is None else chunks.withColumn("rn", newest).where(F.col("rn") <= scan)
-    found = vector_topk(scanned.select(F.col("chunk_id").alias("query_id"), "kb_id", "embedding"), chunks, k - 1, skip_self=True)
-    near = found.where((F.col("rank") == 1) & (F.col("distance") <= _threshold(most, metric)))
-    pairs = near.select(F.least("query_id", "chunk_id").alias("a"), F.greatest("query_id", "chunk_id").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance"))
     own = chunks.select(F.col("chunk_id").alias("a"), "kb_id")
+    if scan is None:
+        known = chunks.where("embedding is not null")
+        classes = materialised(known.groupBy("kb_id", "embedding").agg(F.min("chunk_id").alias("first")))
+        copies = known.join(classes, ["kb_id", "embedding"]).where("chunk_id <> first").select(F.col("first").alias("a"), F.col("chunk_id").alias("b"), F.lit(0.0).alias("distance"))
+        pairs = pairs_within(classes.withColumnRenamed("first", "chunk_id"), _threshold(most, metric)).unionByName(copies)
+    else:
+        newest = F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("created_at"), "chunk_id"))
+        scanned = chunks.withColumn("rn", newest).where(F.col("rn") <= scan)
+        found = vector_topk(scanned.select(F.col("chunk_id").alias("query_id"), "kb_id", "embedding"), chunks, (k or 3) - 1, skip_self=True)
+        near = found.where((F.col("rank") == 1) & (F.col("distance") <= _threshold(most, metric)))
+        pairs = near.select(F.least("query_id", "chunk_id").alias("a"), F.greatest("query_id", "chunk_id").alias("b"), "distance").groupBy("a", "b").agg(F.min("distance").alias("distance"))
     return pairs.join(own, "a").select("kb_id", "a", "b", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance")), 4).alias("similarity"))

@@ -64,7 +64,7 @@ def tx03_chunk_paragraphs(spark, d):
 
 
 def tx04_chunk_pages(spark, d):
-    pages = V.table(spark, d, "documents").select((F.col("doc_id") % 300).alias("doc_id"), F.floor(F.col("doc_id") / 300).alias("page_no"), "text")
+    pages = V.table(spark, d, "documents").select(F.expr("doc_id div 4").alias("doc_id"), (F.col("doc_id") % 4).alias("page_no"), "text")
     return _short(K.chunk_pages(pages))
 
 
@@ -105,8 +105,18 @@ def sr20_two_round_search(spark, d):
     return C.two_round_search(_templated(spark, d), _finder(spark, d), _chunks(spark, d))
 
 
+def _relations(spark, d):
+    """Triples between the quoted spans that the templated questions name, and the documents' files."""
+    return V.documents(spark, d).selectExpr("kb_id", "document_id as chunk_id", "filename as subject", "status as predicate", "kb_id as object_entity")
+
+
+def sr22_routed_search(spark, d):
+    """Questions routed to the hybrid search alone or beside the entity graph."""
+    return C.routed_search(_templated(spark, d), _finder(spark, d), _relations(spark, d), _chunks(spark, d))
+
+
 def sr21_strict_vs_relaxed(spark, d):
-    relations = V.documents(spark, d).selectExpr("kb_id", "document_id as chunk_id", "filename as subject", "status as predicate", "kb_id as object_entity")
+    relations = _relations(spark, d)
     return C.strict_vs_relaxed(_templated(spark, d), _chunks(spark, d), _postings(spark, d), _quality(spark, d), relations)
 
 

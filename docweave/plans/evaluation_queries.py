@@ -14,7 +14,7 @@ def _samples(spark, d):
     rows = V.samples(spark, d)
     entry = F.when(F.col("relevant_id").isNotNull(), F.struct("relevant_id", "grade"))
     grouped = rows.groupBy("sample_id", "q_type").agg(F.array_sort(F.collect_list(F.col("relevant_id").cast("long"))).alias("relevant"), F.map_from_entries(F.collect_list(entry)).alias("grades"))
-    found = F.expr("filter(transform(sequence(0L, 4L), i -> 40L + (sample_id * 7L + i * i * 3L) % 60L), x -> q_type <> 'negative' or sample_id % 2 = 0)")
+    found = F.expr("filter(transform(sequence(0L, 4L), i -> sample_id div 100L * 100L + (sample_id * 7L + i * i * 3L) % 100L), x -> q_type <> 'negative' or sample_id % 2 = 0)")
     kb = F.concat(F.lit("kb"), (F.col("sample_id") % 3).cast("string"))
     subtype = F.when(F.col("q_type") == "negative", F.when(F.col("sample_id") % 2 == 0, "near_domain").otherwise("unrelated"))
     return grouped.withColumns({"retrieved": found, "kb_id": kb, "negative_subtype": subtype, "faithfulness": (F.col("sample_id") % 10) / 10.0})
@@ -117,7 +117,7 @@ def st04_relevant_retrieved(spark, d):
 
 
 _S = """smp AS (SELECT sample_id, q_type, list_sort(list(relevant_id) FILTER (WHERE relevant_id IS NOT NULL)) AS relevant FROM fx_samples GROUP BY 1, 2),
-run AS (SELECT s.sample_id, i.i AS pos, 40 + (s.sample_id * 7 + i.i * i.i * 3) % 60 AS id FROM (SELECT DISTINCT sample_id, q_type FROM fx_samples) s, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) i WHERE s.q_type <> 'negative' OR s.sample_id % 2 = 0),
+run AS (SELECT s.sample_id, i.i AS pos, s.sample_id // 100 * 100 + (s.sample_id * 7 + i.i * i.i * 3) % 100 AS id FROM (SELECT DISTINCT sample_id, q_type FROM fx_samples) s, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) i WHERE s.q_type <> 'negative' OR s.sample_id % 2 = 0),
 rel AS (SELECT sample_id, relevant_id, grade, CASE grade WHEN 'primary' THEN 3.0 WHEN 'supporting' THEN 2.0 ELSE 1.0 END AS gain FROM fx_samples WHERE relevant_id IS NOT NULL),
 hit AS (SELECT run.sample_id, run.pos, run.id, rel.gain FROM run LEFT JOIN rel ON rel.sample_id = run.sample_id AND rel.relevant_id = run.id),
 per AS (SELECT sample_id, count(DISTINCT CASE WHEN gain IS NOT NULL THEN id END) AS both, count(DISTINCT id) AS got, min(CASE WHEN gain IS NOT NULL THEN pos + 1 END) AS first,

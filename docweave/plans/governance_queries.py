@@ -209,7 +209,7 @@ SQL = {
     "jn01_chunk_refs": with_views("SELECT DISTINCT c.chunk_id, c.document_id, concat('doc-', c.document_id, '.txt') AS filename, c.chunk_index, c.is_active, substr(c.content, 1, 80) AS preview FROM ids JOIN fx_chunks c ON c.chunk_id = ids.chunk_id", _IDS),
     "jn02_explode_refs": with_views("SELECT suggestion_id, string_agg(concat('doc-', chunk_id, '.txt'), ',' ORDER BY pos) AS files FROM ids WHERE chunk_id IN (SELECT doc_id FROM documents) GROUP BY 1", _IDS),
     "jn03_tag_map": "SELECT d.doc_id AS document_id, coalesce(t.tags, '') AS tags FROM documents d LEFT JOIN (SELECT doc_id, string_agg(n_name, ',' ORDER BY n_name) AS tags FROM (SELECT DISTINCT doc_id, n_name FROM (SELECT doc_id, doc_id % 5 AS t FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, doc_id % 4 FROM documents WHERE doc_id % 3 <> 0) b JOIN nation n ON n.n_nationkey = b.t) u GROUP BY 1) t ON t.doc_id = d.doc_id",
-    "jn07_missing_relevant": with_views("SELECT sample_id, relevant_id FROM fx_samples WHERE relevant_id % 2 = 1"),
+    "jn07_missing_relevant": with_views("SELECT sample_id, relevant_id FROM fx_samples WHERE relevant_id % 2 = 1 OR relevant_id NOT IN (SELECT doc_id FROM documents)"),
     "jn07b_backfill_needed": with_views("SELECT chunk_id, kb_id FROM fx_chunks WHERE is_active AND chunk_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0)"),
     "jn09_resolve_kb_id": "WITH k AS (SELECT concat(lpad(CAST(c_custkey % 1000 AS VARCHAR), 8, '0'), '-', CAST(c_custkey AS VARCHAR)) AS kb_id, lpad(CAST(c_custkey % 1000 AS VARCHAR), 8, '0') AS p FROM customer), r AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 8, '0') ELSE concat(lpad(CAST(o_custkey % 1000 AS VARCHAR), 8, '0'), '-', CAST(o_custkey AS VARCHAR)) END AS ref FROM orders), s AS (SELECT p, count(*) AS n, min(kb_id) AS only_kb FROM k GROUP BY 1) SELECT r.ref, coalesce(k.kb_id, CASE WHEN s.n = 1 THEN s.only_kb END) AS kb_id, CASE WHEN k.kb_id IS NOT NULL OR s.n = 1 THEN NULL WHEN s.n > 1 THEN 'ambiguous' ELSE 'missing' END AS problem FROM r LEFT JOIN k ON k.kb_id = r.ref LEFT JOIN s ON s.p = r.ref",
     "jn13_duplicate_open_rows": with_views("SELECT kb_id, substr(content, 1, 12) AS query, min(message_id) AS message_id FROM fx_messages m WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM fx_messages o WHERE o.role = 'user' AND o.message_id % 6 = 0 AND o.kb_id = m.kb_id AND substr(o.content, 1, 12) = substr(m.content, 1, 12)) GROUP BY 1, 2"),

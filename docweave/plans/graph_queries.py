@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.operators import graph as G
+from docweave.operators.common import materialised
 from docweave.sources import views as V
 from docweave.sources.views import with_views
 
 
+#: Words of each text two by two in sentences that the four rules know.
+_PAIRED = "transform(sequence(0, greatest(size(w) div 2 - 1, 0)), k -> concat(coalesce(get(w, 2 * k), ''), case when k % 8 = 0 then '与' when k % 8 < 4 then '是' when k % 8 < 6 then '属于' else '对比' end, coalesce(get(w, 2 * k + 1), ''), '。'))"
+
+
 def _cjk_chunks(spark, d):
-    """The documents' words set into sentences that the rules know."""
-    w = "split(regexp_replace(text, '[^A-Za-z ]', ''), ' +')"
-    text = f"concat(get({w}, 0), get({w}, 1), '与', get({w}, 2), get({w}, 3), '。', get({w}, 4), get({w}, 5), '是', get({w}, 6), get({w}, 7), '。')"
-    return V.table(spark, d, "documents").selectExpr("doc_id as chunk_id", "source as kb_id", "doc_id % 13 <> 0 as is_active", f"{text} as content")
+    """All words of the documents set into sentences that the rules know."""
+    words = V.table(spark, d, "documents").selectExpr("doc_id", "source", "split(trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', ''), ' +', ' ')), ' ') as w")
+    return materialised(words).selectExpr("doc_id as chunk_id", "source as kb_id", "doc_id % 13 <> 0 as is_active", f"array_join({_PAIRED}, '') as content")
 
 
 def _seeds(spark, d):
@@ -103,7 +107,7 @@ SQL = {
     "sr10b_cooccurrence": with_views("SELECT kb_id, a, count(*) AS n, min(b) AS first_b FROM (SELECT DISTINCT x.kb_id, x.entity AS a, y.entity AS b FROM idx x JOIN idx y ON x.kb_id = y.kb_id AND x.chunk_id = y.chunk_id AND x.entity < y.entity) p GROUP BY 1, 2", _IDX),
     "sr11_graph_expand": with_views("SELECT query_id, chunk_id, round(max(score), 6) AS score, CAST(max(hits) AS BIGINT) AS anchor_hits FROM sc GROUP BY 1, 2 HAVING max(hits) >= 2", _EDGE, _SEED, _HOPS),
     "sr11b_graph_expand_one_hop": with_views("SELECT query_id, chunk_id, max(CASE WHEN hit THEN CAST(1.2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) AS score, CAST(max(CASE WHEN hit THEN 2 ELSE 1 END) AS BIGINT) AS anchor_hits FROM h1 GROUP BY 1, 2", _EDGE, _SEED, _HOPS),
-    "jn10_multi_hop_pairs": with_views("SELECT kb_id, a, b, object_entity FROM (SELECT kb_id, a, b, object_entity, row_number() OVER (PARTITION BY kb_id ORDER BY a, b) AS rn FROM (SELECT kb_id, a, b, min(object_entity) AS object_entity FROM (SELECT kb_id, object_entity, chunk_id AS a, lead(chunk_id) OVER (PARTITION BY kb_id, object_entity ORDER BY chunk_id) AS b FROM (SELECT DISTINCT kb_id, chunk_id, object_entity FROM fx_relations) u) p WHERE b IS NOT NULL GROUP BY 1, 2, 3) q) r WHERE rn <= 50"),
+    "jn10_multi_hop_pairs": with_views("SELECT kb_id, a, b, object_entity FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY a, b) AS rn FROM (SELECT x.kb_id, x.chunk_id AS a, y.chunk_id AS b, min(x.object_entity) AS object_entity FROM u x JOIN u y ON x.kb_id = y.kb_id AND x.object_entity = y.object_entity AND x.chunk_id < y.chunk_id GROUP BY 1, 2, 3) p) q WHERE rn <= 50", "u AS (SELECT DISTINCT kb_id, chunk_id, object_entity FROM fx_relations)"),
     "ag20_graph_snapshot": with_views("SELECT e.kb_id, e.object_entity, e.subject, e.chunk_id, e.predicate, a.degree AS subject_degree, b.degree AS object_degree FROM (SELECT kb_id, subject, object_entity, max(chunk_id) AS chunk_id, max_by(predicate, chunk_id * 1000 + ascii(predicate)) AS predicate FROM fx_relations GROUP BY 1, 2, 3) e JOIN top a ON a.kb_id = e.kb_id AND a.entity = e.subject JOIN top b ON b.kb_id = e.kb_id AND b.entity = e.object_entity",
         "top AS (SELECT kb_id, entity, degree FROM (SELECT kb_id, entity, degree, row_number() OVER (PARTITION BY kb_id ORDER BY degree DESC, entity) AS rn FROM (SELECT kb_id, entity, count(*) AS degree FROM (SELECT kb_id, subject AS entity FROM fx_relations UNION ALL SELECT kb_id, object_entity FROM fx_relations) x GROUP BY 1, 2) y) z WHERE rn <= 200)"),
 }

@@ -165,8 +165,8 @@ SQL = {
     "fl04_vector_threshold": with_views("SELECT query_id, count(*) AS n_kept FROM nn WHERE rank <= 50 AND 0.7 * (1 - d) > 0.15 GROUP BY 1", _NEAR),
     "sr16_ingest_gate": with_views("SELECT c.chunk_id, c.kb_id, CASE WHEN d < 0.6 THEN 'duplicate' WHEN d < 0.75 THEN 'conflict' ELSE 'allow' END AS status, n.other AS nearest_id, CASE WHEN d IS NOT NULL THEN round(round(greatest(0.0, 1 - d * d / 2), 4), 3) END AS similarity FROM v c LEFT JOIN g n ON n.chunk_id = c.chunk_id AND n.rank = 1 WHERE c.chunk_id % 10 = 3",
         _VEC, f"g AS (SELECT a.chunk_id, b.chunk_id AS other, {_DIST} AS d, row_number() OVER (PARTITION BY a.chunk_id ORDER BY {_DIST}, b.chunk_id) AS rank FROM v a JOIN v b ON a.kb_id = b.kb_id WHERE a.chunk_id % 20 = 3 AND b.chunk_id % 10 <> 3)"),
-    "sr17_near_duplicate_pairs": with_views("SELECT kb_id, least(q, o) AS a, greatest(q, o) AS b, round(round(greatest(0.0, 1 - min(d)), 4), 3) AS similarity FROM g WHERE rank = 1 AND d <= 0.8 GROUP BY 1, 2, 3",
-        _VEC, "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY created_at DESC, chunk_id) AS rn FROM v) x WHERE rn <= 40)", f"g AS (SELECT a.kb_id, a.chunk_id AS q, b.chunk_id AS o, {_DIST} AS d, row_number() OVER (PARTITION BY a.chunk_id ORDER BY {_DIST}, b.chunk_id) AS rank FROM s a JOIN v b ON a.kb_id = b.kb_id AND a.chunk_id <> b.chunk_id)"),
+    "sr17_near_duplicate_pairs": with_views(f"SELECT a.kb_id, a.chunk_id AS a, b.chunk_id AS b, round(round(greatest(0.0, 1 - {_DIST}), 4), 3) AS similarity FROM c a JOIN c b ON a.kb_id = b.kb_id AND a.chunk_id < b.chunk_id AND {_DIST} <= 0.8 WHERE (a.first = a.chunk_id AND b.first = b.chunk_id) OR a.chunk_id = b.first",
+        _VEC, "c AS (SELECT *, min(chunk_id) OVER (PARTITION BY kb_id, e) AS first FROM v)"),
     "sr19_weak_hit_probe": with_views("SELECT q.chunk_id AS query_id, coalesce(bool_or(0.7 * (1 - g.d) >= 0.25), false) AS weak_hit FROM v q LEFT JOIN g ON g.query_id = q.chunk_id AND g.rank <= 5 WHERE q.chunk_id % 100 = 0 GROUP BY 1", _VEC,
         f"g AS (SELECT a.chunk_id AS query_id, {_DIST} AS d, row_number() OVER (PARTITION BY a.chunk_id ORDER BY {_DIST}, b.chunk_id) AS rank FROM v a JOIN v b ON a.kb_id = b.kb_id WHERE a.chunk_id % 100 = 0 AND b.chunk_id % 100 <> 0)"),
     "jn08_fts_sync_diff": with_views("SELECT chunk_id, action FROM (SELECT chunk_id, CASE WHEN NOT is_active AND chunk_id % 5 <> 0 THEN 'delete' WHEN is_active AND chunk_id % 5 = 0 THEN 'insert' WHEN is_active AND chunk_id % 7 = 0 THEN 'refresh' END AS action FROM fx_chunks UNION ALL SELECT chunk_id + 10000000, 'delete' FROM fx_chunks WHERE chunk_id < 20 AND chunk_id % 5 <> 0) x WHERE action IS NOT NULL"),

@@ -76,10 +76,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (sample, relevant id); negatives have a null id."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    q, r = e.where("vec_id < 40").alias("q"), e.where("vec_id >= 40 and vec_id < 100").alias("r")
-    return q.join(r, (F.col("r.label") == F.col("q.label")) & (F.col("q.label") != 9), "left").selectExpr(
+    """One row per (sample, relevant id); negatives have a null id. Every vector is a sample, relevant are the others of its label among its hundred neighbours in number."""
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label", "vec_id div 100 as block")
+    q, r = e.alias("q"), e.alias("r")
+    pair = (F.col("r.block") == F.col("q.block")) & (F.col("r.label") == F.col("q.label")) & (F.col("r.vec_id") != F.col("q.vec_id")) & (F.col("q.label") != 9)
+    return q.join(r, pair, "left").selectExpr(
         "q.vec_id as sample_id", "case when q.label = 9 then 'negative' when q.label % 3 = 0 then 'fact' when q.label % 3 = 1 then 'concept' else 'multi_hop' end as q_type",
         "r.vec_id as relevant_id", "case when r.vec_id % 3 = 0 then 'primary' when r.vec_id % 3 = 1 then 'supporting' else 'tangential' end as grade",
     )
@@ -95,7 +96,7 @@ SQL = {
     "fx_relations": "SELECT l_linenumber AS kb_id, l_orderkey AS chunk_id, concat('P', lpad(CAST(l_partkey AS VARCHAR), 7, '0')) AS subject, l_returnflag AS predicate, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 7, '0')) AS object_entity FROM lineitem",
     "fx_suggestions": "SELECT o_orderkey AS suggestion_id, o_custkey % 20 AS kb_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'duplicate' WHEN '2' THEN 'cold_stale' WHEN '3' THEN 'high_quality_zero_hit' WHEN '4' THEN 'low_quality' ELSE 'archive_candidate' END AS suggestion_type, CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'dismissed' WHEN 3 THEN 'executed' WHEN 4 THEN 'verified' ELSE 'pending' END AS status, o_orderdate AS created_at FROM orders",
     "fx_questions": "SELECT item_id AS query_id, concat('src', CAST(item_id % 20 AS VARCHAR)) AS kb_id, substr(text, 1, 120) AS question FROM benchmark",
-    "fx_samples": "SELECT q.vec_id AS sample_id, CASE WHEN q.label = 9 THEN 'negative' WHEN q.label % 3 = 0 THEN 'fact' WHEN q.label % 3 = 1 THEN 'concept' ELSE 'multi_hop' END AS q_type, r.vec_id AS relevant_id, CASE WHEN r.vec_id % 3 = 0 THEN 'primary' WHEN r.vec_id % 3 = 1 THEN 'supporting' ELSE 'tangential' END AS grade FROM embeddings q LEFT JOIN embeddings r ON r.label = q.label AND q.label <> 9 AND r.vec_id >= 40 AND r.vec_id < 100 WHERE q.vec_id < 40",
+    "fx_samples": "SELECT q.vec_id AS sample_id, CASE WHEN q.label = 9 THEN 'negative' WHEN q.label % 3 = 0 THEN 'fact' WHEN q.label % 3 = 1 THEN 'concept' ELSE 'multi_hop' END AS q_type, r.vec_id AS relevant_id, CASE WHEN r.vec_id % 3 = 0 THEN 'primary' WHEN r.vec_id % 3 = 1 THEN 'supporting' ELSE 'tangential' END AS grade FROM embeddings q LEFT JOIN embeddings r ON r.label = q.label AND q.label <> 9 AND r.vec_id // 100 = q.vec_id // 100 AND r.vec_id <> q.vec_id",
 }
 
 

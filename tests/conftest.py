@@ -18,6 +18,9 @@ def spark(tmp_path_factory):
     session = SparkSession.builder.config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("OFF")
     yield session
+    from docweave.operators.common import remove_materialised
+
+    remove_materialised(session)
     session.stop()
 
 
