@@ -1,14 +1,15 @@
 """WARC records and their Merkle fixity audit.
 
-Records stand in files in a fixed order, each at its offset. A tree is built over every file: leaves
-are the digests of its records, a node above hashes the digests of up to FANOUT neighbouring nodes and
-covers their range of offsets. Two replicas are compared from the roots down, and only the branches
-that differ are opened, so the work below the roots follows the damage and not the archive.
-
-The primary copy's manifest fixes the order. Records are matched by their key and place among equal
-keys; one that only the replica has is reported as extra. Null html and null url are empty. Rows
-without a page id stand in file -1, rows of equal ids in the order of url and digest. An empty table gives an
-empty audit. Other columns of the input are ignored.
+Records stand in files, ordered by their key, each at its offset. Every copy of an archive gets its own trees from its own
+manifest, one a file: a leaf sums up the digests of the records of one key, a node above hashes the digests of up to FANOUT
+neighbouring nodes; each node covers a range of keys and of its copy's offsets. A node's place is its range of keys, so a
+lost record changes the branch it stood in and no other. Two copies are compared from the roots down: only branches
+that differ are opened, and records of both copies meet under differing leaves alone. All other records are known to be
+sound from the primary's manifest. So what is joined follows the damage and not the archive.
+
+Under a differing leaf records are matched by their place among equal keys; one that only the replica has is reported
+as extra. Null html and null url are empty. Rows without a page id stand in file -1, under leaves by their digests; rows of
+equal ids stand in the order of url and digest. An empty table gives an empty audit. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from docweave.llm.common import cut_lineage, rows_of, table
 
 FANOUT = 16
-#: Page ids that share a file.
+#: Page ids that share a file: the leaves of a tree, whose depth follows.
 IDS_PER_FILE = 1024
+LEVELS = next(k for k in range(64) if FANOUT**k >= IDS_PER_FILE)
 LINE = "\r\n"
 
 
@@ -51,106 +53,143 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def manifest(recs: DataFrame) -> DataFrame:
-    """file, page_id, url, copy (number among equal ids of a file), seq, offset, length, digest. The records' bytes go no further."""
+    """file, leaf, page_id, url, copy (number among equal ids of a file), seq, offset, length, digest. The records' bytes go no further."""
     short = recs.select("file", "page_id", "url", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    keys = [F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_first(), F.col("digest")]
-    order = Window.partitionBy("file").orderBy(*keys)
+    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_last(), F.col("url").asc_nulls_first(), F.col("digest"))
     ahead = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return short.select("*", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(ahead, F.lit(0)).alias("offset")).withColumn(
-        "copy", (F.row_number().over(Window.partitionBy("file", "page_id").orderBy("seq")) - 1).cast("long")
-    )
+    placed = short.select("*", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.coalesce(ahead, F.lit(0)).alias("offset"))
+    copy = F.row_number().over(Window.partitionBy("file", "page_id").orderBy("seq")) - 1
+    leaf = F.pmod(F.coalesce("page_id", F.xxhash64("digest")), F.lit(IDS_PER_FILE))
+    return placed.select("*", copy.cast("long").alias("copy"), leaf.alias("leaf"))
+
+
+def leaves(records: DataFrame) -> DataFrame:
+    """file, node, digest, begin, end of a manifest's leaves.
+
+    A leaf's digest is that of the number of its records and of the sums of four pieces of their digests, so a key of many records
+    is added up before any shuffle.
+    """
+    pieces = [F.sum(F.conv(F.substring("digest", 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    digest = F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *pieces), 256)
+    return records.groupBy("file", F.col("leaf").alias("node")).agg(digest.alias("digest"), F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("end"))
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """The next level of the trees: file, seq, digest, begin, end."""
-    inside = F.array_sort(F.collect_list(F.struct("seq", "digest")))
-    above = nodes.groupBy("file", F.expr(f"seq div {FANOUT}").alias("up")).agg(inside.alias("n"), F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return above.select("file", F.col("up").alias("seq"), F.sha2(F.concat_ws("", F.transform("n", lambda x: F.concat_ws(":", x["seq"].cast("string"), x["digest"]))), 256).alias("digest"), "begin", "end")
+    """The next level of the trees: file, node, digest, begin, end."""
+    inside = F.array_sort(F.collect_list(F.struct("node", "digest")))  # FANOUT nodes at most
+    above = nodes.groupBy("file", F.expr(f"node div {FANOUT}").alias("up")).agg(inside.alias("n"), F.min("begin").alias("begin"), F.max("end").alias("end"))
+    digest = F.sha2(F.concat_ws("", F.transform("n", lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"]))), 256)
+    return above.select("file", F.col("up").alias("node"), digest.alias("digest"), "begin", "end")
 
 
-def trees(leaves: DataFrame, levels: int) -> list[DataFrame]:
-    """The nodes of every level, leaves first, roots (one a file) last."""
-    out = [cut_lineage(leaves.select("file", "seq", "digest", F.col("offset").alias("begin"), (F.col("offset") + F.col("length")).alias("end")))]
-    for _ in range(levels):
+def trees(records: DataFrame) -> list[DataFrame]:
+    """The nodes of every level of a manifest's trees, leaves first, roots (one a file) last."""
+    out = [cut_lineage(leaves(records))]
+    for _ in range(LEVELS):
         out.append(cut_lineage(parents(out[-1])))
     return out
 
 
+def opened(nodes: DataFrame, suspects: DataFrame) -> DataFrame:
+    """The children of suspect nodes."""
+    return nodes.withColumn("up", F.expr(f"node div {FANOUT}")).join(suspects.withColumnRenamed("node", "up"), ["file", "up"], "left_semi").drop("up")
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """file, node of the nodes that only one side has or that have another digest there."""
+    both = a.select("file", "node", F.col("digest").alias("x")).join(b.select("file", "node", F.col("digest").alias("y")), ["file", "node"], "full_outer")
+    return both.where(~F.col("x").eqNullSafe(F.col("y"))).select("file", "node")
+
+
+def suspects(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
+    """file, leaf of the leaves in which two copies' trees differ."""
+    found = cut_lineage(differing(first[-1], second[-1]))
+    for a, b in zip(first[-2::-1], second[-2::-1]):
+        found = cut_lineage(differing(opened(a, found), opened(b, found)))
+    return found.withColumnRenamed("node", "leaf")
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """One row per record of either copy: its place, both digests and status (ok, differs, missing, extra).
 
     ``primary`` and ``replica`` as from ``records``.
     """
-    a = cut_lineage(manifest(primary))
-    b = manifest(replica).select("file", "page_id", "copy", "url", "length", "digest")
+    a, b = cut_lineage(manifest(primary)), cut_lineage(manifest(replica))
+    bad = suspects(trees(a), trees(b))
+    under = ["file", "leaf"]
     key = F.col("a.file").eqNullSafe(F.col("b.file")) & F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.copy") == F.col("b.copy"))
-    placed = a.alias("a").join(b.alias("b"), key, "full_outer")
-    both = cut_lineage(placed.select(
-        F.coalesce("a.file", "b.file").alias("file"), F.coalesce("a.page_id", "b.page_id").alias("page_id"), F.coalesce("a.url", "b.url").alias("url"),
-        "a.seq", "a.offset", F.coalesce("a.length", "b.length").alias("length"), F.col("a.digest").alias("primary_digest"), F.col("b.digest").alias("replica_digest"),
-    ))
-    known = both.where("seq is not null")
-    most = known.agg(F.max("seq")).first()[0]
-    levels = 0
-    while most is not None and FANOUT**levels <= most:
-        levels += 1
-    first = trees(known.select("file", "seq", F.col("primary_digest").alias("digest"), "offset", "length"), levels)
-    second = trees(known.where("replica_digest is not null").select("file", "seq", F.col("replica_digest").alias("digest"), "offset", "length"), levels)
-    suspects = differing(first[-1], second[-1])
-    for level in reversed(range(levels)):
-        opened = suspects.select("file", F.col("seq").alias("up"))
-        suspects = cut_lineage(differing(opened_children(first[level], opened), opened_children(second[level], opened)))
-    found = suspects.select("file", "seq", F.lit(True).alias("bad"))
-    status = F.when(F.col("seq").isNull(), "extra").when(F.col("bad").isNull(), "ok").when(F.col("replica_digest").isNull(), "missing").otherwise("differs")
-    return both.join(found, ["file", "seq"], "left").select("page_id", "url", "file", "seq", "offset", "length", "primary_digest", "replica_digest", status.alias("status"))
-
-
-def opened_children(nodes: DataFrame, opened: DataFrame) -> DataFrame:
-    return nodes.withColumn("up", F.expr(f"seq div {FANOUT}")).join(opened, ["file", "up"], "left_semi").drop("up")
-
-
-def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """file, seq of the nodes of ``a`` that ``b`` lacks or has with another digest."""
-    same = (F.col("a.file") == F.col("b.file")) & (F.col("a.seq") == F.col("b.seq")) & (F.col("a.digest") == F.col("b.digest"))
-    return a.alias("a").join(b.alias("b"), same, "left_anti").select("file", "seq")
+    met = a.join(bad, under, "left_semi").alias("a").join(b.join(bad, under, "left_semi").alias("b"), key, "full_outer")
+    place = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("page_id", "url", "file")]
+    status = F.when(F.col("a.seq").isNull(), "extra").when(F.col("b.seq").isNull(), "missing").when(F.col("a.digest") != F.col("b.digest"), "differs").otherwise("ok")
+    judged = met.select(*place, "a.seq", "a.offset", F.coalesce("a.length", "b.length").alias("length"), F.col("a.digest").alias("primary_digest"), F.col("b.digest").alias("replica_digest"), status.alias("status"))
+    sound = a.join(bad, under, "left_anti").select("page_id", "url", "file", "seq", "offset", "length", F.col("digest").alias("primary_digest"), F.col("digest").alias("replica_digest"), F.lit("ok").alias("status"))
+    return sound.unionByName(cut_lineage(judged))
 
 
 _LENGTH = re.compile(rb"^Content-Length:\s*(\d+)\s*$", re.IGNORECASE | re.MULTILINE)
 _URI = re.compile(rb"^WARC-Target-URI:\s*(.*?)\s*$", re.IGNORECASE | re.MULTILINE)
 
 
-def parse_warc(content: bytes) -> Iterator[tuple[int, int, str | None, bytes]]:
-    """(offset, length, target URI, body) of each record; gzip members are unpacked one at a time, offsets are those in the file."""
-    at = 0
+#: Bytes of a gzip member that are unpacked at a time.
+_FEED = 1 << 16
+
+
+def _member(content: memoryview, at: int) -> tuple[bytes, int]:
+    """The unpacked gzip member that begins there, and the bytes it takes; zlib.error or EOFError if it is broken."""
+    unpack, out, fed = zlib.decompressobj(31), [], at
+    while not unpack.eof:
+        if fed >= len(content):
+            raise EOFError
+        out.append(unpack.decompress(content[fed : fed + _FEED]))
+        fed = min(fed + _FEED, len(content))
+    return b"".join(out), fed - len(unpack.unused_data) - at
+
+
+def parse_warc(content: bytes) -> Iterator[tuple[int, int, str | None, bytes | None, str | None]]:
+    """(offset, length, target URI, body, error) of each record; gzip members are unpacked one at a time, offsets are those in the file.
+
+    A stretch that cannot be read is one row with an error and without a body; reading goes on at the next record's or member's first bytes.
+    """
+    view, at = memoryview(content), 0
     while at < len(content):
-        if content[at : at + 2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            data = member.decompress(content[at:])
-            size = len(content) - at - len(member.unused_data)
-        else:
-            data, size = content[at:], 0
-        head = data.find(b"\r\n\r\n")
-        if not data.startswith(b"WARC/") or head < 0:
-            return
-        found = _LENGTH.search(data[: head + 2])
-        end = head + 4 + int(found[1]) if found else head + 4
-        uri = _URI.search(data[: head + 2])
-        size = size or min(end + 4, len(data))
-        yield at, size, uri and uri[1].decode("utf-8", "replace"), data[head + 4 : end]
+        packed, data, size = content.startswith(b"\x1f\x8b", at), b"", 0
+        try:
+            if packed:
+                data, size = _member(view, at)
+                begin = 0
+            else:
+                data, begin = content, at
+            head = data.find(b"\r\n\r\n", begin)
+            if not data.startswith(b"WARC/", begin) or head < 0:
+                raise ValueError("no record where one is due")
+            header = bytes(data[begin : head + 2])
+            found = _LENGTH.search(header)
+            end = head + 4 + (int(found[1]) if found else 0)
+            if end > len(data):
+                raise ValueError("a record is cut off")
+            uri = _URI.search(header)
+            size = size or min(end + 4, len(data)) - begin
+            yield at, size, uri and uri[1].decode("utf-8", "replace"), bytes(data[head + 4 : end]), None
+        except (ValueError, EOFError, zlib.error) as error:
+            marks = [p for p in (content.find(b"WARC/1.", at + 1), content.find(b"\x1f\x8b\x08", at + 1)) if p > 0]
+            size = min(marks, default=len(content)) - at
+            yield at, size, None, None, str(error) or "a member is cut off"
         at += size
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, offset, length, url, body of the records of all files under ``path``; reading of a file ends at broken framing."""
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("body", pa.binary())])
+    """path, offset, length, url, body, error of the records of all files under ``path``."""
+    kinds = {"path": "string", "offset": "long", "length": "long", "url": "string", "body": "binary", "error": "string"}
+    types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(k, types[v]) for k, v in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                for offset, length, url, body in parse_warc(content.as_py() or b""):
-                    yield rows_of(schema, path=[path], offset=[offset], length=[length], url=[url], body=[body])
+                for offset, length, url, body, error in parse_warc(content.as_py() or b""):
+                    yield rows_of(schema, path=[path], offset=[offset], length=[length], url=[url], body=[body], error=[error])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, offset long, length long, url string, body binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
 
 
 #: The replica that the query audits: made from the same pages, with damage at known places.

@@ -203,6 +203,30 @@ def test_main_text(spark):
     assert mainhtml.extract(none, mainhtml.learn_weights(none)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def learnt(spark, small):
+    return mainhtml.learn_weights(spark.read.parquet(f"{small}/pages.parquet"))
+
+
+def test_names_that_are_no_furniture_keep_their_paragraph(learnt):
+    paras = ["First paragraph of the law article with several words.", "Second paragraph speaks about something else.", "Third and last paragraph ends the whole article."]
+    odd = ['title="the hidden valley"', 'data-hidden="false"', 'data-state="hidden"', 'data-id="footer"', 'data-role="banner"', 'class="ad-hoc"', 'class="share-price"', 'class="reply"', 'id="comment-on-law"']
+    for attr in odd:
+        for at in range(3):
+            body = "".join(f"<p {attr if i == at else ''}>{p}</p>" for i, p in enumerate(paras))
+            page = f'<body><nav>menu</nav><div class="ad">Buy</div><article><h1>Title</h1>{body}</article><footer>f</footer></body>'
+            assert mainhtml.main_text(page, learnt) == " ".join(["Title", *paras]), attr
+    for attr in ("hidden", 'aria-hidden="true"', 'role="navigation"', 'style="display: none"', 'class="ad"'):
+        page = f"<body><article><p>{paras[0]}</p><div {attr}>gone gone</div><p>{paras[1]}</p></article></body>"
+        assert mainhtml.main_text(page, learnt) == " ".join(paras[:2]), attr
+
+
+def test_pages_without_marks(spark, small, learnt):
+    for p in spark.read.parquet(f"{small}/pages.parquet").collect():
+        bare = p.html.replace("<article>", '<div id="x1">').replace("</article>", "</div>")
+        assert mainhtml.main_text(bare, learnt) == mainhtml.main_text(p.html, learnt)
+
+
 def test_best_region_equals_all_pairs():
     rng = random.Random(7)
     for _ in range(200):
@@ -279,7 +303,33 @@ def test_read_warc(spark, tmp_path):
     (tmp_path / "w/b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in recs))
     got = warc.read_warc(spark, str(tmp_path / "w")).orderBy("path", "offset").collect()
     assert [(r.url, bytes(r.body).decode()) for r in got] == [("http://a", "<p>é</p>"), ("http://b", "")] * 2
-    assert got[1].offset == len(recs[0])
+    assert got[1].offset == len(recs[0]) and all(r.error is None for r in got)
+
+
+def test_warc_reading_goes_on_behind_broken_stretches():
+    import gzip
+
+    rec = lambda body: f"WARC/1.1\r\nWARC-Target-URI: u\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    plain = rec(b"one") + b"rubbish between" + rec(b"two") + rec(b"three")[:-10]
+    got = list(warc.parse_warc(plain))
+    assert [(r[3], r[4] is None) for r in got] == [(b"one", True), (None, False), (b"two", True), (None, False)]
+    assert [r[0] for r in got] == list(np.cumsum([0, *[r[1] for r in got[:-1]]]))
+    members = [gzip.compress(rec(x)) for x in (b"a" * 100_000, b"b", b"c")]
+    packed = members[0] + members[1][:20] + members[2]
+    assert [r[3] for r in warc.parse_warc(packed) if r[3]] == [b"a" * 100_000, b"c"]
+
+
+def test_trees_open_only_what_differs(spark):
+    rows = [(i, f"u{i}", f"x{i}") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    copy = pages.where("page_id <> 2000").withColumn("html", F.when(F.col("page_id") == 5, "y").otherwise(F.col("html")))
+    a, b = warc.manifest(warc.records(pages)), warc.manifest(warc.records(copy))
+    first, second = warc.trees(a), warc.trees(b)
+    assert [t.count() for t in first] == [3000, 3 * 64 - 4, 3 * 4, 3]
+    assert {(r.file, r.leaf) for r in warc.suspects(first, second).collect()} == {(0, 5), (1, 2000 - 1024)}
+    roots = {r.file: (r.begin, r.end) for r in first[-1].collect()}
+    ends = {r.file: r.e for r in a.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("e")).collect()}
+    assert roots == {f: (0, e) for f, e in ends.items()}
 
 
 # ---------------------------------------------------------------- 8 packing
