@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,14 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="docweave-llm-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder: the session's ``spark.checkpoint.dir``.
 
-    Only where a session names none (local tests) a temporary folder is set.
+    A session that names none must be a local one: it has one machine, whose temporary folder serves.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("the session must name a folder that all executors share: spark.checkpoint.dir")
+        context.setCheckpointDir(named or _local_folder(context.applicationId))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -35,6 +44,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(key: Column) -> Column:
     """True for the rows that no model may learn labels from: crc32(key as text) mod 3 is 1.
 

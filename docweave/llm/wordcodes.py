@@ -1,7 +1,7 @@
 """A bounded cache from white-space separated words to their token ids.
 
-The tokenizers used here never join characters across ASCII white space, so the ids of a
-text are the ids of its words in order, and each distinct word needs encoding once.
+Where no token reaches across the end of a word (or of a run of white space with its word), the ids of
+a text are those of its words in order, and each distinct word needs encoding once.
 """
 
 from __future__ import annotations
@@ -100,14 +100,3 @@ class WordCodes:
         before = np.cumsum(sizes) - sizes
         at = np.repeat(self.start[codes] - before, sizes) + np.arange(int(sizes.sum()))
         return self.flat[at], sizes
-
-
-def from_lists(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    """An encoder for WordCodes from one that returns a list of ids for each word."""
-
-    def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        coded = encode([w.decode() for w in words])
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        return np.fromiter((i for c in coded for i in c), dtype=np.int32, count=int(sizes.sum())), sizes
-
-    return run
