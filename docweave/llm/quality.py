@@ -1,22 +1,23 @@
 """A quality classifier: random-indexing word vectors, pooled by document, then a two-layer network.
 
-1. Tokens are runs of letters, digits and other non-ASCII bytes, and runs of other marks; each is
-   hashed to a bucket. A token also has a shape (case, digits, length, whether it repeats a token
-   just before). Every bucket and shape owns a sparse ternary index vector; the vector of a bucket or
-   shape is its own index vector with the sum, at unit length, of those of the tokens within two
-   places of it over all documents.
-2. A document is the mean of its tokens' unit vectors beside the mean of its shapes'.
+1. Words are runs of letters, digits and other non-ASCII bytes, in lower case, and runs of other marks. Case and repetition are words of
+   their own in front of a word, as in common preprocessing: one says that it was written in capitals, one that it began with one,
+   one that it equals one of the six words before it. Every word is hashed to a bucket, which owns a sparse ternary index
+   vector; its vector is that with the sum, at unit length, of those of the words within two places of it over all documents.
+2. A document is the mean of its words' vectors.
 3. A network of one hidden layer, written in numpy, learns the labels of a bounded sample of
    training rows; a temperature, fitted on rows it has not seen, calibrates its probabilities.
 
 Null and empty texts have zero vectors and are scored as such. Null labels teach nothing; an id
 with several labels counts with their largest. Without labels every score is 0.5; with one kind
 of label, every score is that kind's smoothed share. Repeated rows give repeated results. Other
-columns of the input are ignored.
+columns of the input are ignored. Long texts are read in parts of about STEP bytes, cut at white space; no context reaches
+across a cut.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +28,12 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import held_out, rows_of, slices, table
 
-BUCKET_BITS, DIMENSIONS, NONZERO, REACH = 12, 64, 2, 2
-BUCKETS, SHAPES = 1 << BUCKET_BITS, 96
-#: A word that equals one of that many tokens before it has a shape of its own.
+BUCKET_BITS, DIMENSIONS, NONZERO, REACH = 14, 64, 2, 2
+BUCKETS = 1 << BUCKET_BITS
+#: The words for what stands before another word: rows behind the buckets.
+AGAIN, CAPITALS, CAPITAL = range(BUCKETS, BUCKETS + 3)
+ROWS = BUCKETS + 3
+#: Words back to which a repetition is told.
 REPEAT_REACH = 6
 #: Labelled documents that the network learns from: that many are expected of more.
 MOST_LABELLED = 20_000
@@ -40,24 +44,48 @@ _SPACE, _WORD, _MARK = 0, 1, 2
 _CLASS = np.full(256, _MARK, dtype=np.int8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
 _CLASS[[b for b in range(128) if chr(b).isalnum()] + list(range(128, 256))] = _WORD
-_UPPER = np.zeros(256, dtype=np.int64)
-_UPPER[ord("A") : ord("Z") + 1] = 1
-_DIGIT = np.zeros(256, dtype=np.int64)
-_DIGIT[ord("0") : ord("9") + 1] = 1
+_CUT = re.compile(rb"[ \t\n\v\f\r]")
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Of each bucket and shape: NONZERO places and their signs, from a fixed seed."""
+    """Of each row: NONZERO places and their signs, from a fixed seed."""
     rng = np.random.default_rng(7)
-    places = np.argsort(rng.random((BUCKETS + SHAPES, DIMENSIONS)), axis=1)[:, :NONZERO]
-    return places, rng.choice([-1.0, 1.0], size=(BUCKETS + SHAPES, NONZERO))
-
-
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and shape of each token of all texts, and the number of tokens of each text."""
-    raw = [t.encode() for t in texts]
+    places = np.argsort(rng.random((ROWS, DIMENSIONS)), axis=1)[:, :NONZERO]
+    return places, rng.choice([-1.0, 1.0], size=(ROWS, NONZERO))
+
+
+def parts_of(raw: bytes, step: int | None = None) -> Iterator[bytes]:
+    """``raw`` in parts that end at the first white space behind every ``step`` bytes."""
+    step, begin = step or STEP, 0
+    while len(raw) - begin > step:
+        found = _CUT.search(raw, begin + step)
+        end = found.end() if found else len(raw)
+        yield raw[begin:end]
+        begin = end
+    yield raw[begin:]
+
+
+def stepped(texts: list[str]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(text numbers, parts) of about STEP bytes together."""
+    owners: list[int] = []
+    parts: list[bytes] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for part in parts_of(text.encode()):
+            if parts and size + len(part) > STEP:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+            owners.append(i)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield owners, parts
+
+
+def tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each word of all parts, with the words before words, and the number of words of each part."""
     b = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
     kind = _CLASS[b]
     edge = np.flatnonzero(np.diff(kind)) + 1
@@ -65,55 +93,62 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.concatenate([edge, [len(b)]]) if len(b) else begins
     real = kind[begins] != _SPACE
     begins, ends = begins[real], ends[real]
+    latin = np.zeros(len(b), dtype=bool)  # the second bytes of Latin-1 letters
+    latin[1:] = b[:-1] == 0xC3
+    upper = (b >= 65) & (b <= 90) | latin & (b >= 0x80) & (b <= 0x9E) & (b != 0x97)
+    lower = (b >= 97) & (b <= 122) | latin & (b >= 0xA0) & (b != 0xB7)
+    low = b + 32 * upper.astype(np.uint8)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(len(b) + 1, _BASE, dtype=np.uint64))
         inverse = np.cumprod(np.full(len(b) + 1, _INVERSE, dtype=np.uint64))
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
         hashes = (sums[ends] - sums[begins]) * inverse[begins]
         hashes = (hashes ^ hashes >> np.uint64(31)) * _BASE
-    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    upper, digits = (np.concatenate([[0], np.cumsum(of[b])]) for of in (_UPPER, _DIGIT))
-    size = ends - begins
-    capitals, figures = upper[ends] - upper[begins], digits[ends] - digits[begins]
-    case = np.select([kind[begins] == _MARK, figures > 0, (capitals > 1) & (2 * capitals > size), capitals > 0], [4, 3, 2, 1], 0)
-    shape = case * 8 + np.digitize(size, [2, 3, 4, 6, 9, 13, 21])
+    n_upper, n_lower = (np.diff(np.concatenate([[0], np.cumsum(of)])[np.stack([begins, ends])], axis=0)[0] for of in (upper, lower))
+    capitals = (n_upper > 1) & (n_lower == 0)
+    capital = (n_upper > 0) & ~capitals
     last = np.cumsum([len(r) + 1 for r in raw])
     per = np.diff(np.searchsorted(begins, np.concatenate([[0], last])))
     place = np.arange(len(begins)) - np.repeat(np.cumsum(per) - per, per)
     again = np.zeros(len(begins), dtype=bool)
     for k in range(1, REPEAT_REACH + 1):
-        again[k:] |= (bucket[k:] == bucket[:-k]) & (place[k:] >= k)
-    shape += SHAPES // 2 * (again & (case < 4))
-    return bucket, shape, per
+        again[k:] |= (hashes[k:] == hashes[:-k]) & (place[k:] >= k)
+    size = 1 + again.astype(np.int64) + capitals + capital
+    at = np.cumsum(size) - 1  # of the words themselves; what stands before them fills the places in front
+    out = np.empty(int(size.sum()), dtype=np.int64)
+    out[at] = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    out[at[capitals] - 1], out[at[capital] - 1] = CAPITALS, CAPITAL
+    out[(at - size + 1)[again]] = AGAIN
+    ahead = np.concatenate([[0], np.cumsum(size)])
+    upto = np.cumsum(per)
+    return out, ahead[upto] - ahead[upto - per]
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Shape (BUCKETS + SHAPES, DIMENSIONS): the context sums over all texts, at unit length."""
+    """Shape (ROWS, DIMENSIONS): the context sums over all texts, at unit length, and the index vectors."""
     schema = pa.schema([("row", pa.int64()), ("sums", pa.list_(pa.int64()))])
     places, signs = index_vectors()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = (BUCKETS + SHAPES) * DIMENSIONS
-        sums = np.zeros(width)
+        sums = np.zeros(ROWS * DIMENSIONS)
         for _, texts in slices(batches, step=STEP):
-            bucket, shape, per = tokens(texts)
-            owner = np.repeat(np.arange(len(per)), per)
-            for reach in range(1, REACH + 1):
-                same = owner[reach:] == owner[:-reach]
-                for of, by in ((slice(None, -reach), slice(reach, None)), (slice(reach, None), slice(None, -reach))):
-                    rows, near, other = bucket[of][same], shape[of][same], bucket[by][same]
-                    for k in range(NONZERO):
-                        place, sign = places[other, k], signs[other, k]
-                        sums += np.bincount(rows * DIMENSIONS + place, sign, minlength=width)
-                        sums[BUCKETS * DIMENSIONS :] += np.bincount(near * DIMENSIONS + place, sign, minlength=SHAPES * DIMENSIONS)
+            for _, parts in stepped(texts):
+                rows, per = tokens(parts)
+                owner = np.repeat(np.arange(len(per)), per)
+                for reach in range(1, REACH + 1):
+                    same = owner[reach:] == owner[:-reach]
+                    for of, by in ((slice(None, -reach), slice(reach, None)), (slice(reach, None), slice(None, -reach))):
+                        here, other = rows[of][same], rows[by][same]
+                        for k in range(NONZERO):
+                            sums += np.bincount(here * DIMENSIONS + places[other, k], signs[other, k], minlength=len(sums))
         whole = sums.astype(np.int64).reshape(-1, DIMENSIONS)
-        rows = np.flatnonzero(whole.any(1))
-        if len(rows):
-            yield rows_of(schema, row=rows, sums=list(whole[rows]))
+        at = np.flatnonzero(whole.any(1))
+        if len(at):
+            yield rows_of(schema, row=at, sums=list(whole[at]))
 
-    parts = docs.select("text").mapInArrow(count, "row long, sums array<long>")
-    total = parts.groupBy("row").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(DIMENSIONS)]).alias("sums")).toArrow()
-    out = np.zeros((BUCKETS + SHAPES, DIMENSIONS))
+    counted = docs.select("text").mapInArrow(count, "row long, sums array<long>")
+    total = counted.groupBy("row").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(DIMENSIONS)]).alias("sums")).toArrow()
+    out = np.zeros((ROWS, DIMENSIONS))
     if total.num_rows:
         out[total.column("row").to_numpy()] = total.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS)
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
@@ -123,18 +158,19 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Shape (texts, 2 * DIMENSIONS)."""
-    bucket, shape, per = tokens(texts)
-    out, ends = np.zeros((len(texts), 2 * DIMENSIONS), dtype=np.float32), np.cumsum(per)
-    for lo in range(0, len(texts), 256):
-        hi = min(lo + 256, len(texts))
-        span = slice(ends[lo] - per[lo], ends[hi - 1])
-        own = np.repeat(np.arange(hi - lo), per[lo:hi])
-        share = 1 / np.maximum(per[lo:hi, None], 1)
-        for part, ids, n, rows in ((0, bucket, BUCKETS, vectors[:BUCKETS]), (1, shape, SHAPES, vectors[BUCKETS:])):
-            counts = np.bincount(own * n + ids[span], minlength=(hi - lo) * n).reshape(-1, n).astype(np.float32)
-            out[lo:hi, part * DIMENSIONS : (part + 1) * DIMENSIONS] = counts @ rows * share
-    return out
+    """Shape (texts, DIMENSIONS): the mean vector of each text's words."""
+    sums, n = np.zeros((len(texts), DIMENSIONS)), np.zeros(len(texts))
+    for owners, parts in stepped(texts):
+        rows, per = tokens(parts)
+        full = np.flatnonzero(per)
+        if len(full):
+            begins = (np.cumsum(per) - per)[full]
+            for lo in range(0, len(full), 256):  # some parts at a time, so that few vectors lie side by side
+                hi = min(lo + 256, len(full))
+                end = begins[hi] if hi < len(full) else len(rows)
+                np.add.at(sums, np.array(owners)[full[lo:hi]], np.add.reduceat(vectors[rows[begins[lo] : end]], begins[lo:hi] - begins[lo], axis=0))
+        np.add.at(n, owners, per)
+    return (sums / np.maximum(n, 1)[:, None]).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -217,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_label
 
     # about 16 bytes a row and most_labelled rows: small by its definition
     learnt = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y").mapInArrow(features, "x array<float>, y double").toArrow()
-    x = learnt.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 2 * DIMENSIONS) if learnt.num_rows else np.zeros((0, 2 * DIMENSIONS))
+    x = learnt.column("x").combine_chunks().flatten().to_numpy().reshape(-1, DIMENSIONS) if learnt.num_rows else np.zeros((0, DIMENSIONS))
     y = learnt.column("y").to_numpy()
     order = np.lexsort((*x.T[:4], y))  # the same network whatever order the rows came in
     return Classifier(vectors, learn(x[order], y[order]))

@@ -59,9 +59,62 @@ def test_quality_edges(spark, mixed_docs):
     assert quality.score(empty(spark), quality.train(empty(spark), none)).count() == 0
 
 
-def test_quality_tokens():
-    bucket, shape, per = quality.tokens(["The cat, the cat!!", "", "é 12"])
-    assert per.tolist() == [6, 0, 2] and bucket[1] == bucket[4] and shape[1] != shape[4]
+def plain_words(part):
+    """Rows of one part, a word at a time."""
+    out, seen = [], []
+    for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^\x20\x09-\x0D0-9A-Za-z\x80-\U0010ffff]+", part):
+        low = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" else c for c in w)
+        up = sum(c.isascii() and c.isupper() or "À" <= c <= "Þ" and c != "×" for c in w)
+        down = sum(c.isascii() and c.islower() or "à" <= c <= "ÿ" and c != "÷" for c in w)
+        if low in seen[-6:]:
+            out.append(quality.AGAIN)
+        if up:
+            out.append(quality.CAPITALS if up > 1 and not down else quality.CAPITAL)
+        seen.append(low)
+        out.append(low)
+    return out
+
+
+def test_quality_words_vectors_and_pooling_equal_a_loop(spark, monkeypatch):
+    texts = ["The cat, the CAT!!", "", "é 12 É", "ÀB Ñandú straße ÷×", "win win WIN win", "x\x0by\tz\n"] + [prose(random.Random(k), "fr", 40).title() for k in range(6)]
+    for step in (1_000_000, 25):
+        monkeypatch.setattr(quality, "STEP", step)
+        parts = [[p.decode() for p in quality.parts_of(t.encode())] for t in texts]
+        assert ["".join(p) for p in parts] == texts
+        number, plain = {}, [[plain_words(p) for p in ps] for ps in parts]
+        for text, ps, words in zip(texts, parts, plain):
+            rows, per = quality.tokens([p.encode() for p in ps])
+            flat = [w for p in words for w in p]
+            assert per.tolist() == list(map(len, words))
+            for w, r in zip(flat, rows.tolist()):
+                assert r == w if isinstance(w, int) else number.setdefault(w, r) == r
+        places, signs = quality.index_vectors()
+        own = np.zeros((quality.ROWS, quality.DIMENSIONS))
+        for row in range(quality.ROWS):
+            own[row, places[row]] = signs[row]
+        sums = np.zeros_like(own)
+        coded = [[[w if isinstance(w, int) else number[w] for w in p] for p in ps] for ps in plain]
+        for ps in coded:
+            for p in ps:
+                for i in range(len(p)):
+                    for j in range(max(0, i - 2), min(len(p), i + 3)):
+                        sums[p[i]] += own[p[j]] * (i != j)
+        want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) + own
+        if step == 1_000_000:  # the tasks have the module's own step
+            assert np.allclose(quality.word_vectors(docs_of(spark, *texts, None)), want, atol=1e-6)
+        means = [np.mean([want[w] for p in ps for w in p], axis=0) if any(ps) else np.zeros(quality.DIMENSIONS) for ps in coded]
+        assert np.allclose(quality.pooled(texts, want.astype(np.float32)), means, atol=1e-5)
+
+
+def test_quality_query_learns_from_no_held_out_label(spark, small, tmp_path):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    for name, df in (("documents", docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")})), ("labels", labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    first, second = (quality.op1_quality(spark, d).toPandas().sort_values("doc_id").reset_index(drop=True) for d in (small, str(tmp_path)))
+    assert first.equals(second) and len(first) == docs.count()
+    assert (first.predicted == (first.score >= 0.5)).all() and first.score.between(0, 1).all()
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(first.doc_id, first.held_out))
 
 
 # ---------------------------------------------------------------- 2 language
