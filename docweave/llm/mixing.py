@@ -22,8 +22,8 @@ from docweave.llm.common import cut_lineage, table
 
 #: Slots whose blocks the schedule keeps in one array.
 FRAME = 1000
-#: Documents a block.
-BLOCK_DOCS = 8
+#: Documents a block, at least; larger tables have larger blocks, so that the schedule has this many slots at most (and one a source).
+BLOCK_DOCS, MOST_SLOTS = 8, 4_000_000
 #: A source's weight where none are given: its size to this power.
 TEMPER = 0.7
 #: Documents of a source that one task puts in order, on average.
@@ -121,10 +121,17 @@ def numbered_by_source(docs: DataFrame, key: str, salts: int) -> tuple[DataFrame
     return ready, counts.groupBy("source").agg(F.sum("__n").alias("n_docs"))
 
 
-def schedule(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", frame: int = FRAME, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def block_size(n_rows: int) -> int:
+    """Documents a block of a table of so many rows."""
+    return max(BLOCK_DOCS, -(-n_rows // MOST_SLOTS))
+
+
+def schedule(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", frame: int = FRAME, block_docs: int | None = None) -> DataFrame:
     """key, source, block (of its source), slot (of all blocks), in_block, release, due (in slots from the start), share (the target weight as a part of one)."""
     rows = cut_lineage(docs.select(F.col(key), "source"))
-    salts = max(1, rows.count() // DOCS_PER_SALT)
+    n_rows = rows.count()
+    block_docs = block_docs or block_size(n_rows)
+    salts = max(1, n_rows // DOCS_PER_SALT)
     ready, sizes = numbered_by_source(rows, key, salts)
     # one row; a source's place is its index in s
     listed = F.array_sort(F.collect_list(F.struct("place", "blocks", "weight", "goal", "source")))
@@ -137,12 +144,13 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_
     return found.select(key, "source", "block", "slot", (F.col("__nth") % block_docs).alias("in_block"), "release", "due", "share")
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", position: str | None = None, block_docs: int = BLOCK_DOCS, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_id", position: str | None = None, block_docs: int | None = None, **options) -> DataFrame:
     """All rows and columns of ``docs``, sorted into the mixture's order.
 
     Rows of equal keys and sources stand together, each once. ``position`` names a column to add, which keeps the
     order where rows are stored: slot * block_docs + in_block.
     """
+    block_docs = block_docs or block_size(docs.count())
     at = F.min(F.col("slot") * block_docs + F.col("in_block")).alias("__at")
     order = schedule(docs, weights, key, block_docs=block_docs, **options).groupBy(key, "source").agg(at)
     match = F.col(f"d.{key}").eqNullSafe(F.col(f"o.{key}")) & F.col("d.source").eqNullSafe(F.col("o.source"))

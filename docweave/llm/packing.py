@@ -28,8 +28,6 @@ from docweave.llm.wordcodes import WordCodes
 
 MAX_LENGTH = 4096
 END_ID = 2
-#: Rows that one task numbers at a time, on average.
-ROWS_PER_SALT = 50_000
 #: Positions whose pieces of one length are numbered together.
 POSITIONS_PER_RUN = 4096
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
@@ -68,6 +66,17 @@ def word_encoder(path: str):
     return run
 
 
+def by_words(path: str) -> bool:
+    """Whether a tokenizer's ids of a text are those of its words in lower case, one after another, with the marks behind a word by themselves."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    same = ids("The ÉTÉ\n\tof  x1 ") == ids("the été of x1") == ids("the") + ids("été") + ids("of") + ids("x1")
+    return same and ids("word.") == ids("word") + ids(".") and ids("été!!") == ids("été") + ids("!!")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -92,12 +101,23 @@ def cut_documents(docs: DataFrame, vocabulary: str | None = None, max_length: in
     schema = pa.schema([*PIECES, *[(c, pa.int64()) for c in extra]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCodes(word_encoder(vocabulary or default_vocabulary()), split_endings=True)
+        path = vocabulary or default_vocabulary()
+        if by_words(path):
+            cache = WordCodes(word_encoder(path), split_endings=True)
+        else:
+            from tokenizers import Tokenizer
+
+            cache, tokenizer = None, Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
         for piece, texts in slices(batches):
-            words = [t.encode().lower().split() for t in texts]  # the tokenizer lower-cases anyway
-            counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-            ids, sizes = cache.ids(cache.codes([w for ws in words for w in ws]))
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+            if cache is None:
+                whole = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+                ids, ends = np.fromiter(chain.from_iterable(whole), dtype=np.int64), np.cumsum(list(map(len, whole)))
+            else:
+                words = [t.encode().lower().split() for t in texts]  # the tokenizer lower-cases anyway
+                counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+                ids, sizes = cache.ids(cache.codes([w for ws in words for w in ws]))
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
             out: dict[str, list] = {k: [] for k in schema.names}
             begin = 0
             for doc_id, end, *at in zip(piece.column("doc_id").to_pylist(), ends.tolist(), *[piece.column(c).to_pylist() for c in extra]):
@@ -123,14 +143,14 @@ def bucket_sequences(pieces: DataFrame, salts: int = 4096, position: str | None
 
     ``sequence_id`` = log2(length) * 2^58 + salt * 2^38 + number. The salt is a hash of the document,
     so a length that a third of all pieces have is numbered by many tasks. Every piece fills its
-    sequence from offset 0. With ``position`` (0 to 2^32 - 1; the column is left out of the result) the
-    salt is the run of positions instead, so ids of a bucket rise with the position.
+    sequence from offset 0. With ``position`` (0 to 2^44 - 1; the column is left out of the result) the
+    salt is the run of positions instead, in units of 2^26, so ids of a bucket rise with the position.
     """
     salt = F.expr(f"`{position}` div {POSITIONS_PER_RUN}") if position else F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts))
     bucket = F.round(F.log2("length")).cast("long")
     order = Window.partitionBy("__bucket", "__salt").orderBy(*[position] if position else [], "doc_id", "start", "doc_tokens", *[c for c in ("ids_crc32",) if c in pieces.columns])
     marked = pieces.withColumns({"__bucket": bucket, "__salt": salt}).withColumn("__n", F.row_number().over(order))
-    number = F.shiftleft(F.col("__bucket"), 58) + F.shiftleft(F.col("__salt").cast("long"), 38) + F.col("__n")
+    number = F.shiftleft(F.col("__bucket"), 58) + F.shiftleft(F.col("__salt").cast("long"), 26 if position else 38) + F.col("__n")
     return marked.withColumns({"sequence_id": number, "offset": F.lit(0).cast("long")}).drop("__bucket", "__salt", "__n", *[position] if position else [])
 
 

@@ -2,20 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from docweave.llm import chat, fertility, jpeg, langid, mainhtml, mixing, packing, quality, simhash, warc
 
-
-
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpus_pipeline import run
-
-    return run(spark, sf_dir)
-
-
 QUERIES = {
-    "pipeline": pipeline,
     "op1_quality_classifier": quality.op1_quality,
     "op2_language_mixture": langid.op2_language,
     "op3_pfair_mixing": mixing.op3_mixing,

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm import golay
-from docweave.llm.common import cut_lineage, rows_of, slices, table
+from docweave.llm.common import cut_lineage, fresh_name, rows_of, slices, table
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: First bit and number of bits of each segment.
@@ -188,11 +188,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     return fps.join(components(fps, most), "fp").select("doc_id", "fp", "component_id")
 
 
-_FP = "__simhash_fp"
-
-
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id (null last), one of equal rows."""
+    mark_name = fresh_name(docs, "__simhash_fp")
     fps = cut_lineage(fingerprints(docs, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")
     best = fps.join(components(fps, most), "fp").groupBy("root").agg(first).select("k.doc_id", "k.fp")
@@ -203,13 +201,13 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MO
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(fps)], names=[*piece.schema.names, _FP])
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(fps)], names=[*piece.schema.names, mark_name])
 
-    marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(_FP, T.LongType())]))
-    mine = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{_FP}") == F.col("k.fp"))
+    marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(mark_name, T.LongType())]))
+    mine = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark_name}") == F.col("k.fp"))
     once = marked.alias("d").join(keepers.where("n = 1").alias("k"), mine, "left_semi")
-    repeated = marked.alias("d").join(keepers.where("n > 1").alias("k"), mine, "left_semi").dropDuplicates(["doc_id", _FP])
-    return once.unionByName(repeated).drop(_FP)
+    repeated = marked.alias("d").join(keepers.where("n > 1").alias("k"), mine, "left_semi").dropDuplicates(["doc_id", mark_name])
+    return once.unionByName(repeated).drop(mark_name)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -442,6 +442,20 @@ def test_packing(spark, mixed_docs):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_with_a_cased_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["The Cat  sat\n on IT.", "", "ÉTÉ!! x"]
+    assert packing.by_words(packing.default_vocabulary()) and not packing.by_words(path)
+    got = collections.defaultdict(bytes)
+    for r in packing.pack(docs_of(spark, *texts), vocabulary=path).orderBy("doc_id", "start").collect():
+        got[r.doc_id] += bytes(r.ids)
+    assert {k: np.frombuffer(v, dtype="<u4").tolist() for k, v in got.items()} == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+
+
 def test_piece_lengths():
     for n in (1, 2, 4095, 4096, 4097, 12345):
         assert sum(packing.piece_lengths(n)) == n
@@ -502,6 +516,8 @@ def test_components_equal_brute_force(spark):
 
 
 def test_drop_near_duplicates(spark, mixed_docs):
+    clash = mixed_docs.withColumn("__simhash_fp", F.lit("mine"))
+    assert simhash.drop_near_duplicates(clash).columns == clash.columns
     kept = simhash.drop_near_duplicates(mixed_docs)
     rows = kept.collect()
     assert kept.columns == mixed_docs.columns
@@ -626,6 +642,19 @@ def test_pipeline_equals_the_stages(spark, small):
     assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all()
 
 
+def test_pipeline_edges(spark, mixed_docs, tmp_path):
+    """Null, empty, wordless, very long and repeated texts, null ids, columns with clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    for name, docs in (("odd", mixed_docs.withColumn("__simhash_fp", F.lit(1)).withColumn("mixture_position", F.lit("mine"))), ("none", empty(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").toPandas()
+        assert (name == "none") == got.empty
+        if name == "odd":
+            assert set(got.columns) == set(packing.digest(empty(spark)).columns)
+            assert got.doc_id.isna().any() and not got.doc_id.isin([100, 101, 102]).any() and got.sequence_id.is_unique
+
+
 def test_pipeline_sequences_follow_the_mixture(spark, small, tmp_path):
     import corpus_pipeline
 
