@@ -74,15 +74,19 @@ def paths(nodes: DataFrame) -> DataFrame:
 
 
 def best_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
-    """The nodes of each tree's ``branches`` best paths, with tree, leaf, branch (rank from 1), place (from the root)."""
-    steps = paths(nodes).alias("p")
+    """The nodes of each tree's ``branches`` best paths, with tree, leaf, branch (rank from 1), place (from the root).
+
+    Branches are ranked by scores alone; roles and texts join the chosen paths only.
+    """
+    steps = paths(nodes)
     here = F.col("p.tree").eqNullSafe(F.col("n.tree")) & (F.col("p.node") == F.col("n.node"))
-    full = steps.join(nodes.alias("n"), here).select("p.tree", "p.leaf", "p.up", "n.role", "n.text", "n.score")
-    ranked = full.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
+    scored = steps.alias("p").join(nodes.select("tree", "node", "score").alias("n"), here).select("p.tree", "p.leaf", "n.score")
+    ranked = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
     branch = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
     chosen = ranked.withColumn("branch", branch).where(F.col("branch") <= branches).alias("c")
     match = F.col("f.tree").eqNullSafe(F.col("c.tree")) & (F.col("f.leaf") == F.col("c.leaf"))
-    return full.alias("f").join(chosen, match).select("f.tree", "f.leaf", "c.branch", "f.up", "f.role", "f.text")
+    kept = steps.alias("f").join(chosen, match).select("f.tree", "f.leaf", "c.branch", "f.node", "f.up")
+    return kept.alias("p").join(nodes.alias("n"), here).select("p.tree", "p.leaf", "p.branch", "p.up", "n.role", "n.text")
 
 
 def format_paths(steps: DataFrame, learn_from: str = "assistant") -> DataFrame:
