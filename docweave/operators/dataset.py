@@ -95,7 +95,7 @@ def build_eval_samples(chunks: DataFrame, relations: DataFrame, facts: int = 16,
 
 def stratified_sample(samples: DataFrame, fraction: float = 0.2, seed: int = 42, key: str = "sample_id") -> DataFrame:
     """Of each question type max(1, round(n f)) samples, in the order of a hash with the seed: the same ones each time."""
-    order = F.row_number().over(Window.partitionBy("q_type").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    order = F.row_number().over(Window.partitionBy("q_type").orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key))
     n = F.count(F.lit(1)).over(Window.partitionBy("q_type"))
     return samples.withColumns({"__rn": order, "__n": n}).where(F.col("__rn") <= F.greatest(F.lit(1), F.round(F.col("__n") * fraction))).drop("__rn", "__n")
 

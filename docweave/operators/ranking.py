@@ -51,7 +51,7 @@ def merge_with_quota(lists: DataFrame, top_k: int, per_list: int = 1, quota_list
     reserved = heads.groupBy("query_id", "chunk_id").agg(F.min(F.struct("list_no", "rank")).alias("at"))
     numbered = reserved.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "chunk_id"))).select("query_id", "chunk_id", "place")
     n = numbered.groupBy("query_id").agg(F.max("place").alias("n"))
-    pool = merge_source_lists(lists, 2**31 - 1).join(n, "query_id").where(F.col("rank") <= top_k + F.col("n"))
+    pool = merge_source_lists(lists, 2**31 - 1).join(n, "query_id", "left").where(F.col("rank") <= top_k + F.coalesce("n", F.lit(0)))
     joined = pool.select("query_id", "chunk_id", F.col("rank").alias("pool_rank")).join(numbered, ["query_id", "chunk_id"], "full_outer")
     order = Window.partitionBy("query_id").orderBy(F.col("place").asc_nulls_last(), F.col("pool_rank").asc_nulls_last(), "chunk_id")
     return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "chunk_id", "rank", F.col("place").isNotNull().alias("reserved"))

@@ -8,6 +8,7 @@ from docweave.operators import chunking as K
 from docweave.operators import composite as C
 from docweave.operators import search, stats
 from docweave.operators.common import materialised
+from docweave.plans import chunk_sql, composite_sql
 from docweave.sources import views as V
 from docweave.sources.views import AS_OF
 
@@ -120,5 +121,5 @@ def sr21_strict_vs_relaxed(spark, d):
     return C.strict_vs_relaxed(_templated(spark, d), _chunks(spark, d), _postings(spark, d), _quality(spark, d), relations)
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = chunk_sql.SQL | composite_sql.SQL
 QUERIES = {k: v for k, v in globals().items() if k[:2] in ("tx", "sr") and callable(v)}

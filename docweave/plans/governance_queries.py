@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.operators import dataset as D
 from docweave.operators import governance as G
 from docweave.operators import stats, vectors
+from docweave.plans import more_sql as M
 from docweave.sources import views as V
 from docweave.sources.views import AS_OF, with_views
 
@@ -188,11 +189,25 @@ def ev12_build_eval_samples(spark, d):
     return D.build_eval_samples(V.chunks(spark, d), relations).select("kb_id", "q_type", F.col("n").cast("long").alias("n"), F.md5("question").alias("question_md5"), F.md5("ground_truth").alias("truth_md5"), F.size("relevant").cast("long").alias("n_relevant"))
 
 
-def ev13_fix_annotations(spark, d):
+def _cjk_orders(spark, d):
+    """Chunks and questions of CJK characters, one for each digit of the data."""
     cjk = lambda c: F.translate(c.cast("string"), "0123456789", "零一二三四五六七八九")
-    chunks = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_orderkey") % 20).alias("kb_id"), cjk(F.col("o_custkey") * 1009).alias("content"))
-    samples = V.table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_orderkey") % 20).alias("kb_id"), cjk(F.col("o_custkey") * 37).alias("question"), (F.col("o_orderkey") + F.col("o_custkey") % 3).alias("primary_id"))
-    return D.fix_annotations(samples, chunks).select("sample_id", "action", F.size("relevant").cast("long").alias("n"))
+    orders = V.table(spark, d, "orders")
+    chunks = orders.select(F.col("o_orderkey").alias("chunk_id"), (F.col("o_orderkey") % 20).alias("kb_id"), cjk(F.col("o_custkey") * 1009).alias("content"))
+    samples = orders.where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_orderkey") % 20).alias("kb_id"), cjk(F.col("o_custkey") * 37).alias("question"), (F.col("o_orderkey") + F.col("o_custkey") % 3).alias("primary_id"))
+    return chunks, samples
+
+
+def jn12_best_chunks(spark, d):
+    from docweave.operators.search import best_chunks_for_question
+
+    chunks, samples = _cjk_orders(spark, d)
+    return best_chunks_for_question(samples.withColumnRenamed("sample_id", "query_id"), chunks).select("query_id", "chunk_id", "score", "rank")
+
+
+def ev13_fix_annotations(spark, d):
+    chunks, samples = _cjk_orders(spark, d)
+    return D.fix_annotations(samples, chunks).select("sample_id", "action", F.coalesce(F.size("relevant"), F.lit(-1)).cast("long").alias("n"))
 
 
 def sr18_image_dedup(spark, d):
@@ -205,7 +220,17 @@ _Q = _FB + f""", q AS (SELECT *, s < 0.25 OR dl >= 3 AS rv FROM (SELECT c.chunk_
  - CAST(0.2 AS DOUBLE) * least(CAST(coalesce(co, 0) AS DOUBLE) / greatest(c.hit_count, 1), 1.0) + CAST(0.1 AS DOUBLE) * greatest(0.0, 1 - date_diff('day', c.created_at, TIMESTAMP '{AS_OF}') / 365.0))), 4) AS s FROM fx_chunks c LEFT JOIN fb ON fb.chunk_id = c.chunk_id) x)"""
 _IDS = "ids AS (SELECT suggestion_id, 0 AS pos, suggestion_id % 200 AS chunk_id FROM fx_suggestions UNION ALL SELECT suggestion_id, 1, suggestion_id % 77 FROM fx_suggestions)"
 _CF = "cf AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'dismissed' ELSE 'pending' END AS st, CASE doc_id % 5 WHEN 0 THEN 'resolved_keep_new' WHEN 1 THEN 'resolved_keep_old' WHEN 2 THEN 'dismissed' WHEN 3 THEN 'nonsense' ELSE 'resolved_keep_new' END AS de, doc_id + 1 IN (SELECT doc_id FROM documents) AS ex, length(substr(text, 1, 50)) AS n FROM documents WHERE doc_id % 4 = 0)"
+_DUP = "vec AS (SELECT vec_id AS chunk_id, label AS kb_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), cls AS (SELECT *, min(chunk_id) OVER (PARTITION BY kb_id, e) AS first FROM vec), dup AS (SELECT a.kb_id, a.chunk_id AS a, b.chunk_id AS b FROM cls a JOIN cls b ON a.kb_id = b.kb_id AND a.chunk_id < b.chunk_id AND round(1 - list_cosine_similarity(a.e, b.e), 6) <= 0.8 WHERE (a.first = a.chunk_id AND b.first = b.chunk_id) OR a.chunk_id = b.first)"
 SQL = {
+    "fl09_rel_overlap": M.REL_OVERLAP,
+    "jn12_best_chunks": M.BEST_CHUNKS,
+    "ev13_fix_annotations": M.FIXED_ANNOTATIONS,
+    "qu01_classify_gap": with_views(*M.GAPS),
+    "qu02_enqueue_gaps": with_views(*M.ENQUEUED),
+    "qu05_apply_transitions": M.TRANSITIONS.format(suggestions=V.SQL["fx_suggestions"]),
+    "qu09_consistency": M.CONSISTENCY,
+    "st01_scan_suggestions": with_views(M.SCAN, _Q, _DUP, M.ALIVE),
+    "wn15_stratified_sample": with_views("SELECT sample_id, q_type FROM (SELECT *, row_number() OVER (PARTITION BY q_type ORDER BY md5(concat(CAST(sample_id AS VARCHAR), '|42')), sample_id) AS rn, count(*) OVER (PARTITION BY q_type) AS n FROM (SELECT DISTINCT sample_id, q_type FROM fx_samples) s) x WHERE rn <= greatest(1, round(n * CAST(0.2 AS DOUBLE)))"),
     "jn01_chunk_refs": with_views("SELECT DISTINCT c.chunk_id, c.document_id, concat('doc-', c.document_id, '.txt') AS filename, c.chunk_index, c.is_active, substr(c.content, 1, 80) AS preview FROM ids JOIN fx_chunks c ON c.chunk_id = ids.chunk_id", _IDS),
     "jn02_explode_refs": with_views("SELECT suggestion_id, string_agg(concat('doc-', chunk_id, '.txt'), ',' ORDER BY pos) AS files FROM ids WHERE chunk_id IN (SELECT doc_id FROM documents) GROUP BY 1", _IDS),
     "jn03_tag_map": "SELECT d.doc_id AS document_id, coalesce(t.tags, '') AS tags FROM documents d LEFT JOIN (SELECT doc_id, string_agg(n_name, ',' ORDER BY n_name) AS tags FROM (SELECT DISTINCT doc_id, n_name FROM (SELECT doc_id, doc_id % 5 AS t FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, doc_id % 4 FROM documents WHERE doc_id % 3 <> 0) b JOIN nation n ON n.n_nationkey = b.t) u GROUP BY 1) t ON t.doc_id = d.doc_id",

@@ -150,6 +150,7 @@ every AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY quer
 _COUNTS = "fb AS (SELECT chunk_id, sum(CASE WHEN feedback_type = 'like' THEN 1 ELSE 0 END) AS like_count, sum(CASE WHEN feedback_type = 'dislike' THEN 1 ELSE 0 END) AS dislike_count, sum(CASE WHEN feedback_type = 'correction' THEN 1 ELSE 0 END) AS correction_count FROM fx_feedback GROUP BY 1)"
 _QUALITY = _COUNTS + f""", ql AS (SELECT c.chunk_id, coalesce(dislike_count, 0) AS dislike_count, round(greatest(0.0, least(1.0, CAST(0.4 AS DOUBLE) * least(c.hit_count / 20.0, 1.0) + CAST(0.3 AS DOUBLE) * CASE WHEN like_count + dislike_count > 0 THEN CAST(like_count AS DOUBLE) / (like_count + dislike_count) ELSE 0.5 END
  - CAST(0.2 AS DOUBLE) * least(CAST(coalesce(correction_count, 0) AS DOUBLE) / greatest(c.hit_count, 1), 1.0) + CAST(0.1 AS DOUBLE) * greatest(0.0, 1 - date_diff('day', c.created_at, TIMESTAMP '{AS_OF}') / 365.0))), 4) AS quality_score FROM fx_chunks c LEFT JOIN fb ON fb.chunk_id = c.chunk_id)"""
+QUALITY_CTES = _QUALITY
 _CAND = _BM + ", cand AS (SELECT e.query_id, e.chunk_id, e.score, e.rank, c.document_id % 7 AS document_id, c.content, q.question, round(1 / (CAST(60 AS DOUBLE) + e.rank), 12) AS rrf_score, CASE WHEN e.query_id % 3 <> 0 THEN CAST((e.chunk_id * 13 + e.query_id) % 100 AS DOUBLE) / 200 END AS model_score FROM every e JOIN fx_chunks c ON c.chunk_id = e.chunk_id JOIN fx_questions q ON q.query_id = e.query_id WHERE e.rank <= 10)"
 _VEC = f"v AS (SELECT vec_id AS chunk_id, label AS kb_id, CAST(embedding AS DOUBLE[]) AS e, TIMESTAMP '{AS_OF}' - to_days(CAST(vec_id % 300 AS INTEGER)) AS created_at FROM embeddings)"
 _DIST = "round(1 - list_cosine_similarity(a.e, b.e), 6)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
+from docweave.plans import more_sql as M
 from docweave.sources import views as V
 
 
@@ -111,6 +112,11 @@ SQL = {
     "tx09_fts_query_terms": "SELECT query_id, concat('\"', array_to_string(list_slice(regexp_extract_all(question, '[0-9A-Za-z_]{2,}'), 1, 20), '\" OR \"'), '\"') AS match_expression FROM fx_questions",
     "tx10_substantive_terms": "SELECT query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(question), '[0-9A-Za-z_]{2,}'))), ' ') AS terms FROM fx_questions",
     "tx11_anchor_terms": "SELECT query_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(CASE query_id % 6 WHEN 0 THEN regexp_replace(question, '之间有什么联系', '') WHEN 1 THEN regexp_replace(regexp_replace(question, '本知识库中', ''), '章节', '') ELSE '' END), '[0-9A-Za-z_]{2,}'))), ' ') AS anchors FROM fx_templated",
+    "tx12_quote_anchors": "SELECT query_id, pos, anchor, array_to_string(v, '|') AS variants FROM variants",
+    "tx13_multi_hop_anchors": "SELECT query_id, array_to_string(anchors, '|') AS anchors FROM hops",
+    "tx16_sub_queries": "SELECT query_id, unnest(range(len(p))) AS pos, unnest(p) AS sub_query FROM parts",
+    "tx17_expand_query": f"SELECT query_id, CASE WHEN {_ROUTE} IN ('relational', 'comprehensive') AND len({M.EXPANDED}) > 0 THEN array_to_string({M.EXPANDED}, ' ') ELSE question END AS expanded FROM fx_templated",
+    "tx19_extract_term": M.TERM,
     "tx14_route_query": f"SELECT query_id, {_ROUTE} AS route FROM fx_templated",
     "tx15_route_top_k": f"WITH r AS (SELECT query_id, question, {_ROUTE} AS route FROM fx_templated), k AS (SELECT *, CASE route WHEN 'comprehensive' THEN 4 ELSE 5 END AS base FROM r) SELECT query_id, CAST(CASE WHEN route = 'chitchat' THEN 0 WHEN {_N} < 15 THEN greatest(base, 4) WHEN {_N} > 80 THEN least(base + 1, 10) ELSE base END AS BIGINT) AS route_k, CAST(CASE WHEN {_N} < 15 THEN 4 WHEN {_N} > 80 THEN 7 ELSE 5 END AS BIGINT) AS dynamic_k FROM k",
     "tx18_answer_predicates": "WITH a AS (SELECT message_id, CASE message_id % 4 WHEN 0 THEN concat('目前知识库中暂无', substr(content, 1, 10)) WHEN 1 THEN concat(content, '应该') ELSE content END AS t FROM fx_messages) SELECT message_id, message_id % 4 = 0 AS refusal, message_id % 4 = 0 AS no_info, message_id % 4 = 1 AND length(t) >= 12 AND t NOT LIKE '%?%' AS user_fact FROM a",
@@ -118,5 +124,8 @@ SQL = {
     "tx21_content_hash": "SELECT sha256(text) AS hash, min(doc_id) AS first_doc, count(*) AS n_rows, min(substr(md5(concat(substr(text, 1, 200), source)), 1, 12)) AS ctx FROM documents GROUP BY 1",
 }
 QUERIES = {k: v for k, v in globals().items() if k.startswith("tx")}
-SQL = {k: V.with_views(s, *([_Q] if "fx_templated" in s else [])) if not s.startswith("WITH") else ("WITH " + _Q + ", " + s[5:] if "fx_templated" in s else s) for k, s in SQL.items()}
+_CUTS = "cuts AS (SELECT query_id, unnest(range(len(a))) AS pos, unnest(a) AS anchor FROM quotes)"
+_BEFORE = {"tx12_quote_anchors": [M.quote_anchors("fx_templated"), _CUTS, M.VARIANTS], "tx13_multi_hop_anchors": [M.quote_anchors("fx_templated"), M.HOP_ANCHORS], "tx16_sub_queries": [M.PARTS]}
+SQL = {k: f"WITH {', '.join([_Q, *_BEFORE[k]])} {s}" if k in _BEFORE else s for k, s in SQL.items()}
+SQL = {k: s if k in _BEFORE else V.with_views(s, *([_Q] if "fx_templated" in s else [])) if not s.startswith("WITH") else ("WITH " + _Q + ", " + s[5:] if "fx_templated" in s else s) for k, s in SQL.items()}
 SQL = {k: ("WITH fx_messages AS (" + V.SQL["fx_messages"] + "), " + s[5:] if k == "tx18_answer_predicates" else s) for k, s in SQL.items()}
