@@ -40,8 +40,8 @@ REACH, LEAST_DOCS = 3.0, 50
 #: Measures with bands, and the least that counts as the distance between their quartiles.
 BANDED = {"chars_per_token": 0.25, "byte_share": 0.05, "entropy_share": 0.05}
 VOCABULARIES = ("piece", "byte")
-#: Bytes of a long text that are looked up at a time.
-PIECE_BYTES = 4_000_000
+#: Bytes of text, or of a part of a long text, that are looked up at a time, and words and cells that a task remembers.
+PIECE_BYTES, STEP, MOST_REMEMBERED = 2_000_000, 1_500_000, 200_000
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS.encode()))
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +143,7 @@ class Meter:
         piece, byte = vocabularies or default_vocabularies()
         self.piece, self.byte = piece_model(piece), byte_model(byte)
         self.shift = self.piece.get_piece_size()  # ids of the byte vocabulary begin there
-        self.cells = WordCodes(self._encode_cells, max_words=400_000)
+        self.cells = WordCodes(self._encode_cells, max_words=MOST_REMEMBERED)
         self.words: dict[bytes, int] = {}
         self.word_of = np.zeros(0, dtype=np.int64)
         tokens = [self.byte.decode_single_token_bytes(i) for i in range(self.byte.n_vocab)]
@@ -198,7 +198,7 @@ class Meter:
 
     def _read(self, raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(word numbers, ids) of each text; numbers are the same for equal words of all these texts."""
-        if len(self.words) > 1_000_000:
+        if len(self.words) > MOST_REMEMBERED:
             self.words = {}
             self.cells._clear()
             self.word_of = np.zeros(0, dtype=np.int64)
@@ -270,7 +270,7 @@ def measure(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = Meter(vocabularies)
-        for piece, texts in slices(batches):
+        for piece, texts in slices(batches, step=STEP):
             yield rows_of(schema, doc_id=piece.column("doc_id"), **meter(texts))
 
     kinds = T.StructType([T.StructField(f.name, _KINDS[f.type]) for f in schema])
@@ -315,7 +315,7 @@ def keep_good(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = Meter(vocabularies)
-        for piece, texts in slices(batches):
+        for piece, texts in slices(batches, step=STEP):
             found = meter(texts)
             yield pa.RecordBatch.from_arrays([*piece.columns, *(pa.array(found[name], type=kind) for name, kind in COLUMNS)], names=[*piece.schema.names, *mine.values()])
 
