@@ -133,7 +133,7 @@ def multi_hop_search(queries: DataFrame, find, postings: DataFrame, chunks: Data
     question are one list more. Every anchor's list has a quota in the merged one. Questions that the relaxed gate drops
     altogether fall back to full-text hits alone: of the quotes and of each anchor, the anchors with a quota again.
     """
-    q = queries.withColumn("route", T.route_query(F.col("question"))).withColumn("anchors", T.multi_hop_anchors(F.col("question")))
+    q = materialised(queries).withColumn("route", T.route_query(F.col("question"))).withColumn("anchors", T.multi_hop_anchors(F.col("question")))
     cue = F.exists(F.array(*[F.lit(c) for c in SPLIT_CUES]), lambda c: F.col("question").contains(c))
     split = materialised(q.where(F.col("route").isin("relational", "comprehensive") & cue & (F.size("anchors") >= 2)))
     spread = split.select("*", F.posexplode("anchors").alias("list_no", "anchor"))
@@ -181,7 +181,7 @@ def two_round_search(queries: DataFrame, find, chunks: DataFrame, default_k: int
 
     The first sufficient round stays. If neither is, the one of the higher score does (round two on a tie) and refused is true.
     """
-    first = materialised(routed(queries, default_k))
+    first = materialised(routed(materialised(queries), default_k))
     one = materialised(find(first, None))
     judged = sufficiency(first, one, chunks)
     weak = first.join(judged.where("not sufficient").select("query_id"), "query_id", "left_semi")
