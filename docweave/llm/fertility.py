@@ -76,6 +76,8 @@ def default_vocabularies() -> tuple[str, str]:
 
 def script_of(text: str) -> str:
     """The script of most letters among its distinct characters weighed by use; the first in order on a tie."""
+    if text.isascii():
+        return "LATIN" if re.search("[A-Za-z]", text) else ""
     found: Counter[str] = Counter()
     for ch, n in Counter(text).items():
         if ch.isalpha():
