@@ -98,6 +98,31 @@ def test_vector_topk_equals_brute_force(spark):
         assert [got[i, k + 1] for k in range(5)] == [j for _, j in sorted(d)[:5]]
 
 
+def test_pairs_within_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.normal(size=(60, 4)), rng.normal(size=(1, 4)).repeat(6, axis=0)])
+    df = spark.createDataFrame([(i, i % 2, [float(x) for x in m[i]], "2024-01-01") for i in range(66)], "chunk_id long, kb_id int, embedding array<double>, created_at string")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = {(i, j) for i in range(66) for j in range(i + 1, 66) if i % 2 == j % 2 and round(1 - float(u[i] @ u[j]), 6) <= 0.4}
+    assert {(r.a, r.b) for r in vectors.pairs_within(df, 0.4, block_rows=7).collect()} == near
+    first = {i: min(j for j in range(66) if j % 2 == i % 2 and (m[i] == m[j]).all()) for i in range(66)}
+    want = {(i, j) for i, j in near if first[i] == i and first[j] in (i, j)}
+    assert {(r.a, r.b) for r in vectors.near_duplicate_pairs(df).collect()} == want
+
+
+def test_supporting_chunk_with_many_ties(spark):
+    rows = [(1, 7, 5), *((i, 7, 3) for i in range(10, 30)), (2, 7, 9), (3, 8, 0)]
+    df = spark.createDataFrame(rows, "chunk_id long, document_id long, chunk_index long")
+    got = {r.chunk_id: r.supporting_id for r in stats_free_supporting(df).collect()}
+    assert got[1] == 10 and got[10] == 11 and got[11] == 10 and got[2] == 10 and got[3] is None
+
+
+def stats_free_supporting(df):
+    from docweave.operators.dataset import supporting_chunk
+
+    return supporting_chunk(df)
+
+
 def spec_split(text, size, overlap):
     """A character at a time."""
     out, cur = [], ""
