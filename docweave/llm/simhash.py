@@ -34,6 +34,12 @@ from docweave.llm.common import cut_lineage, fresh_name, rows_of, slices, table
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: First bit and number of bits of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Near duplicates by similarity: words of a shingle and least similarity of their sets.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Key tables, two Golay words each, and the 64-bit words of a wide fingerprint: one to compare, the rest for keys.
+TABLES, WORDS = 8, 7
+#: Words a task remembers hashes of; rows up to which a table of ids is broadcast; runs compared in whole-array steps.
+MOST_WORDS, MOST_BROADCAST, LONG_RUN = 200_000, 500_000, 32
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -187,27 +193,225 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     fps = cut_lineage(fingerprints(docs, shingle))
     return fps.join(components(fps, most), "fp").select("doc_id", "fp", "component_id")
 
+# ---- near duplicates by similarity: the same keys over a wider fingerprint, each link verified on the shingles
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest doc_id (null last), one of equal rows."""
-    mark_name = fresh_name(docs, "__simhash_fp")
-    fps = cut_lineage(fingerprints(docs, shingle))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")
-    best = fps.join(components(fps, most), "fp").groupBy("root").agg(first).select("k.doc_id", "k.fp")
-    many = fps.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
-    pair = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.fp") == F.col(f"{b}.fp"))
-    keepers = cut_lineage(best.alias("a").join(many.alias("b"), pair("a", "b")).select("a.doc_id", "a.fp", "b.n"))
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _WordHashes(dict):
+    """XXH64 of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the result depends on every bit given."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        values = (values ^ (values >> np.uint64(shift))) * np.uint64(factor)
+    return values ^ (values >> np.uint64(31))
+
+
+def word_digest(words: list[bytes]) -> int:
+    """Of the sequence of words: equal for texts that differ in case and white space alone."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b" ".join(words), SEED)
+
+
+def shingle_set(words: list[bytes], shingle: int, known: _WordHashes) -> np.ndarray:
+    """The distinct hashes of the word shingles, sorted; of fewer words the whole sequence is the one shingle."""
+    if len(known) > MOST_WORDS:
+        known.clear()
+    hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    width = min(shingle, len(hashes))
+    joined = np.zeros(len(hashes) - width + 1 if width else 0, dtype=np.uint64)
+    for i in range(width):
+        joined = _mixed(joined + hashes[i : i + len(joined)] + np.uint64(i + 1))
+    return np.unique(joined)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words: a bit is 1 if more than half of the distinct shingles have it."""
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    salts = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(0, len(shingles), 1 << 12):
+        many = _mixed(shingles[k : k + (1 << 12), None] + salts)
+        ones += np.unpackbits(many.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")
+
+
+def wide_keys(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, positions) in several parts; ``words`` has shape (n, WORDS), the first word makes no keys.
+
+    Each table takes two segments of 23 bits; a key is a pair of indices of code words near them.
+    """
+    bits = np.unpackbits(np.ascontiguousarray(words[:, 1:]).view(np.uint8), axis=1, bitorder="little")
+    place = 1 << np.arange(golay.LENGTH)
+    segment = lambda k: golay.fuzzy_keys(bits[:, k * golay.LENGTH : (k + 1) * golay.LENGTH].astype(np.int64) @ place)
+    for table_no in range(TABLES):
+        first, second = segment(2 * table_no), segment(2 * table_no + 1)
+        both = np.where((first[:, :, None] >= 0) & (second[:, None, :] >= 0), (first[:, :, None] << 12) + second[:, None, :], -1).reshape(len(words), 36)
+        at, which = np.nonzero(both >= 0)
+        yield (table_no << 24) + both[at, which], at
+
+
+def most_differing(similarity: float) -> int:
+    """Bits of 64 in which sets of that similarity differ: the expectation and two and a half deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(64 * share + 2.5 * np.sqrt(64 * share * (1 - share))))
+
+
+def closest_forest(nodes: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning forest by differing bits, none above ``most``. Equal fingerprints are strung together first."""
+    fps, first, group = np.unique(fps, return_index=True, return_inverse=True)
+    heads = nodes[first]
+    edges = [(int(heads[g]), int(n)) for g, n in zip(group, nodes) if heads[g] != n]
+    left = np.arange(1, len(fps))
+    near, nearest, last = np.full(len(left), most + 1), np.zeros(len(left), dtype=np.int64), 0
+    while len(left):
+        bits = differing(fps[left], fps[last])
+        closer = bits < near
+        near[closer], nearest[closer] = bits[closer], last
+        k = int(near.argmin())
+        last = left[k]
+        if near[k] <= most:
+            edges.append((int(heads[nearest[k]]), int(heads[last])))
+        rest = np.arange(len(left)) != k
+        left, near, nearest = left[rest], near[rest], nearest[rest]
+    return edges
+
+
+def near_runs(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges within the runs of equal keys. Runs without any near pair are told apart by whole-array steps."""
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+    size = np.diff(bounds)
+    run_of = np.repeat(np.arange(len(size)), size)
+    busy = size > LONG_RUN
+    small = np.flatnonzero(~busy[run_of])
+    for step in range(1, min(LONG_RUN, int(size.max()))):
+        small = small[small + step < bounds[run_of[small] + 1]]
+        busy[run_of[small[differing(fps[small], fps[small + step]) <= most]]] = True
+    return [e for k in np.flatnonzero(busy) for e in closest_forest(nodes[bounds[k] : bounds[k + 1]], fps[bounds[k] : bounds[k + 1]], most)]
+
+
+def similar_candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) between ``digest``s whose fingerprints (``fp``, an array of WORDS longs) share a key and are near in the first word."""
+    most = most_differing(similarity)
+    offered_schema = pa.schema([("key", pa.int32()), ("digest", pa.int64()), ("fp", pa.int64())])
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1 << 11):
+                piece = batch.slice(k, 1 << 11)
+                digests = piece.column("digest").to_numpy()
+                words = piece.column("fp").flatten().to_numpy().reshape(-1, WORDS)
+                for keys, at in wide_keys(words):
+                    yield rows_of(offered_schema, key=keys, digest=digests[at], fp=words[at, 0])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; the last run of a batch may go on in the next."""
+        held: list[pa.RecordBatch] = []
+
+        def runs(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            columns = [np.concatenate([p.column(name).to_numpy() for p in parts]) for name in ("key", "digest", "fp")]
+            found = np.array(near_runs(*columns, most), dtype=np.int64).reshape(-1, 2)
+            return rows_of(edge, a=found.min(1), b=found.max(1))
+
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            if not len(keys):
+                continue
+            whole = int(np.searchsorted(keys, keys[-1]))
+            if held and (whole or held[-1].column("key")[0].as_py() != keys[0]):
+                yield runs([*held, batch.slice(0, whole)])
+                held = []
+            elif whole:
+                yield runs([batch.slice(0, whole)])
+            held.append(batch.slice(whole))
+        if held:
+            yield runs(held)
+
+    offered = nodes.select("digest", "fp").mapInArrow(offer, "key int, digest long, fp long")
+    dealt = offered.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def with_digest(docs: DataFrame, name: str) -> DataFrame:
+    """All columns and the digest of the words of ``text`` under ``name``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches):
-            fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(fps)], names=[*piece.schema.names, mark_name])
+            digests = np.array([word_digest(t.encode().lower().split()) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(digests)], names=[*piece.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
-    marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(mark_name, T.LongType())]))
-    mine = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark_name}") == F.col("k.fp"))
-    once = marked.alias("d").join(keepers.where("n = 1").alias("k"), mine, "left_semi")
-    repeated = marked.alias("d").join(keepers.where("n > 1").alias("k"), mine, "left_semi").dropDuplicates(["doc_id", mark_name])
-    return once.unionByName(repeated).drop(mark_name)
+
+def verified(edges: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those edges whose texts' sets of shingles have at least that similarity (Jaccard), by the whole sets.
+
+    ``reps`` names a row (doc_id, digest) of each node. Only the texts of nodes with edges are read into sets.
+    """
+    ends = edges.select(F.col("a").alias("digest")).unionByName(edges.select(F.col("b").alias("digest"))).distinct()
+    wanted = cut_lineage(reps.join(ends, "digest").select("doc_id", "digest"))
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    schema = pa.schema([("digest", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for piece, texts in slices(batches):
+            found = [shingle_set(t.encode().lower().split(), shingle, known).view(np.int64) for t in texts]
+            yield rows_of(schema, digest=piece.column("digest"), shingles=found)
+
+    marked = with_digest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "digest")
+    mine = (F.col("d.digest") == F.col("w.digest")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+    rows = marked.alias("d").join(wanted.alias("w"), mine, "left_semi").select("digest", "text")
+    of = cut_lineage(rows.mapInArrow(sets, "digest long, shingles array<long>").dropDuplicates(["digest"]))
+    left, right = of.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), of.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
+    both = edges.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+
+def similar_components(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """digest, none, doc_id, n, root for every distinct sequence of words: its smallest doc_id (null last) with the number
+    of its rows, and its component."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("fp", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for piece, texts in slices(batches):
+            words = [t.encode().lower().split() for t in texts]
+            digests = np.array([word_digest(w) for w in words], dtype=np.uint64).view(np.int64)
+            yield rows_of(schema, doc_id=piece.column("doc_id"), digest=digests, fp=[wide_fingerprint(shingle_set(w, shingle, known)) for w in words])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest long, fp array<long>")
+    many = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("k")
+    nodes = cut_lineage(many.groupBy("digest").agg(least, F.first("fp").alias("fp")).select("digest", "k.*", "fp"))
+    edges = cut_lineage(similar_candidates(nodes, similarity))
+    linked = connected_components(verified(edges, docs, nodes, shingle, similarity)).withColumnRenamed("node", "digest")
+    return nodes.drop("fp").join(linked, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id (null last), one of equal rows.
+
+    Texts with the same words in order are one node, null and wordless texts among them. Two nodes
+    are linked if the sets of their shingles have at least the given similarity (Jaccard): Golay keys
+    of eight pairs of segments of a wide SimHash propose the pairs, the whole sets decide.
+    """
+    mark = fresh_name(docs, "__simhash_digest")
+    first = F.min(F.struct("none", "doc_id", "digest", "n")).alias("k")
+    best = cut_lineage(similar_components(docs, shingle, similarity).groupBy("root").agg(first).select("k.doc_id", "k.digest", "k.n"))
+    mine = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{mark}") == F.col("k.digest"))
+    marked = with_digest(docs, mark).alias("d")
+    once = marked.join(best.where("n = 1").alias("k"), mine, "left_semi")
+    repeated = marked.join(best.where("n > 1").alias("k"), mine, "left_semi").dropDuplicates(["doc_id", mark])
+    return once.unionByName(repeated).drop(mark)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -526,6 +528,66 @@ def test_drop_near_duplicates(spark, mixed_docs):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0 and simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_drop_near_duplicates_equals_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(40, 400))) for _ in range(60)]
+    texts += [f"a{i} b{i}" for i in range(20)]
+    for _ in range(400):
+        words = rng.choice(texts).split()
+        for _ in range(rng.randint(0, 1 + len(words) // 60)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += [texts[0].upper(), texts[0].replace(" ", "\n "), "", None]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [frozenset(tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {find(i) for i in range(len(texts))}
+    got = [r.doc_id for r in simhash.drop_near_duplicates(docs_of(spark, *texts)).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and len(set(got) - want) <= 0.02 * (len(texts) - len(want))
+
+
+def test_wide_keys_find_what_golay_words_share():
+    rng = np.random.default_rng(12)
+    a = rng.integers(-(1 << 63), 1 << 63, (50, simhash.WORDS))
+    b = a.copy()
+    b[:, 1] ^= 1 << rng.integers(0, 23, 50)  # one bit of the first segment of the first table
+    keys = [{(int(k), int(i)) for ks, at in simhash.wide_keys(x) for k, i in zip(ks, at)} for x in (a, b)]
+    for i in range(50):
+        shared = {k for k, at in keys[0] if at == i} & {k for k, at in keys[1] if at == i}
+        assert {k >> 24 for k in shared} == set(range(simhash.TABLES))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 255)), max_size=60))
+def test_near_runs_span_what_is_near(rows):
+    rows = sorted(rows)
+    keys, fps = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+    if not rows:
+        return
+    nodes = np.arange(len(rows), dtype=np.int64)
+
+    def parts(edges):
+        label = list(range(len(rows)))
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        return [label.index(x) for x in label]
+
+    every = [(i, j) for i in range(len(rows)) for j in range(i) if keys[i] == keys[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= 2]
+    got = simhash.near_runs(keys, nodes, fps, 2)
+    assert parts(got) == parts(every) and len(got) < len(rows)
+
+
 # ---------------------------------------------------------------- 10 jpeg
 
 
