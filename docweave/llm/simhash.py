@@ -12,6 +12,13 @@
    node, never all its pairs.
 4. The links' connected components are found by alternating stars over the linked nodes alone.
 
+Near duplicates by similarity (``drop_near_duplicates``) take the same way over a wider fingerprint:
+sets of five-word shingles, sixteen Golay words of 23 bits, keys from the eight pairs of them, a
+minimum spanning forest by differing bits within a key. Each link is then verified on the whole sets
+(Jaccard of 0.8 or more) before components are formed. Segments with two errors always share a key
+and those with more often do: on 47,257 texts every pair of similarity 0.85 or more shared a key, and
+98 % of those from 0.8.
+
 Null and wordless texts have fingerprint zero and are linked like any other. Texts of fewer
 words than a shingle have one shingle, the whole sequence. Repeated rows stay repeated rows of
 the result. Rows with a null id count as members but never name a component unless no member

@@ -518,7 +518,7 @@ def test_components_equal_brute_force(spark):
 
 
 def test_drop_near_duplicates(spark, mixed_docs):
-    clash = mixed_docs.withColumn("__simhash_fp", F.lit("mine"))
+    clash = mixed_docs.withColumn("__simhash_digest", F.lit("mine"))
     assert simhash.drop_near_duplicates(clash).columns == clash.columns
     kept = simhash.drop_near_duplicates(mixed_docs)
     rows = kept.collect()
@@ -528,6 +528,15 @@ def test_drop_near_duplicates(spark, mixed_docs):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0 and simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def five_word_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
 def test_drop_near_duplicates_equals_brute_force(spark):
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -546,10 +555,10 @@ def test_drop_near_duplicates_equals_brute_force(spark):
             x = root[x]
         return x
 
-    sets = [frozenset(tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))) for t in texts]
+    sets = [five_word_set(t) for t in texts]
     for i in range(len(texts)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if similar(sets[i], sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     want = {find(i) for i in range(len(texts))}
@@ -690,12 +699,12 @@ def test_pipeline_equals_the_stages(spark, small):
     rows = [r for r in docs.collect() if (p := model.predict(r.text)) and p[0] != "und" and p[1] >= 0.34]
     good = {r.doc_id for r in fertility.with_verdicts(spark.createDataFrame(rows, docs.schema)).where("kept").collect()}
     rows = [r for r in rows if r.doc_id in good]
-    fps = {r.doc_id: plain_fingerprint(r.text) for r in rows}
-    left, kept = sorted(fps), set()
+    sets = {r.doc_id: five_word_set(r.text) for r in rows}
+    left, kept = sorted(sets), set()
     while left:
         group, grown = {left[0]}, True
         while grown:
-            more = {k for k in left if k not in group and any((fps[k] ^ fps[g]).bit_count() <= 3 for g in group)}
+            more = {k for k in left if k not in group and any(similar(sets[k], sets[g]) for g in group)}
             grown, group = bool(more), group | more
         kept.add(min(group))
         left = [k for k in left if k not in group]
@@ -708,7 +717,7 @@ def test_pipeline_edges(spark, mixed_docs, tmp_path):
     """Null, empty, wordless, very long and repeated texts, null ids, columns with clashing names, and no rows at all."""
     import corpus_pipeline
 
-    for name, docs in (("odd", mixed_docs.withColumn("__simhash_fp", F.lit(1)).withColumn("mixture_position", F.lit("mine"))), ("none", empty(spark))):
+    for name, docs in (("odd", mixed_docs.withColumn("__simhash_digest", F.lit(1)).withColumn("mixture_position", F.lit("mine"))), ("none", empty(spark))):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").toPandas()
         assert (name == "none") == got.empty
