@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweave.llm import chat, fertility, fim, jpeg, langid, mainhtml, minhash, mixing, packing, quality, simhash, warc
+from docweave.llm import chat, fertility, fim, jpeg, langid, mainhtml, minhash, mixing, packing, quality, simhash, trie, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality,
@@ -15,12 +15,14 @@ QUERIES = {
     "op8_power_of_two_packing": packing.op8_pack,
     "op9_golay_simhash": simhash.op9_simhash,
     "op10_baseline_jpeg": jpeg.op10_jpeg,
+    "op11_prefix_trie": trie.op11_trie,
     "op12_minhash_densified": minhash.op12_minhash,
     "op13_fill_in_middle": fim.op13_fim,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_merkle_fixity": warc.OP7_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
     "op12_minhash_densified": minhash.OP12_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
 }
