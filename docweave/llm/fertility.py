@@ -47,8 +47,10 @@ _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A run of white space with the word behind it. No token of either vocabulary reaches from a word into the white space behind it ...
 _CELL = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
-#: ... but for texts with these characters, which are encoded whole.
-_ODD = re.compile(rb"[\t\v\f\r]|\xe2\x96\x81")
+#: ... but for texts with these characters, which are encoded whole: other white space (the byte vocabulary's pattern has Unicode's), NUL and
+#: the piece vocabulary's own mark of a space.
+_ODD_ASCII = re.compile(rb"[\0\t\v\f\r]")
+_ODD = re.compile(rb"[\0\t\v\f\r]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f|\x96\x81)|\xe3\x80\x80")
 
 
 @lru_cache(4)
@@ -236,7 +238,7 @@ class Meter:
 
     def __call__(self, texts: list[str]) -> dict[str, list]:
         raws = [t.encode() for t in texts]
-        kind = [2 if _ODD.search(r) else 1 if len(r) > PIECE_BYTES else 0 for r in raws]
+        kind = [2 if (_ODD_ASCII if r.isascii() else _ODD).search(r) else 1 if len(r) > PIECE_BYTES else 0 for r in raws]
         plain = iter(self._read([r for r, k in zip(raws, kind) if k == 0]))
         out: dict[str, list] = {name: [] for name, _ in COLUMNS}
         for text, raw, k in zip(texts, raws, kind):
