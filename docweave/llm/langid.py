@@ -13,7 +13,6 @@ Repeated rows give repeated results. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,6 @@ NGRAM, BUCKETS = 4, 1 << 13
 #: A model holds BUCKETS numbers a language, so this bounds what is sent to the tasks (16 MB).
 MOST_LANGUAGES = 512
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are no letters become spaces; bytes of other characters stay.
 _LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -64,7 +62,7 @@ class Model:
 
     def proportions(self, text: str) -> dict[str, float]:
         """Shares by language, for the selected languages alone; empty if undetermined."""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return {}
         at, c = np.unique(hashed_ngrams(text), return_counts=True)
         c = c.astype(np.float64)
