@@ -37,15 +37,25 @@ FEATURES_AT_ONCE = 100_000
 #: Words outside that a name needs, with a hundredth of them at most inside, to be left out before the scan.
 LEAST_OUTSIDE = 50
 
-_PIECE = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select|option|button|object)\b(?>[^>]*)>(?:(?>.*?</(?P=raw)\s*>)|(?=.)|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
-    r"|<[!?/][^>]*>?"
-    r"|<[a-zA-Z/][^<>]*>?"
-    r"|[^<]+|<",
-    re.DOTALL | re.IGNORECASE,
-)
+def _pattern(attrs: str) -> re.Pattern:
+    return re.compile(
+        r"<!--(?:.*?-->|.*\Z)"
+        r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|title|select|option|button|object)\b(?>[^>]*)>"
+        rf"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{attrs})>"
+        r"|<[!?/][^>]*>?"
+        r"|<[a-zA-Z/][^<>]*>?"
+        r"|[^<]+|<",
+        re.DOTALL | re.IGNORECASE,
+    )
+
+
+_PIECE = _pattern(r"(?>\"[^\"]*\"|'[^']*'|[^'\">])*+")
+#: Where a quote is open to the end of the page, quotes mean nothing.
+_LOOSE = _pattern(r"[^>]*+")
+#: Behind the last ">" of a page no tag ends.
+_REST = re.compile(r"(?P<raw>(?!))?(?P<name>(?!))?(?:<[!?/a-zA-Z][^<]*|[^<]+|<)")
+#: Elements whose text runs to the end of the page where no end tag follows.
+RUN_ON = frozenset("script style textarea iframe".split())
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -101,6 +111,30 @@ def names_of(attrs: dict[str, str]) -> tuple[str, ...]:
 Context = tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]
 
 
+def pieces(source: str) -> Iterator[re.Match]:
+    """Texts, comments, tags and elements without text of their own, from left to right.
+
+    An element of the last kind ends with its next end tag; where none follows it is its tag alone (of RUN_ON: all the rest). The next
+    end tag of each kind is sought once and kept until it is passed, so a page takes time in proportion to its length.
+    """
+    pattern, last, at = _PIECE, source.rfind(">"), 0
+    ends: dict[str, re.Match | None] = {}
+    while at < len(source):
+        piece = (pattern if at <= last else _REST).match(source, at)
+        if pattern is _PIECE and at <= last and piece["name"] is None and piece["raw"] is None and re.match("</?[a-zA-Z]", piece[0]):
+            pattern = _LOOSE  # this tag's quotes have no end
+            continue
+        yield piece
+        at = piece.end()
+        if raw := (piece["raw"] or "").lower():
+            if raw not in ends or ends[raw] and ends[raw].start() < at:
+                ends[raw] = re.compile(rf"</{raw}\s*>", re.IGNORECASE).search(source, at)
+            if ends[raw]:
+                at = ends[raw].end()
+            elif raw in RUN_ON:
+                return
+
+
 class Page:
     """Parallel lists, one entry a piece of text or a tag: context (None: a tag, whose name is in text), words, furniture, marked (in article or main), text, block."""
 
@@ -124,28 +158,34 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, bool, tuple[str, ...]]] = []  # name, furniture, name features
+        blocks: list[tuple[str, tuple[str, ...]]] = []  # of the stack, those that are not inline
+        named: list[tuple[str, ...]] = []  # of the stack, those with names but html and body
         open_: Counter[str] = Counter()
         furniture = marks = block = 0
         here: Context | None = None  # of the open elements, made where it is needed
 
         def context() -> Context:
-            inner = next(((n, names) for n, _, names in reversed(stack) if n not in INLINE), ("body", ()))
+            inner = blocks[-1] if blocks else ("body", ())
             tags = {f"in:{n}" for n, k in open_.items() if k and n not in INLINE and n not in ("html", "body", "div", "p")}
             if not inner[1] or inner[0] not in ("div", "section"):  # a container with names is known by them
                 tags.add(f"at:{inner[0]}")
             if open_["a"]:
                 tags.add("link")
-            return tuple(sorted(tags)), tuple(names for n, _, names in stack if names and n not in ("html", "body"))
+            return tuple(sorted(tags)), tuple(named)
 
         def pop() -> None:
             nonlocal furniture, marks, here
-            name, odd, _ = stack.pop()
+            name, odd, names = stack.pop()
+            if name not in INLINE:
+                blocks.pop()
+            if names and name not in ("html", "body"):
+                named.pop()
             open_[name] -= 1
             furniture -= odd
             marks -= name in ("article", "main")
             here = None
 
-        for piece in _PIECE.finditer(source):
+        for piece in pieces(source):
             name = piece["name"]
             if name is None:
                 text = piece[0]
@@ -177,7 +217,12 @@ class Page:
                 pop()
             attrs = attributes(piece["attrs"]) if piece["attrs"] else {}
             odd = is_furniture(name, attrs, marks > 0)
-            stack.append((name, odd, names_of(attrs) if attrs else ()))
+            names = names_of(attrs) if attrs else ()
+            stack.append((name, odd, names))
+            if name not in INLINE:
+                blocks.append((name, names))
+            if names and name not in ("html", "body"):
+                named.append(names)
             open_[name] += 1
             furniture += odd
             here = None
