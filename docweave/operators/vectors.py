@@ -7,17 +7,18 @@ the best k per query, and only those are merged.
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.operators import ann
 from docweave.operators.common import materialised
 
 #: Rows of a block: some ten megabytes of vectors.
 BLOCK_ROWS = 20_000
-_OUT = "query_id long, chunk_id long, distance double"
 
 
 def _nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, block_rows:
 
     def block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+            return pd.DataFrame({"query_id": left.query_id[:0], "chunk_id": right.chunk_id[:0], "distance": pd.Series(dtype="float64")})
         right = right.sort_values("chunk_id")
         target, ids, out = np.stack(right.embedding.to_numpy()), right.chunk_id.to_numpy(), []
         for lo in range(0, len(left), 512):
@@ -63,7 +64,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 30, block_rows:
 
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # both sides alike, whatever they were dealt by before
     qs, v = qs.repartition(n, "kb_id", "v_block", "q_block"), v.repartition(n, "kb", "vb", "qb")
-    found = qs.groupBy("kb_id", "v_block", "q_block").cogroup(v.groupBy("kb", "vb", "qb")).applyInPandas(block, _OUT)
+    found = qs.groupBy("kb_id", "v_block", "q_block").cogroup(v.groupBy("kb", "vb", "qb")).applyInPandas(block, f"query_id {q.schema['query_id'].dataType.simpleString()}, chunk_id {v.schema['chunk_id'].dataType.simpleString()}, distance double")
     if skip_self:
         found = found.where("query_id <> chunk_id")
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
@@ -110,31 +111,39 @@ def ingest_gate(new_chunks: DataFrame, vectors: DataFrame, duplicate: float = 0.
     return joined.select("chunk_id", "kb_id", status.alias("status"), "nearest_id", similarity.alias("similarity"))
 
 
-def pairs_within(vectors: DataFrame, most: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """a, b, distance of all pairs a < b of a kb that are at most ``most`` apart. ``vectors``: chunk_id, kb_id, embedding.
+def ordered_admission(new_chunks: DataFrame, vectors: DataFrame, duplicate: float = 0.4, conflict: float = 0.7071, metric: str = "cosine") -> DataFrame:
+    """chunk_id, kb_id, status, nearest_id, similarity: each new document is judged against what its kb stores and what was allowed of the documents before it.
 
-    A kb's rows are dealt into blocks of about ``block_rows``; two blocks meet once.
+    ``new_chunks``: chunk_id, kb_id, position (of its document, one of each number in a kb), content, embedding. Chunks of one document are
+    not compared with each other. A chunk is allowed if nothing allowed before it is nearer than ``conflict``; else it is a duplicate of the
+    nearest if that is nearer than ``duplicate``, or else in conflict with it. So the allowed ones are the first independent
+    set of the graph of near pairs in the order of positions. It is found in rounds of joins: what has no undecided one before it is allowed, what is near that is not;
+    rounds are as many as the longest chain of such decisions. Blank content and null embeddings are allowed.
     """
-    rows = vectors.where("embedding is not null").select("chunk_id", "kb_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    dealt = rows.join(rows.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n")), "kb_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("n")))
-    left = dealt.select("chunk_id", "kb_id", "embedding", F.col("block").alias("lo"), F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("hi"))
-    right = dealt.select(F.col("chunk_id").alias("other"), F.col("kb_id").alias("kb"), F.col("embedding").alias("vector"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("l"), F.col("block").alias("h"))
-
-    def block(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        unit = lambda s: (m := np.stack(s.to_numpy())) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-        ids, others, out = x.chunk_id.to_numpy(), y.other.to_numpy(), [np.zeros((3, 0))]
-        target = unit(y.vector).T if len(y) else None
-        for at in range(0, len(x) if len(y) else 0, 512):
-            d = np.round(1 - unit(x.embedding.iloc[at : at + 512]) @ target, 6)
-            i, j = np.nonzero(d <= most)
-            found = np.stack([ids[at + i], others[j], d[i, j]]) if len(i) else out[0]
-            out.append(found[:, found[0] < found[1]] if len(key) and key[1] == key[2] else found)
-        a, b, d = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": np.minimum(a, b).astype("int64"), "b": np.maximum(a, b).astype("int64"), "distance": d})
-
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = left.repartition(n, "kb_id", "lo", "hi"), right.repartition(n, "kb", "l", "h")
-    return left.groupBy("kb_id", "lo", "hi").cogroup(right.groupBy("kb", "l", "h")).applyInPandas(block, "a long, b long, distance double")
+    most = _threshold(conflict, metric)
+    asked = materialised(new_chunks.where("trim(coalesce(content, '')) <> '' and embedding is not null").select("chunk_id", "kb_id", "position", "embedding"))
+    near = lambda d: d < most
+    stored = materialised(vector_topk(asked.withColumnRenamed("chunk_id", "query_id"), vectors, 1).where(near(F.col("distance"))).select(F.col("query_id").alias("late"), F.col("chunk_id").alias("early"), "distance"))
+    known = stored.select("late").distinct()
+    end = lambda k: asked.select(F.col("chunk_id").alias(k), F.col("position").alias(f"position_{k}"))
+    pairs = ann.pairs_within(asked, most).where(near(F.col("distance"))).join(end("a"), "a").join(end("b"), "b").where("position_a <> position_b")
+    first = F.col("position_a") < F.col("position_b")
+    edges = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), "distance")
+    edges = materialised(edges.join(known.withColumnRenamed("late", "early"), "early", "left_anti").select("early", "late", "distance"))
+    refused, left = [known], edges.select("early", "late").join(known, "late", "left_anti")
+    while not left.isEmpty():
+        sources = left.select("early").distinct().join(left.select(F.col("late").alias("early")), "early", "left_anti")
+        out = materialised(left.join(sources, "early").select("late").distinct())
+        refused.append(out)
+        left = materialised(left.join(out, "late", "left_anti").join(out.withColumnRenamed("late", "early"), "early", "left_anti"))
+    refused = materialised(reduce(DataFrame.unionByName, refused))
+    allowed = edges.join(refused.withColumnRenamed("late", "early"), "early", "left_anti")
+    causes = stored.unionByName(allowed.select("late", "early", "distance"))
+    nearest = causes.groupBy("late").agg(F.min(F.struct("distance", "early")).alias("n")).select(F.col("late").alias("chunk_id"), F.col("n.early").alias("nearest_id"), "n.distance")
+    joined = new_chunks.select("chunk_id", "kb_id").join(nearest, "chunk_id", "left")
+    status = F.when(F.col("distance").isNull(), "allow").when(F.col("distance") < _threshold(duplicate, metric), "duplicate").otherwise("conflict")
+    similarity = F.when(F.col("distance").isNotNull(), F.round(F.greatest(F.lit(0.0), 1 - F.col("distance") * F.col("distance") / 2), 4))
+    return joined.select("chunk_id", "kb_id", status.alias("status"), "nearest_id", similarity.alias("similarity"))
 
 
 def near_duplicate_pairs(chunks: DataFrame, scan: int | None = None, k: int | None = None, most: float = 0.4, metric: str = "cosine") -> DataFrame:
@@ -149,7 +158,7 @@ def near_duplicate_pairs(chunks: DataFrame, scan: int | None = None, k: int | No
         known = chunks.where("embedding is not null")
         classes = materialised(known.groupBy("kb_id", "embedding").agg(F.min("chunk_id").alias("first")))
         copies = known.join(classes, ["kb_id", "embedding"]).where("chunk_id <> first").select(F.col("first").alias("a"), F.col("chunk_id").alias("b"), F.lit(0.0).alias("distance"))
-        pairs = pairs_within(classes.withColumnRenamed("first", "chunk_id"), _threshold(most, metric)).unionByName(copies)
+        pairs = ann.pairs_within(classes.withColumnRenamed("first", "chunk_id"), _threshold(most, metric)).unionByName(copies)
     else:
         newest = F.row_number().over(Window.partitionBy("kb_id").orderBy(F.desc("created_at"), "chunk_id"))
         scanned = chunks.withColumn("rn", newest).where(F.col("rn") <= scan)
