@@ -5,10 +5,13 @@ Statistics are over the whole index; a query's kb filters after scoring.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import fts_query_terms, quote_anchors, search_variants
+from docweave.operators.common import materialised
 from docweave.operators.ranking import ranked
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -19,16 +22,16 @@ def index_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[0-9a-z_]{2,}|[一-鿿]"), F.lit(0))
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """kb_id, term, chunk_id, tf, doc_len, head of all active chunks; one posting a chunk is its head.
+def build_postings(chunks: DataFrame, *more: str) -> DataFrame:
+    """kb_id, term, chunk_id, tf, doc_len, head (and further columns of the chunk) of all active chunks; one posting a chunk is its head.
 
     A chunk's terms lie in one row, so they are sorted and counted there and nothing is shuffled.
     """
-    terms = chunks.where("is_active").select("kb_id", "chunk_id", F.sort_array(index_terms(F.col("content"))).alias("t"))
+    terms = chunks.where("is_active").select("kb_id", "chunk_id", *more, F.sort_array(index_terms(F.col("content"))).alias("t"))
     firsts = terms.withColumn("at", F.expr("filter(sequence(0, greatest(size(t) - 1, 0)), i -> size(t) > 0 and (i = 0 or t[i] <> t[i - 1]))"))
     runs = F.expr("transform(at, (i, n) -> struct(t[i] as term, cast(coalesce(get(at, n + 1), size(t)) - i as bigint) as tf))")
-    spread = firsts.select("kb_id", "chunk_id", F.size("t").cast("long").alias("doc_len"), F.posexplode(runs).alias("n", "p"))
-    return spread.select("kb_id", "p.term", "chunk_id", "p.tf", "doc_len", (F.col("n") == 0).alias("head"))
+    spread = firsts.select("kb_id", "chunk_id", *more, F.size("t").cast("long").alias("doc_len"), F.posexplode(runs).alias("n", "p"))
+    return spread.select("kb_id", "p.term", "chunk_id", *more, "p.tf", "doc_len", (F.col("n") == 0).alias("head"))
 
 
 def index_stats(postings: DataFrame) -> DataFrame:
@@ -41,27 +44,62 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "kb_id", F.explode(F.array_distinct(F.transform(fts_query_terms(F.col("question")), F.lower))).alias("term"))
 
 
-def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 30) -> DataFrame:
-    """query_id, chunk_id, score, rank: the best chunks of each query's kb (of all for a null kb).
+#: Postings, in limits, that give the first bound of a query's scores, and the slack of bounds, for scores have six places.
+FIRST_POSTINGS, SLACK = 20, 1e-5
+
+
+def _weighed(asked: DataFrame, hits: DataFrame, totals: DataFrame, df: DataFrame | None) -> DataFrame:
+    """query_id, kb_id, term, idf, avgdl, most (the term's largest part of a score in the query's scope) and n_hits (its postings there)."""
+    one = hits.crossJoin(F.broadcast(totals.select("avgdl")))
+    tops = materialised(one.groupBy("term", "kb_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max(_part(F.lit(1.0))).alias("top")))
+    df = tops.groupBy("term").agg(F.sum("n_hits").alias("df")) if df is None else df.join(asked.select("term").distinct(), "term", "left_semi")
+    idf = df.crossJoin(F.broadcast(totals)).select("term", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
+    scopes = tops.where("kb_id is not null").unionByName(tops.groupBy("term").agg(F.lit(None).cast(tops.schema["kb_id"].dataType).alias("kb_id"), F.sum("n_hits").alias("n_hits"), F.max("top").alias("top")))
+    here = (F.col("a.term") == F.col("s.term")) & F.col("a.kb_id").eqNullSafe(F.col("s.kb_id"))
+    return asked.join(idf, "term").alias("a").join(scopes.alias("s"), here).select("a.*", (F.col("a.idf") * F.col("s.top")).alias("most"), "s.n_hits")
+
+
+def _part(idf: Column) -> Column:
+    """What a posting adds to the score of its chunk."""
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
+
+
+def bm25_search(queries: DataFrame, postings: DataFrame, limit: int = 30, df: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: the best chunks of each query's kb (of all for a null kb); terms are OR-combined, scores have six places.
+
+    Exact, without scoring every chunk that has a common term. Each term has an upper bound of what it adds in the query's scope. The
+    terms that can add most give a first k-th score. Terms whose bounds together stay below that cannot bring a chunk among the first k by
+    themselves: their postings are read only for the chunks that other terms have found and that can still reach that score.
 
-    Only terms that queries have are taken from the index before anything is shuffled; each query's terms
-    are OR-combined. Postings and queries meet on (term, kb), so a term's postings of other kbs make no pairs;
-    a query without a kb asks the scope null, in which each posting stands once more where any query asks it.
-    Scores to six places.
+    ``postings``: a table, read several times; ``df`` (term, df) and ``totals`` (n, avgdl; one row) are counted unless an index keeps them. A query without
+    a kb and its own terms meet postings of all kbs, and only where there is such a query.
     """
-    asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
-    hits = postings.join(wanted, "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = index_stats(postings).withColumn("one", F.lit(1))
-    weighed = df.join(F.broadcast(stats), F.lit(1) == F.col("one")).select("term", "avgdl", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF)).alias("idf"))
-    scopes = F.when(F.col("kb_id").isNull(), F.array("kb_id")).otherwise(F.array("kb_id", F.lit(None)))
-    scoped = hits.select("term", "chunk_id", "tf", "doc_len", F.explode(scopes).alias("kb_id")).alias("p")
-    pair = (F.col("p.term") == F.col("q.term")) & F.col("p.kb_id").eqNullSafe(F.col("q.kb_id"))
-    own = asked.join(weighed, "term").alias("q")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl"))
-    parts = scoped.join(own, pair).select("q.query_id", "p.chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
-    return ranked(parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score")), most=limit)
+    asked = materialised(query_terms(queries))
+    hits = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    own = materialised(_weighed(asked, hits, index_stats(postings) if totals is None else totals.select("n", "avgdl"), df))
+    falling = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    rising = Window.partitionBy("query_id").orderBy("most", F.desc("term"))
+    ahead = F.sum("n_hits").over(falling.rowsBetween(Window.unboundedPreceding, -1))
+    own = materialised(own.withColumns({"early": F.coalesce(ahead, F.lit(0)) < FIRST_POSTINGS * limit, "below": F.sum("most").over(rising)}))
+    scopes = {r[0] for r in own.select(F.col("kb_id").isNull()).distinct().collect()}  # two rows at most
+
+    def parts(terms: DataFrame) -> DataFrame:
+        """query_id, chunk_id, score of the chunks that have some of these terms."""
+        t = terms.select("query_id", "term", F.col("kb_id").alias("kb"), "idf", "avgdl")
+        joins = {False: lambda: hits.join(t.where("kb is not null"), (hits["term"] == t["term"]) & (hits["kb_id"] == t["kb"])), True: lambda: hits.join(t.where("kb is null"), hits["term"] == t["term"])}
+        found = [joins[every]().select("query_id", "chunk_id", _part(F.col("idf")).alias("part")) for every in sorted(scopes)]
+        return reduce(DataFrame.unionByName, found).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+
+    if not scopes:
+        return ranked(queries.join(hits, F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("score")), most=limit)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = parts(own.where("early")).withColumn("n", F.row_number().over(best)).where(F.col("n") == limit).select("query_id", (F.col("score") - SLACK).alias("least"))
+    own = materialised(own.join(kth, "query_id", "left").withColumn("light", F.coalesce(F.col("below") < F.col("least"), F.lit(False))))
+    rest = own.groupBy("query_id").agg(F.sum(F.when(F.col("light"), F.col("most")).otherwise(0.0)).alias("rest"), F.coalesce(F.max("least"), F.lit(0.0)).alias("least"))
+    found = materialised(parts(own.where("not light")).join(rest, "query_id").where("score + rest >= least").select("query_id", "chunk_id", "score"))
+    light = own.where("light").select("query_id", "term", "idf", "avgdl")
+    more = found.select("query_id", "chunk_id").join(light, "query_id").join(hits.select("term", "chunk_id", "tf", "doc_len"), ["term", "chunk_id"]).select("query_id", "chunk_id", _part(F.col("idf")).alias("score"))
+    return ranked(found.unionByName(more).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score")), most=limit)
 
 
 def fts_sync_diff(chunks: DataFrame, index: DataFrame) -> DataFrame:

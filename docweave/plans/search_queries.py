@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docweave.operators import ann as A
 from docweave.operators import ranking as R
 from docweave.operators import search as S
 from docweave.operators import stats
+from docweave.operators import text_index as TI
 from docweave.operators import vectors as X
-from docweave.operators.common import materialised
+from docweave.operators.common import materialised, shared_folder
 from docweave.sources import views as V
 from docweave.sources.views import AS_OF, with_views
 
@@ -88,6 +90,37 @@ def jn08_fts_sync_diff(spark, d):
     return S.fts_sync_diff(V.chunks(spark, d), index.unionByName(gone))
 
 
+def jn08b_incremental_index(spark, d):
+    """The index of an older state of the chunks, brought to the present one and then made one segment; the questions' hits in it."""
+    path = shared_folder(spark)
+    now = V.chunks(spark, d)
+    gone = now.where("chunk_id % 50 = 1").withColumn("chunk_id", F.col("chunk_id") + 10_000_000)
+    old = now.where("chunk_id % 5 <> 0").withColumn("content", F.when(F.col("chunk_id") % 7 == 0, F.concat("content", F.lit(" an older ending"))).otherwise(F.col("content"))).unionByName(gone)
+    TI.refresh_index(old, path)
+    TI.refresh_index(now, path)
+    TI.compact_index(spark, path)
+    return TI.index_search(V.questions(spark, d), path)
+
+
+def _index(spark, d, cells=32):
+    v = _vectors(spark, d)
+    centroids = A.train_centroids(v, cells)
+    return materialised(A.build_index(v, centroids)), centroids
+
+
+def sr03c_index_exact(spark, d):
+    """The nearest vectors through the cells of an index, with bounds."""
+    index, centroids = _index(spark, d)
+    found = A.exact_topk(_vector_queries(spark, d), index, centroids, 30)
+    return found.withColumn("score", F.round(X.vector_score(F.col("distance")), 4)).where(X.vector_score(F.col("distance")) > 0.15).select("query_id", "chunk_id", "rank", "score")
+
+
+def sr03d_index_approximate(spark, d):
+    """As sr03c, from each query's nearest twenty of thirty-two cells alone."""
+    index, centroids = _index(spark, d)
+    return A.approximate_topk(_vector_queries(spark, d), index, centroids, 30, probes=20)
+
+
 def sr05_anchor_search(spark, d):
     q = V.table(spark, d, "benchmark").selectExpr("item_id as query_id", "cast(null as string) as kb_id", "concat('「', substr(text, 1, 30), '」与「', substr(text, 32, 20), '」') as question")
     return S.anchor_search(q, _postings(spark, d))
@@ -162,6 +195,8 @@ SQL = {
     "sr02_bm25_search": with_views("SELECT * FROM own WHERE rank <= 30", _BM),
     "sr02b_bm25_all_kbs": with_views("SELECT * FROM every WHERE rank <= 5", _BM),
     "sr03_vector_topk": with_views("SELECT query_id, chunk_id, rank, round(0.7 * (1 - d), 4) AS score FROM nn WHERE rank <= 30 AND 0.7 * (1 - d) > 0.15", _NEAR),
+    "sr03c_index_exact": with_views("SELECT query_id, chunk_id, rank, round(0.7 * (1 - d), 4) AS score FROM nn WHERE rank <= 30 AND 0.7 * (1 - d) > 0.15", _NEAR),
+    "jn08b_incremental_index": with_views("SELECT * FROM own WHERE rank <= 30", _BM),
     "sr03b_vector_only": with_views("SELECT query_id, chunk_id, rank, round(CAST(1 AS DOUBLE) / rank, 6) AS score FROM nn WHERE rank <= 5 AND 0.7 * (1 - d) > 0.15", _NEAR),
     "fl04_vector_threshold": with_views("SELECT query_id, count(*) AS n_kept FROM nn WHERE rank <= 50 AND 0.7 * (1 - d) > 0.15 GROUP BY 1", _NEAR),
     "sr16_ingest_gate": with_views("SELECT c.chunk_id, c.kb_id, CASE WHEN d < 0.6 THEN 'duplicate' WHEN d < 0.75 THEN 'conflict' ELSE 'allow' END AS status, n.other AS nearest_id, CASE WHEN d IS NOT NULL THEN round(round(greatest(0.0, 1 - d * d / 2), 4), 3) END AS similarity FROM v c LEFT JOIN g n ON n.chunk_id = c.chunk_id AND n.rank = 1 WHERE c.chunk_id % 10 = 3",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
+from docweave.operators import embedding_cache as C
 from docweave.plans import more_sql as M
 from docweave.sources import views as V
 
@@ -98,6 +99,16 @@ def tx21_content_hash(spark, d):
     return docs.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_rows"), F.min("ctx").alias("ctx"))
 
 
+def tx21b_compute_once(spark, d):
+    """Documents in two runs through a cache of stub vectors (length, words): every third document's text first, then all; hits by text."""
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    stub = lambda misses: misses.select("hash", F.array(F.length("text").cast("float"), F.size(F.split("text", " ")).cast("float")).alias("embedding"))
+    _, cache = C.get_or_compute(docs.where("doc_id % 3 = 0"), C.empty_cache(docs), stub, 1)
+    found, cache = C.get_or_compute(docs, cache, stub, 2)
+    sums = found.groupBy(T.content_hash(F.col("text")).alias("hash")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.get("embedding", F.lit(0))).cast("long").alias("sum_length"), F.sum(F.get("embedding", F.lit(1))).cast("long").alias("sum_words"))
+    return sums.join(cache.select("hash", "hits"), "hash")
+
+
 _Q = f"fx_templated AS (SELECT item_id AS query_id, {TEMPLATED} AS question FROM benchmark)"
 _ROUTE = """CASE WHEN length(trim(question)) = 0 THEN 'chitchat'
  WHEN length(trim(question)) <= 24 AND (lower(question) LIKE '%hello%' OR lower(question) LIKE '%hi%' OR lower(question) LIKE '%hey%') AND ((question NOT LIKE '%?%' AND question NOT LIKE '%？%') OR question LIKE '%hello%' OR question LIKE '%hi%') THEN 'chitchat'
@@ -121,6 +132,7 @@ SQL = {
     "tx15_route_top_k": f"WITH r AS (SELECT query_id, question, {_ROUTE} AS route FROM fx_templated), k AS (SELECT *, CASE route WHEN 'comprehensive' THEN 4 ELSE 5 END AS base FROM r) SELECT query_id, CAST(CASE WHEN route = 'chitchat' THEN 0 WHEN {_N} < 15 THEN greatest(base, 4) WHEN {_N} > 80 THEN least(base + 1, 10) ELSE base END AS BIGINT) AS route_k, CAST(CASE WHEN {_N} < 15 THEN 4 WHEN {_N} > 80 THEN 7 ELSE 5 END AS BIGINT) AS dynamic_k FROM k",
     "tx18_answer_predicates": "WITH a AS (SELECT message_id, CASE message_id % 4 WHEN 0 THEN concat('目前知识库中暂无', substr(content, 1, 10)) WHEN 1 THEN concat(content, '应该') ELSE content END AS t FROM fx_messages) SELECT message_id, message_id % 4 = 0 AS refusal, message_id % 4 = 0 AS no_info, message_id % 4 = 1 AND length(t) >= 12 AND t NOT LIKE '%?%' AS user_fact FROM a",
     "tx20_parse_sources": "SELECT message_id, CAST(pos AS BIGINT) AS pos, chunk_id, CAST(score AS DOUBLE) AS score FROM fx_sources",
+    "tx21b_compute_once": "SELECT sha256(text) AS hash, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS sum_length, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS sum_words, count(*) + count(*) FILTER (doc_id % 3 = 0) - 1 AS hits FROM documents GROUP BY 1",
     "tx21_content_hash": "SELECT sha256(text) AS hash, min(doc_id) AS first_doc, count(*) AS n_rows, min(substr(md5(concat(substr(text, 1, 200), source)), 1, 12)) AS ctx FROM documents GROUP BY 1",
 }
 QUERIES = {k: v for k, v in globals().items() if k.startswith("tx")}
