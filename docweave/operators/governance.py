@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import has_no_info_phrase, looks_like_user_fact
+from docweave.operators.common import materialised
 from docweave.operators.stats import cold_chunks
 
 COLD_DAYS, ABSENT_SCORE = 90, 0.2
@@ -38,18 +39,35 @@ def tag_map(documents: DataFrame, bridge: DataFrame, tags: DataFrame) -> DataFra
 
 
 def resolve_kb_id(refs: DataFrame, kbs: DataFrame) -> DataFrame:
-    """ref, kb_id, problem: an exact id, else the only kb with that part before the first hyphen; ambiguous and missing ones say so."""
-    exact = kbs.select(F.col("kb_id").alias("ref"), F.col("kb_id").alias("exact"))
-    short = kbs.select(F.substring_index("kb_id", "-", 1).alias("ref"), "kb_id").groupBy("ref").agg(F.min("kb_id").alias("only"), F.count(F.lit(1)).alias("n"))
-    joined = refs.select("ref").distinct().join(exact, "ref", "left").join(short, "ref", "left")
+    """ref, kb_id, problem: the id that a reference is, else the only one that begins with it; ambiguous, missing and blank ones say so.
+
+    White space around a reference does not count. The lengths that are asked, no more than the longest id has, are one row; each id gives its
+    beginnings of these lengths, and they meet the references as equals.
+    """
+    asked = refs.select("ref").distinct().withColumn("asked", F.regexp_replace(F.coalesce("ref", F.lit("")), "^\\s+|\\s+$", ""))
+    asked = materialised(asked)
+    ids = kbs.select("kb_id").where("kb_id is not null").distinct()
+    longest = ids.agg(F.max(F.length("kb_id")).alias("longest"))
+    lengths = asked.where("asked <> ''").select(F.length("asked").alias("n")).distinct().crossJoin(F.broadcast(longest)).where("n <= longest").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
+    spread = ids.crossJoin(F.broadcast(lengths)).select("kb_id", F.explode(F.filter("lengths", lambda n: n <= F.length("kb_id"))).alias("n"))
+    begin = spread.select("kb_id", F.expr("substring(kb_id, 1, n)").alias("asked"))
+    found = begin.join(asked.select("asked").distinct(), "asked", "left_semi").groupBy("asked").agg(F.count(F.lit(1)).alias("n"), F.min("kb_id").alias("only"), F.max(F.when(F.col("kb_id") == F.col("asked"), F.col("kb_id"))).alias("exact"))
+    joined = asked.join(found, "asked", "left")
     kb = F.coalesce("exact", F.when(F.col("n") == 1, F.col("only")))
-    return joined.select("ref", kb.alias("kb_id"), F.when(kb.isNotNull(), F.lit(None)).when(F.col("n") > 1, "ambiguous").otherwise("missing").alias("problem"))
+    problem = F.when(kb.isNotNull(), F.lit(None)).when(F.col("asked") == "", "blank").when(F.col("n") > 1, "ambiguous").otherwise("missing")
+    return joined.select("ref", kb.alias("kb_id"), problem.alias("problem"))
+
+
+def rewrite_kb_ids(tables: dict[str, tuple[DataFrame, str]], kbs: DataFrame) -> dict[str, DataFrame]:
+    """The tables, each given with the name of its kb column, with full ids there where they can be told; all references are resolved at once."""
+    refs = reduce(DataFrame.unionByName, [df.select(F.col(c).alias("ref")).distinct() for df, c in tables.values()])
+    known = materialised(resolve_kb_id(refs, kbs).where("kb_id is not null and kb_id <> ref").select("ref", F.col("kb_id").alias("full")))
 
+    def one(df: DataFrame, column: str) -> DataFrame:
+        named = known.toDF("__ref", "__full")
+        return df.join(named, F.col(column) == F.col("__ref"), "left").withColumn(column, F.coalesce("__full", column)).drop("__ref", "__full")
 
-def rewrite_kb_ids(table: DataFrame, kbs: DataFrame) -> DataFrame:
-    """``table`` with full ids in kb_id where they can be told."""
-    known = resolve_kb_id(table.select(F.col("kb_id").alias("ref")), kbs).select(F.col("ref").alias("kb_id"), F.col("kb_id").alias("full"))
-    return table.join(known, "kb_id", "left").withColumn("kb_id", F.coalesce("full", "kb_id")).drop("full")
+    return {name: one(df, c) for name, (df, c) in tables.items()}
 
 
 def new_only(rows: DataFrame, existing: DataFrame, keys: list[str], open_states: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.operators import dataset as D
@@ -17,7 +20,7 @@ def _quality(spark, d):
 
 
 def _suggestions(spark, d):
-    return V.suggestions(spark, d).withColumn("chunk_ids", F.array(F.col("suggestion_id") % 200, F.col("suggestion_id") % 77, F.lit(-1).cast("long")))
+    return V.suggestions(spark, d).withColumn("chunk_ids", F.array(F.expr("suggestion_id div 15"), F.expr("suggestion_id div 22"), F.lit(-1).cast("long")))
 
 
 def _tags(spark, d):
@@ -50,12 +53,34 @@ def jn07b_backfill_needed(spark, d):
     return D.backfill_needed(V.chunks(spark, d, content=False), V.relations(spark, d).where("chunk_id % 3 = 0"))
 
 
+def _uuid(key: str) -> str:
+    m = f"md5(cast({key} as string))"
+    return "concat(" + ", '-', ".join(f"substr({m}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + ")"
+
+
 def jn09_resolve_kb_id(spark, d):
-    kbs = V.table(spark, d, "customer").selectExpr("concat(lpad(cast(c_custkey % 1000 as string), 8, '0'), '-', cast(c_custkey as string)) as kb_id")
-    refs = V.table(spark, d, "orders").selectExpr("case when o_orderkey % 2 = 0 then lpad(cast(o_custkey as string), 8, '0') else concat(lpad(cast(o_custkey % 1000 as string), 8, '0'), '-', cast(o_custkey as string)) end as ref")
+    """Ids in the form of a UUID, and references of none to all of their characters, some with blanks around, some of no id."""
+    kbs = V.table(spark, d, "customer").selectExpr(f"{_uuid('c_custkey')} as kb_id")
+    refs = V.table(spark, d, "orders").selectExpr(f"concat(if(o_orderkey % 5 = 0, '  ', ''), if(o_orderkey % 11 = 0, 'x', ''), substr({_uuid('o_custkey')}, 1, cast(o_orderkey % 37 as int)), if(o_orderkey % 3 = 0, ' ', '')) as ref")
     return G.resolve_kb_id(refs, kbs)
 
 
+#: The nine tables that hold a kb id: name, its column, the table and key that stand for it.
+KB_TABLES = [
+    ("knowledge_gaps", "kb_id", "events", "event_id"), ("conversations", "knowledge_base_id", "conversations", "conv_id"), ("documents", "knowledge_base_id", "documents", "doc_id"),
+    ("chunks", "knowledge_base_id", "documents", "doc_id * 3"), ("kg_relations", "knowledge_base_id", "lineitem", "l_orderkey"), ("knowledge_conflicts", "knowledge_base_id", "labels", "doc_id"),
+    ("tags", "knowledge_base_id", "nation", "n_nationkey"), ("chunk_feedback", "kb_id", "events", "user_id"), ("kb_folder_watches", "knowledge_base_id", "supplier", "s_suppkey"),
+]
+
+
+def jn09b_rewrite_kb_ids(spark, d):
+    """Beginnings of ids become full ids in all tables that hold one; rows by table and id afterwards."""
+    kbs = V.table(spark, d, "customer").selectExpr(f"{_uuid('c_custkey')} as kb_id")
+    tables = {name: (V.table(spark, d, t).selectExpr(f"substr({_uuid(f'1 + ({key}) % 100')}, 1, cast(1 + ({key}) % 36 as int)) as {column}"), column) for name, column, t, key in KB_TABLES}
+    done = G.rewrite_kb_ids(tables, kbs)
+    return reduce(DataFrame.unionByName, [done[name].groupBy(F.col(column).alias("kb_id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "kb_id", "n") for name, column, _, _ in KB_TABLES])
+
+
 def jn13_duplicate_open_rows(spark, d):
     rows = V.messages(spark, d).where("role = 'user'").selectExpr("kb_id", "substr(content, 1, 12) as query", "message_id")
     stored = V.messages(spark, d).where("role = 'user' and message_id % 3 = 0").selectExpr("kb_id", "substr(content, 1, 12) as query", "case when message_id % 2 = 0 then 'pending' else 'resolved' end as status")
@@ -106,7 +131,7 @@ def qu05_apply_transitions(spark, d):
 
 
 def _executed(spark, d):
-    return V.suggestions(spark, d).where("status = 'executed'").selectExpr("case suggestion_type when 'duplicate' then 'merge' when 'cold_stale' then 'archive' when 'low_quality' then 'deactivate' when 'high_quality_zero_hit' then 'boost_faq' else 'archive' end as action", "array(suggestion_id % 1000) as chunk_ids")
+    return V.suggestions(spark, d).where("status = 'executed'").selectExpr("case suggestion_type when 'duplicate' then 'merge' when 'cold_stale' then 'archive' when 'low_quality' then 'deactivate' when 'high_quality_zero_hit' then 'boost_faq' else 'archive' end as action", "array(suggestion_id div 15) as chunk_ids")
 
 
 def qu06_apply_actions(spark, d):
@@ -218,7 +243,7 @@ def sr18_image_dedup(spark, d):
 _FB = "fb AS (SELECT chunk_id, sum(CASE WHEN feedback_type = 'like' THEN 1 ELSE 0 END) AS lk, sum(CASE WHEN feedback_type = 'dislike' THEN 1 ELSE 0 END) AS dl, sum(CASE WHEN feedback_type = 'correction' THEN 1 ELSE 0 END) AS co FROM fx_feedback GROUP BY 1)"
 _Q = _FB + f""", q AS (SELECT *, s < 0.25 OR dl >= 3 AS rv FROM (SELECT c.chunk_id, coalesce(dl, 0) AS dl, round(greatest(0.0, least(1.0, CAST(0.4 AS DOUBLE) * least(c.hit_count / 20.0, 1.0) + CAST(0.3 AS DOUBLE) * CASE WHEN lk + dl > 0 THEN CAST(lk AS DOUBLE) / (lk + dl) ELSE 0.5 END
  - CAST(0.2 AS DOUBLE) * least(CAST(coalesce(co, 0) AS DOUBLE) / greatest(c.hit_count, 1), 1.0) + CAST(0.1 AS DOUBLE) * greatest(0.0, 1 - date_diff('day', c.created_at, TIMESTAMP '{AS_OF}') / 365.0))), 4) AS s FROM fx_chunks c LEFT JOIN fb ON fb.chunk_id = c.chunk_id) x)"""
-_IDS = "ids AS (SELECT suggestion_id, 0 AS pos, suggestion_id % 200 AS chunk_id FROM fx_suggestions UNION ALL SELECT suggestion_id, 1, suggestion_id % 77 FROM fx_suggestions)"
+_IDS = "ids AS (SELECT suggestion_id, 0 AS pos, suggestion_id // 15 AS chunk_id FROM fx_suggestions UNION ALL SELECT suggestion_id, 1, suggestion_id // 22 FROM fx_suggestions)"
 _CF = "cf AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'dismissed' ELSE 'pending' END AS st, CASE doc_id % 5 WHEN 0 THEN 'resolved_keep_new' WHEN 1 THEN 'resolved_keep_old' WHEN 2 THEN 'dismissed' WHEN 3 THEN 'nonsense' ELSE 'resolved_keep_new' END AS de, doc_id + 1 IN (SELECT doc_id FROM documents) AS ex, length(substr(text, 1, 50)) AS n FROM documents WHERE doc_id % 4 = 0)"
 _DUP = "vec AS (SELECT vec_id AS chunk_id, label AS kb_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), cls AS (SELECT *, min(chunk_id) OVER (PARTITION BY kb_id, e) AS first FROM vec), dup AS (SELECT a.kb_id, a.chunk_id AS a, b.chunk_id AS b FROM cls a JOIN cls b ON a.kb_id = b.kb_id AND a.chunk_id < b.chunk_id AND round(1 - list_cosine_similarity(a.e, b.e), 6) <= 0.8 WHERE (a.first = a.chunk_id AND b.first = b.chunk_id) OR a.chunk_id = b.first)"
 SQL = {
@@ -236,13 +261,18 @@ SQL = {
     "jn03_tag_map": "SELECT d.doc_id AS document_id, coalesce(t.tags, '') AS tags FROM documents d LEFT JOIN (SELECT doc_id, string_agg(n_name, ',' ORDER BY n_name) AS tags FROM (SELECT DISTINCT doc_id, n_name FROM (SELECT doc_id, doc_id % 5 AS t FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, doc_id % 4 FROM documents WHERE doc_id % 3 <> 0) b JOIN nation n ON n.n_nationkey = b.t) u GROUP BY 1) t ON t.doc_id = d.doc_id",
     "jn07_missing_relevant": with_views("SELECT sample_id, relevant_id FROM fx_samples WHERE relevant_id % 2 = 1 OR relevant_id NOT IN (SELECT doc_id FROM documents)"),
     "jn07b_backfill_needed": with_views("SELECT chunk_id, kb_id FROM fx_chunks WHERE is_active AND chunk_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0)"),
-    "jn09_resolve_kb_id": "WITH k AS (SELECT concat(lpad(CAST(c_custkey % 1000 AS VARCHAR), 8, '0'), '-', CAST(c_custkey AS VARCHAR)) AS kb_id, lpad(CAST(c_custkey % 1000 AS VARCHAR), 8, '0') AS p FROM customer), r AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN lpad(CAST(o_custkey AS VARCHAR), 8, '0') ELSE concat(lpad(CAST(o_custkey % 1000 AS VARCHAR), 8, '0'), '-', CAST(o_custkey AS VARCHAR)) END AS ref FROM orders), s AS (SELECT p, count(*) AS n, min(kb_id) AS only_kb FROM k GROUP BY 1) SELECT r.ref, coalesce(k.kb_id, CASE WHEN s.n = 1 THEN s.only_kb END) AS kb_id, CASE WHEN k.kb_id IS NOT NULL OR s.n = 1 THEN NULL WHEN s.n > 1 THEN 'ambiguous' ELSE 'missing' END AS problem FROM r LEFT JOIN k ON k.kb_id = r.ref LEFT JOIN s ON s.p = r.ref",
+    "jn09_resolve_kb_id": f"""WITH k AS (SELECT {_uuid("c_custkey")} AS kb_id FROM customer), r AS (SELECT DISTINCT concat(if(o_orderkey % 5 = 0, '  ', ''), if(o_orderkey % 11 = 0, 'x', ''), substr({_uuid("o_custkey")}, 1, CAST(o_orderkey % 37 AS INTEGER)), if(o_orderkey % 3 = 0, ' ', '')) AS ref FROM orders),
+        m AS (SELECT r.ref, count(k.kb_id) AS n, min(k.kb_id) AS only_kb FROM r LEFT JOIN k ON trim(r.ref) <> '' AND starts_with(k.kb_id, trim(r.ref)) GROUP BY 1)
+        SELECT ref, CASE WHEN n = 1 THEN only_kb END AS kb_id, CASE WHEN n = 1 THEN NULL WHEN trim(ref) = '' THEN 'blank' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS problem FROM m""",
+    "jn09b_rewrite_kb_ids": f"WITH k AS (SELECT {_uuid('c_custkey')} AS kb_id FROM customer), t AS ("
+        + " UNION ALL ".join(f"SELECT '{name}' AS part, substr({_uuid(f'1 + ({key}) % 100')}, 1, CAST(1 + ({key}) % 36 AS INTEGER)) AS ref FROM {t}" for name, _, t, key in KB_TABLES)
+        + "), r AS (SELECT DISTINCT ref FROM t), m AS (SELECT r.ref, CASE WHEN count(*) = 1 THEN min(k.kb_id) END AS kb FROM r JOIN k ON starts_with(k.kb_id, r.ref) GROUP BY 1) SELECT part, coalesce(m.kb, t.ref) AS kb_id, count(*) AS n FROM t LEFT JOIN m ON m.ref = t.ref GROUP BY 1, 2",
     "jn13_duplicate_open_rows": with_views("SELECT kb_id, substr(content, 1, 12) AS query, min(message_id) AS message_id FROM fx_messages m WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM fx_messages o WHERE o.role = 'user' AND o.message_id % 6 = 0 AND o.kb_id = m.kb_id AND substr(o.content, 1, 12) = substr(m.content, 1, 12)) GROUP BY 1, 2"),
     "fl08_filter_queue": with_views("SELECT suggestion_id, kb_id, count(*) OVER () AS total FROM fx_suggestions WHERE status = 'pending' AND suggestion_type = 'duplicate' ORDER BY created_at DESC, suggestion_id DESC LIMIT 25 OFFSET 10"),
     "st02_new_suggestions": with_views("SELECT kb_id, suggestion_type AS type, suggestion_id % 50 AS chunk, min(suggestion_id) AS suggestion_id FROM fx_suggestions s WHERE NOT EXISTS (SELECT 1 FROM fx_suggestions p WHERE p.suggestion_id % 3 = 0 AND p.status = 'pending' AND p.kb_id = s.kb_id AND p.suggestion_type = s.suggestion_type AND p.suggestion_id % 50 = s.suggestion_id % 50) GROUP BY 1, 2, 3"),
     "st03_replaced_chunks": "SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id + 1000000 ELSE doc_id END AS chunk_id, doc_id AS document_id, source AS kb_id, CASE WHEN doc_id % 10 = 0 THEN n_chars + 1 ELSE n_chars END AS char_count FROM documents",
     "qu06_apply_actions": with_views("SELECT c.chunk_id, c.is_active AND NOT coalesce(o.dead, false) AS is_active, CASE WHEN o.up > 0 THEN round(least(1.0, s + CAST(0.15 AS DOUBLE) * o.up), 4) ELSE s END AS quality_score, rv AND NOT coalesce(o.up > 0, false) AS needs_review FROM fx_chunks c JOIN q ON q.chunk_id = c.chunk_id LEFT JOIN o ON o.chunk_id = c.chunk_id", _Q,
-        "o AS (SELECT suggestion_id % 1000 AS chunk_id, bool_or(suggestion_type IN ('cold_stale', 'low_quality', 'archive_candidate')) AS dead, sum(CASE WHEN suggestion_type = 'high_quality_zero_hit' THEN 1 ELSE 0 END) AS up FROM fx_suggestions WHERE status = 'executed' GROUP BY 1)"),
+        "o AS (SELECT suggestion_id // 15 AS chunk_id, bool_or(suggestion_type IN ('cold_stale', 'low_quality', 'archive_candidate')) AS dead, sum(CASE WHEN suggestion_type = 'high_quality_zero_hit' THEN 1 ELSE 0 END) AS up FROM fx_suggestions WHERE status = 'executed' GROUP BY 1)"),
     "qu07_resolve_conflicts": f"WITH {_CF} SELECT doc_id AS conflict_id, CASE WHEN st = 'pending' AND de <> 'nonsense' AND (de <> 'resolved_keep_new' OR ex) THEN de ELSE st END AS status, CASE WHEN st = 'pending' AND de = 'resolved_keep_new' AND ex THEN sha256(concat('conflict-', CAST(doc_id AS VARCHAR))) END AS resolved_chunk_id FROM cf",
     "qu07b_conflict_chunks": f"WITH {_CF} SELECT sha256(concat('conflict-', CAST(doc_id AS VARCHAR))) AS chunk_id, CASE WHEN doc_id % 8 = 0 THEN doc_id ELSE doc_id + 1 END AS document_id, source AS kb_id, n AS char_count FROM cf WHERE st = 'pending' AND de = 'resolved_keep_new' AND ex",
     "qu08_toggle_documents": with_views("SELECT chunk_id, CASE WHEN chunk_id % 6 = 0 THEN chunk_id % 12 = 0 ELSE is_active END AS is_active, CASE WHEN chunk_id % 6 = 0 THEN chunk_id % 12 = 0 ELSE true END AS document_active FROM fx_chunks WHERE chunk_id % 9 <> 0"),

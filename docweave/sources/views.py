@@ -42,8 +42,8 @@ def chunks(spark: SparkSession, sf_dir: str, content: bool = True) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = (
-        "case when role = 'assistant' and (conv_id + turn) % 5 <> 0 then concat('[{\"chunk_id\":', cast((conv_id * 7 + turn) % 200 as string), ',\"score\":0.5},"
-        "{\"chunk_id\":', cast((conv_id * 3 + turn) % 200 as string), ',\"score\":0.25}]') end as sources"
+        "case when role = 'assistant' and (conv_id + turn) % 5 <> 0 then concat('[{\"chunk_id\":', cast(conv_id * 7 + turn as string), ',\"score\":0.5},"
+        "{\"chunk_id\":', cast(conv_id * 3 + turn as string), ',\"score\":0.25}]') end as sources"
     )
     return table(spark, sf_dir, "conversations").selectExpr(
         "conv_id * 100 + turn as message_id", "conv_id as conversation_id", "concat('src', cast(conv_id % 20 as string)) as kb_id", "role", "text as content", sources,
@@ -90,8 +90,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "fx_documents": f"SELECT doc_id AS document_id, source AS kb_id, concat('doc-', CAST(doc_id AS VARCHAR), '.txt') AS filename, CASE WHEN doc_id % 17 = 0 THEN 'processing' ELSE 'completed' END AS status, n_chars AS char_count, (TIMESTAMP '{AS_OF}' - to_days(CAST(doc_id % 400 AS INTEGER))) AS created_at FROM documents",
     "fx_chunks": f"SELECT d.doc_id AS chunk_id, d.doc_id AS document_id, d.source AS kb_id, d.text AS content, d.doc_id % 10 AS chunk_index, d.n_chars AS char_count, d.doc_id % 13 <> 0 AS is_active, coalesce(h.hits, 0) AS hit_count, (TIMESTAMP '{AS_OF}' - to_days(CAST(d.doc_id % 400 AS INTEGER))) AS created_at FROM documents d LEFT JOIN (SELECT user_id, count(*) AS hits FROM events WHERE event_type IN ('view','click') AND user_id % 3 <> 0 GROUP BY user_id) h ON h.user_id = d.doc_id",
-    "fx_messages": "SELECT conv_id * 100 + turn AS message_id, conv_id AS conversation_id, concat('src', CAST(conv_id % 20 AS VARCHAR)) AS kb_id, role, text AS content, CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 <> 0 THEN concat('[{\"chunk_id\":', CAST((conv_id * 7 + turn) % 200 AS VARCHAR), ',\"score\":0.5},{\"chunk_id\":', CAST((conv_id * 3 + turn) % 200 AS VARCHAR), ',\"score\":0.25}]') END AS sources, (TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(conv_id * 60 + turn AS BIGINT))) AS created_at FROM conversations",
-    "fx_sources": "SELECT conv_id * 100 + turn AS message_id, conv_id AS conversation_id, concat('src', CAST(conv_id % 20 AS VARCHAR)) AS kb_id, p.pos AS pos, CASE p.pos WHEN 0 THEN (conv_id * 7 + turn) % 200 ELSE (conv_id * 3 + turn) % 200 END AS chunk_id, CASE p.pos WHEN 0 THEN 0.5 ELSE 0.25 END AS score FROM conversations, (SELECT 0 AS pos UNION ALL SELECT 1) p WHERE role = 'assistant' AND (conv_id + turn) % 5 <> 0",
+    "fx_messages": "SELECT conv_id * 100 + turn AS message_id, conv_id AS conversation_id, concat('src', CAST(conv_id % 20 AS VARCHAR)) AS kb_id, role, text AS content, CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 <> 0 THEN concat('[{\"chunk_id\":', CAST(conv_id * 7 + turn AS VARCHAR), ',\"score\":0.5},{\"chunk_id\":', CAST(conv_id * 3 + turn AS VARCHAR), ',\"score\":0.25}]') END AS sources, (TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(conv_id * 60 + turn AS BIGINT))) AS created_at FROM conversations",
+    "fx_sources": "SELECT conv_id * 100 + turn AS message_id, conv_id AS conversation_id, concat('src', CAST(conv_id % 20 AS VARCHAR)) AS kb_id, p.pos AS pos, CASE p.pos WHEN 0 THEN conv_id * 7 + turn ELSE conv_id * 3 + turn END AS chunk_id, CASE p.pos WHEN 0 THEN 0.5 ELSE 0.25 END AS score FROM conversations, (SELECT 0 AS pos UNION ALL SELECT 1) p WHERE role = 'assistant' AND (conv_id + turn) % 5 <> 0",
     "fx_feedback": "SELECT event_id AS feedback_id, user_id AS chunk_id, CASE event_type WHEN 'purchase' THEN 'like' WHEN 'error' THEN 'dislike' ELSE 'correction' END AS feedback_type, ts AS created_at FROM events WHERE event_type IN ('purchase','error','signup')",
     "fx_relations": "SELECT l_linenumber AS kb_id, l_orderkey AS chunk_id, concat('P', lpad(CAST(l_partkey AS VARCHAR), 7, '0')) AS subject, l_returnflag AS predicate, concat('S', lpad(CAST(l_suppkey AS VARCHAR), 7, '0')) AS object_entity FROM lineitem",
     "fx_suggestions": "SELECT o_orderkey AS suggestion_id, o_custkey % 20 AS kb_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'duplicate' WHEN '2' THEN 'cold_stale' WHEN '3' THEN 'high_quality_zero_hit' WHEN '4' THEN 'low_quality' ELSE 'archive_candidate' END AS suggestion_type, CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'dismissed' WHEN 3 THEN 'executed' WHEN 4 THEN 'verified' ELSE 'pending' END AS status, o_orderdate AS created_at FROM orders",
