@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +25,8 @@ TRIPLE_PATTERNS = [
 ]
 
 
-def extract_triples(chunks: DataFrame, most: int = 5) -> DataFrame:
-    """kb_id, chunk_id, subject, predicate, object_entity, confidence: the first ``most`` distinct rule triples of each chunk."""
+def extract_triples(chunks: DataFrame, *more: str, most: int = 5) -> DataFrame:
+    """kb_id, chunk_id (and further columns of the chunk), subject, predicate, object_entity, confidence: the first ``most`` distinct rule triples of each chunk."""
 
     def of(pattern: str, predicate: str) -> Column:
         text = F.coalesce(F.col("content"), F.lit(""))
@@ -38,8 +36,8 @@ def extract_triples(chunks: DataFrame, most: int = 5) -> DataFrame:
 
     found = F.array_distinct(F.concat(*[of(p, k) for p, k in TRIPLE_PATTERNS]))
     good = F.filter(found, lambda t: (F.length(t["subject"]) >= 2) & (F.length(t["object_entity"]) >= 2) & (t["subject"] != t["object_entity"]))
-    spread = chunks.select("kb_id", "chunk_id", F.posexplode(F.slice(good, 1, most)).alias("pos", "t"))
-    return spread.select("kb_id", "chunk_id", "pos", "t.subject", "t.predicate", "t.object_entity", F.lit(1.0).alias("confidence"))
+    spread = chunks.select("kb_id", "chunk_id", *more, F.posexplode(F.slice(good, 1, most)).alias("pos", "t"))
+    return spread.select("kb_id", "chunk_id", *more, "pos", "t.subject", "t.predicate", "t.object_entity", F.lit(1.0).alias("confidence"))
 
 
 def sync_triples(chunks: DataFrame, changed: DataFrame, relations: DataFrame) -> DataFrame:
@@ -119,96 +117,102 @@ def link_entities(queries: DataFrame, entities: DataFrame, longest: int = 24) ->
     return found.withColumn("seed_no", F.row_number().over(order) - 1)
 
 
+#: Edges of a node that one row of a frontier meets; the edges of a node with more are dealt into shares of about as many.
+SHARE = 50_000
+
+
+def _shared_edges(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges in both directions with kb_id, node, share, next, chunk_id; hot nodes with kb_id, node, shares)."""
+    e = edges(relations)
+    ends = F.explode(F.array(F.struct(F.col("subject").alias("node"), F.col("object_entity").alias("next")), F.struct(F.col("object_entity").alias("node"), F.col("subject").alias("next")))).alias("x")
+    both = materialised(e.select("kb_id", "chunk_id", ends).select("kb_id", "x.node", "x.next", "chunk_id"))
+    hot = materialised(both.groupBy("kb_id", "node").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("shares > 1"))
+    share = F.when(F.col("shares") > 1, F.pmod(F.xxhash64("next", "chunk_id"), F.col("shares"))).otherwise(F.lit(0)).cast("int")
+    return both.join(hot, ["kb_id", "node"], "left").select("kb_id", "node", share.alias("share"), "next", "chunk_id"), hot
+
+
 def graph_expand(seeds: DataFrame, relations: DataFrame, max_hops: int = 2, anchor_filter: bool = True) -> DataFrame:
     """query_id, chunk_id, score, anchor_hits: undirected breadth-first search from every seed.
 
     ``seeds``: query_id, kb_id, entity. A chunk scores 1 / hop, 1.2 times that where the way from the seed covers two seeds. With
     two seeds or more, ``anchor_filter`` keeps only chunks on such a way. Of several first ways to a node the one with
-    more seeds, then the one with the smaller list of them, counts. Frontier and edges meet on (kb, entity), which the engine
-    splits where an entity is hot; visited nodes are left out by an anti join. A way is carried as the seeds on it, and
-    every hop's steps are reduced to one row a query and chunk before hops are put together.
+    more seeds, then the one with the smaller list of them, counts. Frontier and edges meet on (kb, entity, share): a hot entity's edges are
+    shares, and its frontier rows stand once for each. A way is the seeds on it, and each frontier row has those that
+    are not, so a step is a query, a chunk and a number, reduced to one row a query and chunk; visited nodes are left out by an anti join.
     """
-    e = edges(relations)
-    ends = F.explode(F.array(F.struct(F.col("subject").alias("node"), F.col("object_entity").alias("next")), F.struct(F.col("object_entity").alias("node"), F.col("subject").alias("next")))).alias("x")
-    both = materialised(e.select("kb_id", "chunk_id", ends).select("kb_id", "x.node", "x.next", "chunk_id"))
-    own = seeds.select("query_id", "kb_id", "entity").distinct()
-    all_seeds = own.groupBy("query_id").agg(F.collect_set("entity").alias("seed_set"))
+    both, hot = _shared_edges(relations)
+    own = materialised(seeds.select("query_id", "kb_id", "entity").distinct())
+    all_seeds = own.groupBy("query_id").agg(F.array_sort(F.collect_set("entity")).alias("seed_set"))
     frontier = own.select("query_id", "kb_id", F.col("entity").alias("seed"), F.col("entity").alias("node"), F.array("entity").alias("on_way"))
     visited = frontier.select("query_id", "seed", "node")
-    rows = None
+    rows = []
     for hop in range(1, max_hops + 1):
-        asked = frontier.join(all_seeds, "query_id")
-        fresh = F.array_contains("seed_set", F.col("next")) & ~F.array_contains("on_way", F.col("next"))
-        steps = asked.join(both, ["kb_id", "node"]).select("query_id", "kb_id", "seed", "next", "chunk_id", F.when(fresh, F.concat("on_way", F.array("next"))).otherwise(F.col("on_way")).alias("on_way"))
-        hits = F.max(F.size("on_way")).cast("long").alias("anchor_hits")
-        scored = steps.groupBy("query_id", "chunk_id").agg(hits).withColumn("score", F.when(F.col("anchor_hits") >= 2, 1.2 / hop).otherwise(1.0 / hop))
-        if rows is None:
-            rows = scored
-        else:
-            more = scored.select("query_id", "chunk_id", F.col("anchor_hits").alias("h"), F.col("score").alias("s"))
-            rows = rows.join(more, ["query_id", "chunk_id"], "full_outer").select("query_id", "chunk_id", F.greatest("anchor_hits", "h").alias("anchor_hits"), F.greatest("score", "s").alias("score"))
+        dealt = frontier.join(hot, ["kb_id", "node"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+        asked = dealt.join(all_seeds, "query_id").select("query_id", "kb_id", "node", "share", "seed", "on_way", F.array_except("seed_set", "on_way").alias("others"))
+        fresh = F.array_contains("others", F.col("next"))
+        steps = asked.join(both, ["kb_id", "node", "share"])
+        n = (F.size("on_way") + fresh.cast("int")).cast("long")
+        if hop < max_hops:
+            steps = materialised(steps.select("query_id", "kb_id", "seed", "next", "chunk_id", F.when(fresh, F.concat("on_way", F.array("next"))).otherwise(F.col("on_way")).alias("on_way")))
+            n = F.size("on_way").cast("long")
+        hits = steps.select("query_id", "chunk_id", n.alias("anchor_hits")).groupBy("query_id", "chunk_id").agg(F.max("anchor_hits").alias("anchor_hits"))
+        rows.append(hits.withColumn("score", F.when(F.col("anchor_hits") >= 2, 1.2 / hop).otherwise(1.0 / hop)))
         if hop < max_hops:
             new = steps.join(visited.withColumnRenamed("node", "next"), ["query_id", "seed", "next"], "left_anti")
             best = new.groupBy("query_id", "kb_id", "seed", "next").agg(F.min(F.struct((-F.size("on_way")).alias("h"), "on_way")).alias("p"))
             frontier = materialised(best.select("query_id", "kb_id", "seed", F.col("next").alias("node"), F.col("p.on_way").alias("on_way")))
-            if hop < max_hops - 1:
-                visited = materialised(visited).unionByName(frontier.select("query_id", "seed", "node"))
-    rows = rows.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "anchor_hits")
+            visited = visited.unionByName(frontier.select("query_id", "seed", "node"))
+    total = reduce(DataFrame.unionByName, rows).groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), 6).alias("score"), F.max("anchor_hits").alias("anchor_hits"))
     if not anchor_filter:
-        return rows
+        return total
     sized = all_seeds.select("query_id", F.size("seed_set").alias("n_seeds"))
-    return rows.join(sized, "query_id").where((F.col("n_seeds") < 2) | (F.col("anchor_hits") >= 2)).drop("n_seeds")
-
-
-def pagerank(nodes: pd.DataFrame, pairs: pd.DataFrame, iterations: int = 12, damping: float = 0.85) -> np.ndarray:
-    """Scores of the nodes of one query's subgraph, in their order. Teleport goes to seeds (damping / seeds), a node without neighbours keeps its own."""
-    place = {x: i for i, x in enumerate(nodes.entity)}
-    n, a = len(place), np.zeros((len(pairs), 2), dtype=np.int64)
-    for r, (x, y) in enumerate(zip(pairs.a, pairs.b)):
-        a[r] = place[x], place[y]
-    degree = np.bincount(a.ravel(), minlength=n).astype(float)
-    is_seed = nodes.is_seed.to_numpy(dtype=bool)
-    teleport = np.where(is_seed, damping / max(is_seed.sum(), 1), 0.0)
-    score = np.full(n, 1.0 / max(n, 1))
-    for _ in range(iterations):
-        share = damping * score / np.maximum(degree, 1)
-        new = (1 - damping) * teleport + np.where(degree == 0, damping * score, 0.0)
-        np.add.at(new, a[:, 1], share[a[:, 0]])
-        np.add.at(new, a[:, 0], share[a[:, 1]])
-        score = new
-    return score
+    return total.join(sized, "query_id").where((F.col("n_seeds") < 2) | (F.col("anchor_hits") >= 2)).drop("n_seeds")
+
+
+def pagerank(nodes: DataFrame, pairs: DataFrame, iterations: int = 12, damping: float = 0.85) -> DataFrame:
+    """query_id, kb_id, entity, is_seed, pr: scores of the nodes of every query's subgraph, all queries at once.
+
+    ``nodes``: query_id, kb_id, entity, is_seed; ``pairs``: query_id, kb_id, a, b (each once). A round is one join of the directed pairs with their
+    nodes' shares and one sum, so a hub's neighbourhood is summed by many tasks. Teleport goes to seeds (damping / seeds), a node without
+    neighbours keeps its own.
+    """
+    key = ["query_id", "kb_id", "entity"]
+    arcs = pairs.unionByName(pairs.select("query_id", "kb_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    arcs = materialised(arcs.select("query_id", "kb_id", F.col("a").alias("entity"), F.col("b").alias("to")))
+    sizes = nodes.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_seed").alias("n_seeds"))
+    base = nodes.join(sizes, "query_id").join(arcs.groupBy(*key).agg(F.count(F.lit(1)).alias("degree")), key, "left")
+    jump = F.when(F.col("is_seed"), damping / F.greatest("n_seeds", F.lit(1))).otherwise(F.lit(0.0))
+    base = materialised(base.select(*key, "is_seed", F.coalesce("degree", F.lit(0)).alias("degree"), (1 / F.col("n")).alias("pr"), ((1 - damping) * jump).alias("jump")))
+    now = base
+    for turn in range(iterations):
+        shares = now.where("degree > 0").select(*key, (damping * F.col("pr") / F.col("degree")).alias("share"))
+        got = arcs.join(shares, key).groupBy("query_id", "kb_id", F.col("to").alias("entity")).agg(F.sum("share").alias("got"))
+        alone = F.when(F.col("degree") == 0, damping * F.col("pr")).otherwise(F.lit(0.0))
+        now = now.join(got, key, "left").select(*key, "is_seed", "degree", (F.col("jump") + alone + F.coalesce("got", F.lit(0.0))).alias("pr"), "jump")
+        now = materialised(now) if turn % 2 else now
+    return now.select(*key, "is_seed", "pr")
 
 
 def rank_chunks_linear(seeds: DataFrame, relations: DataFrame) -> DataFrame:
     """query_id, chunk_id, score: 1 / (1 + 0.1 rank) for chunks of a seed, half the PageRank for chunks of a neighbour; the best scores 1.
 
-    ``seeds``: query_id, kb_id, entity, seed_no. PageRank runs on one query's seeds and their neighbours: a small group a query.
+    ``seeds``: query_id, kb_id, entity, seed_no. PageRank runs on each query's seeds and their neighbours, all queries in the same joins.
     """
     index = materialised(entity_chunks(relations))
     pairs = materialised(cooccurrence(index))
     both = pairs.unionByName(pairs.select("kb_id", F.col("b").alias("a"), F.col("a").alias("b")))
     seeds = materialised(seeds)
     near = seeds.select("query_id", "kb_id", F.col("entity").alias("a")).join(both, ["kb_id", "a"]).select("query_id", "kb_id", F.col("b").alias("entity"), F.lit(False).alias("is_seed"))
-    nodes = seeds.select("query_id", "kb_id", "entity", F.lit(True).alias("is_seed")).unionByName(near).groupBy("query_id", "kb_id", "entity").agg(F.max("is_seed").alias("is_seed"))
+    nodes = materialised(seeds.select("query_id", "kb_id", "entity", F.lit(True).alias("is_seed")).unionByName(near).groupBy("query_id", "kb_id", "entity").agg(F.max("is_seed").alias("is_seed")))
     left = nodes.select("query_id", "kb_id", F.col("entity").alias("a"))
     right = nodes.select("query_id", "kb_id", F.col("entity").alias("b"))
-    inner = pairs.join(left, ["kb_id", "a"]).join(right, ["query_id", "kb_id", "b"]).select(F.col("query_id").alias("pair_query"), "a", "b")
-
-    def run(key, ns: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
-        ns = ns.sort_values("entity").reset_index(drop=True)
-        out = ns[["query_id", "kb_id", "entity", "is_seed"]].copy()
-        out["pr"] = pagerank(ns, es) if len(ns) else np.zeros(0)
-        return out
-
-    kind = dict(nodes.dtypes)
-    n = int(relations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes, inner = nodes.repartition(n, "query_id"), inner.repartition(n, "pair_query")
-    ranked = nodes.groupBy("query_id").cogroup(inner.groupBy("pair_query")).applyInPandas(run, f"query_id {kind['query_id']}, kb_id {kind['kb_id']}, entity string, is_seed boolean, pr double")
+    inner = pairs.join(left, ["kb_id", "a"]).join(right, ["query_id", "kb_id", "b"]).select("query_id", "kb_id", "a", "b")
+    ranked = pagerank(nodes, inner)
     first = seeds.join(index, ["kb_id", "entity"]).select("query_id", "chunk_id", (1 / (1 + F.col("seed_no") * 0.1)).alias("s"))
     second = ranked.where("not is_seed").join(index, ["kb_id", "entity"]).select("query_id", "chunk_id", (0.5 * F.col("pr")).alias("s"))
     total = first.unionByName(second).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("s"))
-    top = F.max("s").over(Window.partitionBy("query_id"))
-    return total.select("query_id", "chunk_id", F.round(F.col("s") / top, 6).alias("score"))
+    top = total.groupBy("query_id").agg(F.max("s").alias("top"))
+    return total.join(top, "query_id").select("query_id", "chunk_id", F.round(F.col("s") / F.col("top"), 6).alias("score"))
 
 
 def graph_search(queries: DataFrame, relations: DataFrame, chunks: DataFrame, mode: str = "lite", top_k: int = 5, max_hops: int = 2) -> DataFrame:

@@ -107,8 +107,11 @@ def sr20_two_round_search(spark, d):
 
 
 def _relations(spark, d):
-    """Triples between the quoted spans that the templated questions name, and the documents' files."""
-    return V.documents(spark, d).selectExpr("kb_id", "document_id as chunk_id", "filename as subject", "status as predicate", "kb_id as object_entity")
+    """Triples between the two spans that every third question quotes, and from the second to a name of its own, in chunks spread over all."""
+    b = V.table(spark, d, "benchmark").where("item_id % 3 = 0").selectExpr("item_id", "concat('src', cast(item_id % 20 as string)) as kb_id", "trim(substr(text, 1, 16)) as one", "trim(substr(text, 18, 16)) as two")
+    n = V.table(spark, d, "documents").agg(F.max("doc_id").alias("last"))
+    rows = b.crossJoin(F.broadcast(n)).selectExpr("kb_id", "inline(array(struct((item_id * 37 + 1) % last as chunk_id, one as subject, '关联' as predicate, two as object_entity), struct((item_id * 53 + 2) % last as chunk_id, two as subject, '属于' as predicate, concat('group ', cast(item_id as string)) as object_entity)))")
+    return rows.where("length(subject) >= 2 and subject <> object_entity")
 
 
 def sr22_routed_search(spark, d):

@@ -89,6 +89,18 @@ def jn11_link_entities(spark, d):
     return G.link_entities(_questions(spark, d), names).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_entities"), F.min("entity").alias("first_entity"))
 
 
+_CJK_DIGITS = "translate(cast({} as string), '0123456789', '零一二三四五六七八九')"
+
+
+def jn11b_link_by_all_rules(spark, d):
+    """Questions of a number in CJK digits and a short code; names are such numbers and codes, so some are in the question, some share a piece with it and some are one edit off."""
+    names = V.table(spark, d, "lineitem").selectExpr("l_linenumber as kb_id", f"inline(array(struct({_CJK_DIGITS.format('10000 + l_partkey')} as entity), struct(concat('P', cast(l_partkey % 1000 as string)) as entity)))")
+    question = f"concat({_CJK_DIGITS.format('10000 + o_custkey')}, '和P', cast(o_custkey % 900 as string), '的关系') as question"
+    asked = V.table(spark, d, "orders").where("o_orderkey % 100 = 0").selectExpr("o_orderkey as query_id", "cast(1 + o_orderkey % 7 as int) as kb_id", question)
+    found = G.link_entities(asked, names.distinct())
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_entities"), F.min("entity").alias("first_entity"), F.min_by("entity", "seed_no").alias("longest"), F.count_if(F.col("entity").startswith("P")).alias("n_codes"))
+
+
 def ag20_graph_snapshot(spark, d):
     return G.graph_snapshot(V.relations(spark, d), 200)
 
@@ -118,6 +130,13 @@ SQL = {
     "sr12_graph_search": with_views(_FOUND.format(least=2), _EDGE, _SEED, _HOPS),
     "sr12b_graph_search_legacy": with_views(_FOUND.format(least=1), _EDGE, _SEED, _HOPS),
     "jn11_link_entities": with_views("SELECT query_id, count(*) AS n_entities, min(entity) AS first_entity FROM sd GROUP BY 1", _SEED),
+    "jn11b_link_by_all_rules": f"""WITH names AS (SELECT DISTINCT l_linenumber AS kb, unnest([{_CJK_DIGITS.format("10000 + l_partkey").replace("string", "VARCHAR")}, concat('P', CAST(l_partkey % 1000 AS VARCHAR))]) AS e FROM lineitem),
+        q AS (SELECT o_orderkey AS query_id, 1 + o_orderkey % 7 AS kb, concat({_CJK_DIGITS.format("10000 + o_custkey").replace("string", "VARCHAR")}, '和P', CAST(o_custkey % 900 AS VARCHAR), '的关系') AS q FROM orders WHERE o_orderkey % 100 = 0),
+        runs AS (SELECT query_id, unnest(regexp_extract_all(q, '[一-鿿]+')) AS r FROM q),
+        grams AS (SELECT query_id, unnest(flatten([[substr(r, i, w) FOR i IN range(1, length(r) - w + 2)] FOR w IN [2, 3, 4]])) AS t FROM runs UNION SELECT query_id, unnest(regexp_extract_all(q, '[a-zA-Z0-9_]{{2,}}')) FROM q),
+        terms AS (SELECT query_id, t FROM grams WHERE t NOT IN ({", ".join(f"'{w}'" for w in G.LINK_STOP)})),
+        found AS (SELECT q.query_id, n.e FROM q JOIN names n ON n.kb = q.kb WHERE length(n.e) >= 2 AND (contains(q.q, n.e) OR EXISTS (SELECT 1 FROM terms t WHERE t.query_id = q.query_id AND (contains(n.e, t.t) OR contains(t.t, n.e) OR length(n.e) BETWEEN 2 AND 4 AND levenshtein(t.t, n.e) <= 1))))
+        SELECT query_id, count(*) AS n_entities, min(e) AS first_entity, arg_min(e, (-length(e), e)) AS longest, count(*) FILTER (starts_with(e, 'P')) AS n_codes FROM found GROUP BY 1""",
     "ag20_graph_snapshot": with_views("SELECT e.kb_id, e.object_entity, e.subject, e.chunk_id, e.predicate, a.degree AS subject_degree, b.degree AS object_degree FROM (SELECT kb_id, subject, object_entity, max(chunk_id) AS chunk_id, max_by(predicate, chunk_id * 1000 + ascii(predicate)) AS predicate FROM fx_relations GROUP BY 1, 2, 3) e JOIN top a ON a.kb_id = e.kb_id AND a.entity = e.subject JOIN top b ON b.kb_id = e.kb_id AND b.entity = e.object_entity",
         "top AS (SELECT kb_id, entity, degree FROM (SELECT kb_id, entity, degree, row_number() OVER (PARTITION BY kb_id ORDER BY degree DESC, entity) AS rn FROM (SELECT kb_id, entity, count(*) AS degree FROM (SELECT kb_id, subject AS entity FROM fx_relations UNION ALL SELECT kb_id, object_entity FROM fx_relations) x GROUP BY 1, 2) y) z WHERE rn <= 200)"),
 }

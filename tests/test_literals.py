@@ -181,24 +181,6 @@ def test_triples(spark):
     assert {(r.subject, r.predicate, r.object_entity) for r in graph.extract_triples(c).collect()} == {("缓存", "是", "内存结构"), ("索引", "关联", "缓存")}
 
 
-def test_pagerank_equals_the_spec():
-    import pandas as pd
-
-    nodes = pd.DataFrame({"entity": list("abcd"), "is_seed": [True, False, False, False]})
-    got = graph.pagerank(nodes, pd.DataFrame({"a": ["a", "a"], "b": ["b", "c"]}))
-    near = {0: [1, 2], 1: [0], 2: [0], 3: []}
-    s = [0.25] * 4
-    for _ in range(12):
-        new = [0.15 * (0.85 if i == 0 else 0) for i in range(4)]
-        for i, ns in near.items():
-            if not ns:
-                new[i] += 0.85 * s[i]
-            for j in ns:
-                new[j] += 0.85 * s[i] / len(ns)
-        s = new
-    assert np.allclose(got, s)
-
-
 def test_quality_rules(spark):
     f = lambda **k: one(spark, stats.quality_score(*[F.lit(k[c]) for c in ("h", "li", "di", "co")], F.lit("2024-01-01").cast("timestamp_ntz"), "2024-01-01"))
     assert f(h=20, li=1, di=0, co=0) == 0.8 and f(h=0, li=0, di=0, co=0) == 0.25 and f(h=0, li=0, di=5, co=9) == 0.0
