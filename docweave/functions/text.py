@@ -80,11 +80,21 @@ def substantive_terms(query: Column) -> Column:
     return F.array_except(retrieval_terms(query), _words(TEMPLATE_TERMS))
 
 
+#: Quoted spans, what a question says between fixed words, Latin words of an entity or a text, and the templates of questions about
+#: two entities, in order.
+QUOTED, NAMED_PART, LATIN_WORD = "[「『]([^」』]+)[」』]", "本知识库中\\s*(.+?)(?:章节|的详细|$)", "[A-Za-z][0-9A-Za-z_.-]{1,20}"
+PAIR_TEMPLATES = [
+    "「([^」]+)」\\s*[与和]\\s*「([^」]+)」\\s*之间有什么联系",
+    "「?([^」与和、,，]+)」?\\s*[与和、]\\s*「?([^」与和、,，]+)」?\\s*(?:的)?(?:关系|区别|对比|关联|异同)",
+    "综合.*?[「『](.+?)[」』]\\s*[与和]\\s*[「『](.+?)[」』]\\s*有何关联",
+]
+
+
 def anchor_terms(query: Column) -> Column:
     """Substantive terms of quoted spans, and of what stands between 本知识库中 and 章节, 的详细 or the end."""
     q = F.coalesce(query, F.lit(""))
-    spans = _all(q, "[「『]([^」』]+)[」』]", 1)
-    tail = F.regexp_extract(q, "本知识库中\\s*(.+?)(?:章节|的详细|$)", 1)
+    spans = _all(q, QUOTED, 1)
+    tail = F.regexp_extract(q, NAMED_PART, 1)
     return F.array_distinct(F.flatten(F.transform(F.concat(spans, F.array(tail)), substantive_terms)))
 
 
@@ -103,7 +113,7 @@ def search_variants(span: Column) -> Column:
     bare = _strip(F.regexp_replace(F.regexp_replace(t, "[《》「」『』\"'（）()]", " "), "(?U)\\s+", " "))
     long = F.length(t) > 24
     cuts = F.when(long, F.array(_strip(F.substring(t, 1, 24)), _strip(F.substring(t, 1, 40)))).otherwise(F.array().cast("array<string>"))
-    found = F.concat(F.array(t), cuts, F.array(bare), F.slice(_all(t, "[A-Za-z][0-9A-Za-z_.-]{1,20}"), 1, 4))
+    found = F.concat(F.array(t), cuts, F.array(bare), F.slice(_all(t, LATIN_WORD), 1, 4))
     return F.slice(F.array_distinct(F.filter(found, lambda v: F.length(v) >= 2)), 1, 5)
 
 
@@ -116,12 +126,7 @@ def entity_seeds(query: Column) -> Column:
     """Entities of a relational question by the first template that fits, else its CJK runs; five at most of the latter."""
     q = F.coalesce(query, F.lit(""))
     runs = F.slice(F.filter(_all(q, "[一-鿿]{2,}"), lambda w: ~w.isin(SEED_STOP)), 1, 5)
-    return F.coalesce(
-        _pair(q, "「([^」]+)」\\s*[与和]\\s*「([^」]+)」\\s*之间有什么联系"),
-        _pair(q, "「?([^」与和、,，]+)」?\\s*[与和、]\\s*「?([^」与和、,，]+)」?\\s*(?:的)?(?:关系|区别|对比|关联|异同)"),
-        _pair(q, "综合.*?[「『](.+?)[」』]\\s*[与和]\\s*[「『](.+?)[」』]\\s*有何关联"),
-        runs,
-    )
+    return F.coalesce(*[_pair(q, t) for t in PAIR_TEMPLATES], runs)
 
 
 def multi_hop_anchors(query: Column) -> Column:
@@ -220,7 +225,7 @@ NO_TERM = "该主题"
 def extract_term(content: Column) -> Column:
     """The first Latin word (24 characters at most), else the first CJK run of 2 to 8 that is no stop word, else the first sentence's start."""
     text = F.coalesce(content, F.lit(""))
-    latin = F.regexp_extract(text, "[A-Za-z][0-9A-Za-z_.-]{1,20}", 0)
+    latin = F.regexp_extract(text, LATIN_WORD, 0)
     runs = F.filter(_all(text, "[一-鿿]{2,8}"), lambda r: ~r.isin(TERM_STOP))
     start = first_sentence(text, 12)
     return F.when(latin != "", F.substring(latin, 1, 24)).when(F.size(runs) > 0, F.element_at(runs, 1)).when(start != "", start).otherwise(NO_TERM)

@@ -82,8 +82,8 @@ def jn09b_rewrite_kb_ids(spark, d):
 
 
 def jn13_duplicate_open_rows(spark, d):
-    rows = V.messages(spark, d).where("role = 'user'").selectExpr("kb_id", "substr(content, 1, 12) as query", "message_id")
-    stored = V.messages(spark, d).where("role = 'user' and message_id % 3 = 0").selectExpr("kb_id", "substr(content, 1, 12) as query", "case when message_id % 2 = 0 then 'pending' else 'resolved' end as status")
+    rows = V.messages(spark, d).where("role = 'user'").selectExpr("kb_id", "content as query", "message_id")
+    stored = V.messages(spark, d).where("role = 'user' and message_id % 3 = 0").selectExpr("kb_id", "content as query", "case when message_id % 2 = 0 then 'pending' else 'resolved' end as status")
     return G.new_only(rows, stored, ["kb_id", "query"], ["pending"])
 
 
@@ -141,7 +141,7 @@ def qu06_apply_actions(spark, d):
 
 def _conflicts(spark, d):
     docs = V.table(spark, d, "documents").where("doc_id % 4 = 0")
-    conflicts = docs.selectExpr("doc_id as conflict_id", "source as kb_id", "doc_id + 1 as existing_chunk_id", "substr(text, 1, 50) as new_content", "case when doc_id % 3 = 0 then 'dismissed' else 'pending' end as status", "case when doc_id % 8 = 0 then doc_id end as source_document_id")
+    conflicts = docs.selectExpr("doc_id as conflict_id", "source as kb_id", "doc_id + 1 as existing_chunk_id", "text as new_content", "case when doc_id % 3 = 0 then 'dismissed' else 'pending' end as status", "case when doc_id % 8 = 0 then doc_id end as source_document_id")
     decisions = docs.selectExpr("doc_id as conflict_id", "case doc_id % 5 when 0 then 'resolved_keep_new' when 1 then 'resolved_keep_old' when 2 then 'dismissed' when 3 then 'nonsense' else 'resolved_keep_new' end as decision")
     return G.resolve_conflicts(conflicts, decisions, V.chunks(spark, d, content=False))
 
@@ -244,7 +244,7 @@ _FB = "fb AS (SELECT chunk_id, sum(CASE WHEN feedback_type = 'like' THEN 1 ELSE
 _Q = _FB + f""", q AS (SELECT *, s < 0.25 OR dl >= 3 AS rv FROM (SELECT c.chunk_id, coalesce(dl, 0) AS dl, round(greatest(0.0, least(1.0, CAST(0.4 AS DOUBLE) * least(c.hit_count / 20.0, 1.0) + CAST(0.3 AS DOUBLE) * CASE WHEN lk + dl > 0 THEN CAST(lk AS DOUBLE) / (lk + dl) ELSE 0.5 END
  - CAST(0.2 AS DOUBLE) * least(CAST(coalesce(co, 0) AS DOUBLE) / greatest(c.hit_count, 1), 1.0) + CAST(0.1 AS DOUBLE) * greatest(0.0, 1 - date_diff('day', c.created_at, TIMESTAMP '{AS_OF}') / 365.0))), 4) AS s FROM fx_chunks c LEFT JOIN fb ON fb.chunk_id = c.chunk_id) x)"""
 _IDS = "ids AS (SELECT suggestion_id, 0 AS pos, suggestion_id // 15 AS chunk_id FROM fx_suggestions UNION ALL SELECT suggestion_id, 1, suggestion_id // 22 FROM fx_suggestions)"
-_CF = "cf AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'dismissed' ELSE 'pending' END AS st, CASE doc_id % 5 WHEN 0 THEN 'resolved_keep_new' WHEN 1 THEN 'resolved_keep_old' WHEN 2 THEN 'dismissed' WHEN 3 THEN 'nonsense' ELSE 'resolved_keep_new' END AS de, doc_id + 1 IN (SELECT doc_id FROM documents) AS ex, length(substr(text, 1, 50)) AS n FROM documents WHERE doc_id % 4 = 0)"
+_CF = "cf AS (SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'dismissed' ELSE 'pending' END AS st, CASE doc_id % 5 WHEN 0 THEN 'resolved_keep_new' WHEN 1 THEN 'resolved_keep_old' WHEN 2 THEN 'dismissed' WHEN 3 THEN 'nonsense' ELSE 'resolved_keep_new' END AS de, doc_id + 1 IN (SELECT doc_id FROM documents) AS ex, length(text) AS n FROM documents WHERE doc_id % 4 = 0)"
 _DUP = "vec AS (SELECT vec_id AS chunk_id, label AS kb_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), cls AS (SELECT *, min(chunk_id) OVER (PARTITION BY kb_id, e) AS first FROM vec), dup AS (SELECT a.kb_id, a.chunk_id AS a, b.chunk_id AS b FROM cls a JOIN cls b ON a.kb_id = b.kb_id AND a.chunk_id < b.chunk_id AND round(1 - list_cosine_similarity(a.e, b.e), 6) <= 0.8 WHERE (a.first = a.chunk_id AND b.first = b.chunk_id) OR a.chunk_id = b.first)"
 SQL = {
     "fl09_rel_overlap": M.REL_OVERLAP,
@@ -267,7 +267,7 @@ SQL = {
     "jn09b_rewrite_kb_ids": f"WITH k AS (SELECT {_uuid('c_custkey')} AS kb_id FROM customer), t AS ("
         + " UNION ALL ".join(f"SELECT '{name}' AS part, substr({_uuid(f'1 + ({key}) % 100')}, 1, CAST(1 + ({key}) % 36 AS INTEGER)) AS ref FROM {t}" for name, _, t, key in KB_TABLES)
         + "), r AS (SELECT DISTINCT ref FROM t), m AS (SELECT r.ref, CASE WHEN count(*) = 1 THEN min(k.kb_id) END AS kb FROM r JOIN k ON starts_with(k.kb_id, r.ref) GROUP BY 1) SELECT part, coalesce(m.kb, t.ref) AS kb_id, count(*) AS n FROM t LEFT JOIN m ON m.ref = t.ref GROUP BY 1, 2",
-    "jn13_duplicate_open_rows": with_views("SELECT kb_id, substr(content, 1, 12) AS query, min(message_id) AS message_id FROM fx_messages m WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM fx_messages o WHERE o.role = 'user' AND o.message_id % 6 = 0 AND o.kb_id = m.kb_id AND substr(o.content, 1, 12) = substr(m.content, 1, 12)) GROUP BY 1, 2"),
+    "jn13_duplicate_open_rows": with_views("SELECT kb_id, content AS query, min(message_id) AS message_id FROM fx_messages m WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM fx_messages o WHERE o.role = 'user' AND o.message_id % 6 = 0 AND o.kb_id = m.kb_id AND o.content = m.content) GROUP BY 1, 2"),
     "fl08_filter_queue": with_views("SELECT suggestion_id, kb_id, count(*) OVER () AS total FROM fx_suggestions WHERE status = 'pending' AND suggestion_type = 'duplicate' ORDER BY created_at DESC, suggestion_id DESC LIMIT 25 OFFSET 10"),
     "st02_new_suggestions": with_views("SELECT kb_id, suggestion_type AS type, suggestion_id % 50 AS chunk, min(suggestion_id) AS suggestion_id FROM fx_suggestions s WHERE NOT EXISTS (SELECT 1 FROM fx_suggestions p WHERE p.suggestion_id % 3 = 0 AND p.status = 'pending' AND p.kb_id = s.kb_id AND p.suggestion_type = s.suggestion_type AND p.suggestion_id % 50 = s.suggestion_id % 50) GROUP BY 1, 2, 3"),
     "st03_replaced_chunks": "SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id + 1000000 ELSE doc_id END AS chunk_id, doc_id AS document_id, source AS kb_id, CASE WHEN doc_id % 10 = 0 THEN n_chars + 1 ELSE n_chars END AS char_count FROM documents",
