@@ -194,8 +194,20 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def _loss(logits: np.ndarray, y: np.ndarray) -> float:
-    return float(np.mean(np.logaddexp(0, logits) - y * logits))
+def fit_temperature(logits: np.ndarray, y: np.ndarray, coldest: float = 1e-3, hottest: float = 1e3) -> float:
+    """The temperature of least loss on rows that the network has not seen, to 12 digits.
+
+    The loss is convex in the inverse temperature, so its slope is halved in. Labels count as one label of the other kind more among all
+    would have them, for rows that the logits tell apart without an error have no best temperature else.
+    """
+    ones = y.sum()
+    target = np.where(y > 0.5, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    low, high = 1 / hottest, 1 / coldest
+    for _ in range(60):
+        inverse = np.sqrt(low * high)
+        slope = ((1 / (1 + np.exp(-np.clip(inverse * logits, -500, 500))) - target) * logits).sum()
+        low, high = (low, inverse) if slope > 0 else (inverse, high)
+    return float(1 / np.sqrt(low * high))
 
 
 def learn(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-4) -> Network:
@@ -225,9 +237,7 @@ def learn(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, rate
                 v[i] += 0.001 * (g * g - v[i])
                 p[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     raw = np.tanh(z[:back] @ p[0] + p[1]) @ p[2] + p[3]
-    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
-    temperature = float(grid[np.argmin([_loss(raw / t, y[:back]) for t in grid])])
-    return Network(mean, spread, p[0], p[1], p[2], float(p[3][0]), temperature)
+    return Network(mean, spread, p[0], p[1], p[2], float(p[3][0]), fit_temperature(raw, y[:back]))
 
 
 @dataclass(frozen=True)

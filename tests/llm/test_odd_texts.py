@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import chat, fertility, jpeg, langid, mainhtml, mixing, packing, simhash
+from docweave.llm import chat, fertility, jpeg, langid, mainhtml, mixing, packing, quality, simhash
 from tests.llm.test_llm import plain_base, plain_fingerprint, plain_tokens
 
 BITS = ["a", "Word", "ing", " ", "  ", "\n", "\0", "\0 ", " \0", "é", "文字", "\t", "\r\n", "\x0b", "x.", " 12", "\x1c", "\x85", "\xa0", " ", " ", " ", " ", " ", "　", "▁", "½", "²", "①"]
@@ -155,3 +155,19 @@ def test_page_and_chat_queries(spark, small):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert set(got) == {r[0] for r in rows}
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(34)
+    for true in (0.2, 1.0, 5.0):
+        raw = rng.normal(size=20_000) * 4
+        y = (rng.random(20_000) < 1 / (1 + np.exp(-raw / true))).astype(float)
+        found = quality.fit_temperature(raw, y)
+        assert abs(found / true - 1) < 0.1
+        p = 1 / (1 + np.exp(-raw / found))
+        for low in (0.1, 0.3, 0.5, 0.7, 0.9):
+            near = np.abs(p - low) < 0.05
+            assert abs(y[near].mean() - p[near].mean()) < 0.06
+    raw = np.concatenate([rng.uniform(-9, -1, 100), rng.uniform(1, 9, 100)])
+    assert 0.01 < quality.fit_temperature(raw, (raw > 0).astype(float)) < 5  # told apart without an error
+    assert 0.001 <= quality.fit_temperature(np.zeros(0), np.zeros(0)) <= 1000
