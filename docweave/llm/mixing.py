@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import cut_lineage, table
+from docweave.operators.common import materialised
 
 #: Slots whose blocks the schedule keeps in one array.
 FRAME = 1000
@@ -138,8 +139,9 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, key: str = "doc_
     plan = cut_lineage(source_weights(sizes, weights, block_docs).agg(listed.alias("s")))
     slots = slot_table(plan, frame)
     owner = F.col("d.source").eqNullSafe(F.col("s.source"))
-    known = plan.select(F.explode("s").alias("s")).select("s.source", "s.place", F.col("s.goal").alias("share"))  # a row a source
-    placed = ready.withColumn("block", F.floor(F.col("__nth") / block_docs).cast("long")).alias("d").join(F.broadcast(known).alias("s"), owner).select("d.*", "s.place", "s.share")
+    # a row a source, written so that Spark knows its size: it is broadcast where it is small, and sorted where it is not
+    known = materialised(plan.select(F.explode("s").alias("s")).select("s.source", "s.place", F.col("s.goal").alias("share")))
+    placed = ready.withColumn("block", F.floor(F.col("__nth") / block_docs).cast("long")).alias("d").join(known.alias("s"), owner).select("d.*", "s.place", "s.share")
     found = placed.join(slots, ["place", "block"])
     return found.select(key, "source", "block", "slot", (F.col("__nth") % block_docs).alias("in_block"), "release", "due", "share")
 
