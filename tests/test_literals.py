@@ -10,7 +10,7 @@ from docweave.functions import text as T
 from docweave.operators import chunking as K
 from docweave.operators import evaluation as E
 from docweave.operators import governance as G
-from docweave.operators import graph, ranking, stats, vectors
+from docweave.operators import ann, graph, ranking, stats, vectors
 
 
 def one(spark, column, **values):
@@ -104,7 +104,7 @@ def test_pairs_within_equal_brute_force(spark):
     df = spark.createDataFrame([(i, i % 2, [float(x) for x in m[i]], "2024-01-01") for i in range(66)], "chunk_id long, kb_id int, embedding array<double>, created_at string")
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     near = {(i, j) for i in range(66) for j in range(i + 1, 66) if i % 2 == j % 2 and round(1 - float(u[i] @ u[j]), 6) <= 0.4}
-    assert {(r.a, r.b) for r in vectors.pairs_within(df, 0.4, block_rows=7).collect()} == near
+    assert {(r.a, r.b) for r in ann.pairs_within(df, 0.4, block_rows=7).collect()} == near
     first = {i: min(j for j in range(66) if j % 2 == i % 2 and (m[i] == m[j]).all()) for i in range(66)}
     want = {(i, j) for i, j in near if first[i] == i and first[j] in (i, j)}
     assert {(r.a, r.b) for r in vectors.near_duplicate_pairs(df).collect()} == want
