@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from docweave.functions import text as T
 from docweave.operators import composite as C
-from docweave.plans.more_sql import EXPANDED, HOP_ANCHORS, has, listed, once, quote_anchors, strip
+from docweave.plans.more_sql import EXPANDED, HOP_ANCHORS, SPACE, has, listed, once, quote_anchors, strip
 from docweave.plans.search_queries import QUALITY_CTES
 from docweave.sources.views import with_views
 
@@ -138,7 +138,7 @@ _SUB = "sub AS (SELECT query_id AS parent, len(p) AS n_parts, unnest(range(len(p
 
 def variant_hits(cuts: str, out: str, limit: int) -> list[str]:
     """``out`` (query_id, chunk_id, rank): full-text hits of the variants of anchors (query_id, kb_id, a, anchor), as first seen."""
-    bare = strip(f"regexp_replace(regexp_replace({strip('anchor')}, '[《》「」『』\"''（）()]', ' ', 'g'), '[ ]+', ' ', 'g')")
+    bare = strip(f"regexp_replace(regexp_replace({strip('anchor')}, '[《》「」『』\"''（）()]', ' ', 'g'), '[{SPACE}]+', ' ', 'g')")
     return [
         f"{out}_b AS (SELECT *, {strip('anchor')} AS t, {bare} AS b FROM {cuts})",
         f"{out}_p AS (SELECT *, list_filter(list_concat([t], CASE WHEN length(t) > 24 THEN [{strip('substr(t, 1, 24)')}, {strip('substr(t, 1, 40)')}] ELSE [] END, [b], list_slice(regexp_extract_all(t, '[A-Za-z][0-9A-Za-z_.-]{{1,20}}'), 1, 4)), lambda x: length(x) >= 2) AS l FROM {out}_b)",
