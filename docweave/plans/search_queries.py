@@ -17,7 +17,7 @@ from docweave.sources.views import AS_OF, with_views
 
 def _postings(spark, d):
     """The index as a job would find it: written once, read several times."""
-    return materialised(S.build_postings(V.chunks(spark, d)))
+    return materialised(S.build_postings(V.chunks(spark, d, counted=False)))
 
 
 def _bm25(spark, d, every=False):
@@ -40,13 +40,13 @@ def _quality(spark, d):
 
 def _candidates(spark, d):
     """Search results of all kbs with content, document and a model score that some of them have."""
-    found = _bm25(spark, d, True).where("rank <= 10")
-    rows = found.join(V.chunks(spark, d).select("chunk_id", "document_id", "content"), "chunk_id").join(V.questions(spark, d).select("query_id", "question"), "query_id")
+    found = materialised(_bm25(spark, d, True).where("rank <= 10"))
+    rows = found.join(V.chunks(spark, d, counted=False).select("chunk_id", "document_id", "content"), "chunk_id").join(V.questions(spark, d).select("query_id", "question"), "query_id")
     return rows.withColumns({"rrf_score": F.round(1 / (60.0 + F.col("rank")), 12), "document_id": F.col("document_id") % 7, "model_score": F.when(F.col("query_id") % 3 != 0, ((F.col("chunk_id") * 13 + F.col("query_id")) % 100) / 200.0)})
 
 
 def sr01_build_postings(spark, d):
-    return S.build_postings(V.chunks(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return S.build_postings(V.chunks(spark, d, counted=False)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 def sr02_bm25_search(spark, d):
