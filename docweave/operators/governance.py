@@ -25,10 +25,22 @@ def chunk_refs(chunk_ids: DataFrame, chunks: DataFrame, documents: DataFrame) ->
     return chunk_ids.select("chunk_id").distinct().join(own, "chunk_id").join(documents.select("document_id", "filename"), "document_id")
 
 
+#: Places in lists that one row of a reference meets; an id that stands in more is dealt into shares of about as many.
+SHARE = 50_000
+
+
 def explode_refs(suggestions: DataFrame, refs: DataFrame) -> DataFrame:
-    """suggestion_id with refs, an array in the order of its chunk_ids."""
+    """suggestion_id with refs, an array in the order of its chunk_ids.
+
+    Places and references meet on (chunk_id, share): the places of an id that very many lists have, found or not, are shares, and its reference stands once for each.
+    """
     spread = suggestions.select("suggestion_id", F.posexplode_outer("chunk_ids").alias("pos", "chunk_id"))
-    found = spread.join(refs, "chunk_id", "left").withColumn("r", F.when(F.col("document_id").isNotNull(), F.struct("pos", "chunk_id", "filename", "preview")))
+    hot = materialised(spread.groupBy("chunk_id").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares")).where("shares > 1"))
+    same = F.col("s.chunk_id").eqNullSafe(F.col("h.chunk_id"))
+    share = F.when(F.col("shares") > 1, F.pmod(F.xxhash64("suggestion_id", "pos"), F.col("shares"))).otherwise(F.lit(0)).cast("int")
+    dealt = spread.alias("s").join(hot.alias("h"), same, "left").select("s.*", share.alias("share"))
+    copied = refs.join(hot, "chunk_id", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+    found = dealt.join(copied, ["chunk_id", "share"], "left").withColumn("r", F.when(F.col("document_id").isNotNull(), F.struct("pos", "chunk_id", "filename", "preview")))
     return found.groupBy("suggestion_id").agg(F.array_sort(F.collect_list("r")).alias("refs"))
 
 
